@@ -143,17 +143,17 @@ def decode_sentence(rows: DataFrame, profile: DatasetProfile, text: str = "row_t
     """Raw text value per column; the last usable clause of a column wins."""
     keep = [col(c) for c in rows.columns if c != text]
     parsed = rows.select(*keep, clauses(col(text), profile.column_order).alias("_clauses"))
-    values = []
-    for name, p in profile.columns.items():
-        usable = lambda v, d=p.dtype: _usable(v, d)
-        hits = F.filter(
-            F.col("_clauses"),
-            lambda e, n=name, ok=usable: (e["name"] == n.lower()) & (F.length(e["value"]) > 0) & ok(e["value"]),
-        )
-        values.append(F.try_element_at(hits, F.lit(-1))["value"].alias(name))
+    values = [_last_value(name, p.dtype).alias(name) for name, p in profile.columns.items()]
     return parsed.select(*keep, *values)
 
 
+def _last_value(name: str, dtype: str) -> Column:
+    def fits(e: Column) -> Column:
+        return (e["name"] == name.lower()) & (F.length(e["value"]) > 0) & _usable(e["value"], dtype)
+
+    return F.try_element_at(F.filter(F.col("_clauses"), fits), F.lit(-1))["value"]
+
+
 def _usable(value: Column, dtype: str) -> Column:
     present = ~F.lower(value).isin(*MISSING_WORDS)
     if dtype in ("integer", "float"):

@@ -135,17 +135,13 @@ def _draw_sql(prompts: str, k: str, prefix: str, n: str, most: int, keys: str) -
     h = lambda j: f"('0x' || substr(md5({prefix} || ':' || ({j})), 1, 15))::BIGINT"
     return f"""SELECT {keys}, idx, row_number() OVER (PARTITION BY {keys} ORDER BY pos) AS shot_no FROM (
     SELECT {keys}, {k} AS kk, idx, min(pos) AS pos FROM (
-      SELECT {keys}, {k}, j::VARCHAR AS js, CASE WHEN j < 2 * {k} + 16 THEN {h('j')} % {n} ELSE ({h('0')} + j - 2 * {k} - 15) % {n} END AS idx, lpad(j::VARCHAR, 6, '0') AS pos
+      SELECT {keys}, {k}, CASE WHEN j < 2 * {k} + 16 THEN {h('j')} % {n} ELSE ({h('0')} + j - 2 * {k} - 15) % {n} END AS idx, lpad(j::VARCHAR, 6, '0') AS pos
       FROM ({prompts}), range({3 * most + 16}) r(j) WHERE 4 * {k} <= {n} AND j < 3 * {k} + 16
       UNION ALL
-      SELECT {keys}, {k}, j::VARCHAR, j AS idx, md5({prefix} || ':' || j) AS pos FROM ({prompts}), range({4 * most}) r(j) WHERE 4 * {k} > {n} AND j < {n}
+      SELECT {keys}, {k}, j AS idx, md5({prefix} || ':' || j) AS pos FROM ({prompts}), range({4 * most}) r(j) WHERE 4 * {k} > {n} AND j < {n}
     ) GROUP BY ALL) QUALIFY shot_no <= kk"""
 
 
-def _draw_clean(prompts: str, k: str, prefix: str, n: str, most: int, keys: str) -> str:
-    return _draw_sql(prompts, k, prefix, n, most, keys).replace(f"{k}, j::VARCHAR AS js, ", f"{k}, ").replace(f"{k}, j::VARCHAR, j AS idx", f"{k}, j AS idx")
-
-
 _PROMPTS_SQL = "SELECT DISTINCT c_custkey AS prompt_id, {k} AS k_shot, (SELECT count(*) FROM orders) AS n FROM customer"
 
 
@@ -153,7 +149,7 @@ def _prompts(spark, d) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("prompt_id"))
 
 
-@query(f"""WITH draws AS ({_draw_clean(_PROMPTS_SQL.format(k=SHOTS), 'k_shot', f"'{SEED}:{SHOTS}:' || prompt_id", 'n', SHOTS, 'prompt_id')})
+@query(f"""WITH draws AS ({_draw_sql(_PROMPTS_SQL.format(k=SHOTS), 'k_shot', f"'{SEED}:{SHOTS}:' || prompt_id", 'n', SHOTS, 'prompt_id')})
 SELECT prompt_id, shot_no::INTEGER AS shot_no, o_orderkey FROM draws JOIN ({_index_sql('orders', 'o_orderkey')}) USING (idx)""")
 def draw_shots(spark, d) -> DataFrame:
     shots = K.draw_shots(table(spark, d, "orders"), _prompts(spark, d), ["o_orderkey"], SHOTS, SEED)
@@ -164,7 +160,7 @@ def draw_shots(spark, d) -> DataFrame:
 shares AS (SELECT s, size, floor(size * {SHOTS} / total) AS base, (size * {SHOTS}) % total AS rest FROM sizes),
 quotas AS (SELECT s, size, (base + CASE WHEN row_number() OVER (ORDER BY rest DESC, s) <= {SHOTS} - (SELECT sum(base) FROM shares) THEN 1 ELSE 0 END)::INTEGER AS quota FROM shares),
 prompts AS (SELECT c_custkey AS prompt_id, s, size AS n, quota AS k_shot FROM customer, quotas WHERE quota > 0),
-draws AS ({_draw_clean("SELECT * FROM prompts", 'k_shot', f"'{SEED}:' || prompt_id || ':' || s", 'n', SHOTS, 'prompt_id, s')})
+draws AS ({_draw_sql("SELECT * FROM prompts", 'k_shot', f"'{SEED}:' || prompt_id || ':' || s", 'n', SHOTS, 'prompt_id, s')})
 SELECT prompt_id, s AS o_orderpriority, shot_no::INTEGER AS shot_no, o_orderkey
 FROM draws JOIN ({_index_sql('orders', 'o_orderkey', 'o_orderpriority')}) i ON i.idx = draws.idx AND i.o_orderpriority = draws.s""")
 def draw_shots_stratified(spark, d) -> DataFrame:
@@ -176,7 +172,7 @@ _SWEEP = (4, 8, 12)
 _SWEEP_SQL = f"SELECT s_suppkey AS prompt_id, k AS k_shot, (SELECT count(*) FROM orders) AS n FROM supplier, (VALUES {', '.join(f'({k})' for k in _SWEEP)}) v(k)"
 
 
-@query(f"""WITH draws AS ({_draw_clean(_SWEEP_SQL, 'k_shot', f"'{SEED}:' || k_shot || ':' || prompt_id", 'n', max(_SWEEP), 'prompt_id, k_shot')})
+@query(f"""WITH draws AS ({_draw_sql(_SWEEP_SQL, 'k_shot', f"'{SEED}:' || k_shot || ':' || prompt_id", 'n', max(_SWEEP), 'prompt_id, k_shot')})
 SELECT k_shot::INTEGER AS k_shot, prompt_id, count(*)::BIGINT AS shots, count(DISTINCT o_orderkey)::BIGINT AS different, sum(o_orderkey)::BIGINT AS key_sum
 FROM draws JOIN ({_index_sql('orders', 'o_orderkey')}) USING (idx) GROUP BY ALL""")
 def kshot_sweep(spark, d) -> DataFrame:
@@ -236,7 +232,7 @@ def correlation_block(spark, d) -> DataFrame:
 _CUST_JSON = """'{"c_custkey": ' || c_custkey || ', "c_name": ' || to_json(c_name)::VARCHAR || ', "c_nationkey": ' || c_nationkey || ', "c_acctbal": ' || round(c_acctbal, 3)::VARCHAR || ', "c_mktsegment": ' || to_json(c_mktsegment)::VARCHAR || '}'"""
 _CUST_TEXT = """'c_custkey is ' || c_custkey || ', c_name is ' || c_name || ', c_nationkey is ' || c_nationkey || ', c_acctbal is ' || printf('%.3f', c_acctbal) || ', c_mktsegment is ' || c_mktsegment || '.'"""
 _CUST_PROMPTS = f"SELECT s_suppkey AS prompt_id, {SHOTS} AS k_shot, (SELECT count(*) FROM customer) AS n FROM supplier"
-_CUST_DRAWS = _draw_clean(_CUST_PROMPTS, "k_shot", f"'{SEED}:{SHOTS}:' || prompt_id", "n", SHOTS, "prompt_id")
+_CUST_DRAWS = _draw_sql(_CUST_PROMPTS, "k_shot", f"'{SEED}:{SHOTS}:' || prompt_id", "n", SHOTS, "prompt_id")
 _HEAD, _EXAMPLES = K.STRUCTURED_HEAD.split("{schema}")
 
 
