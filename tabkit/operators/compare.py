@@ -123,7 +123,7 @@ def column_ranges(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("d
     ranges = _per_column(df, columns, lambda x: {"lo": F.min(x), "hi": F.max(x), "rows": F.count(x)}, by).where(F.col("rows") > 0)
     flat = F.col("lo") == F.col("hi")
     half = F.when(flat, F.lit(0.5)).otherwise(F.lit(0.0))
-    return ranges.withColumn("lo", F.col("lo") - half).withColumn("hi", F.col("hi") + half)
+    return ranges.withColumns({"lo": F.col("lo") - half, "hi": F.col("hi") + half})
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("dataset",)) -> DataFrame:
@@ -162,10 +162,10 @@ def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     keys = ["dataset", "column"]
     q = quantiles(df, columns, [0.25, 0.5, 0.75], ["dataset"])
     box = q.select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    fences = materialize(box, "boxes")
     reach = WHISKER * (F.col("q75") - F.col("q25"))
-    fences = materialize(box.withColumn("_lo", F.col("q25") - reach).withColumn("_hi", F.col("q75") + reach), "fences")
     v = F.col("value")
-    inside = v.between(F.col("_lo"), F.col("_hi"))
+    inside = v.between(F.col("q25") - reach, F.col("q75") + reach)
     return (
         long_values(df, columns)
         .join(fences, keys)

@@ -285,7 +285,7 @@ def repair_by_join(rows: DataFrame, name: str, domain: DataFrame) -> DataFrame:
     """
     best = F.struct((-F.col("n")).alias("less_often"), F.col("value"))
     domain = domain.where("value <> ''")
-    top = domain.agg(F.min(best)["value"].alias("_top"))
+    top = domain.agg(F.min(best)["value"]).first()[0]
     seen = rows.select(col(name).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("_m"))
     unknown = seen.join(domain.select("value"), "value", "left_anti").select(F.col("value").alias("miss"))
     pieces = domain.select(F.explode(_substrings(F.lower("value"))).alias("piece"), best.alias("cat"))
@@ -293,9 +293,8 @@ def repair_by_join(rows: DataFrame, name: str, domain: DataFrame) -> DataFrame:
     whole = domain.select(F.lower("value").alias("piece"), best.alias("cat")).groupBy("piece").agg(F.min("cat").alias("cat"))
     within = unknown.select("miss", F.explode(_substrings(F.lower("miss"))).alias("piece")).join(whole, "piece")
     close = around.select("miss", "cat").unionByName(within.select("miss", "cat")).groupBy("miss").agg(F.min("cat")["value"].alias("_close"))
-    fallback = top.select(F.lit(1).alias("_one"), "_top")
-    fixes = unknown.join(close, "miss", "left").withColumn("_one", F.lit(1)).join(fallback, "_one", "left")
-    fixes = materialize(fixes.select(F.col("miss").alias("_miss"), F.coalesce("_close", "_top").alias("_fix")), "repairs")
+    fixes = unknown.join(close, "miss", "left").select(F.col("miss").alias("_miss"), F.coalesce("_close", F.lit(top)).alias("_fix"))
+    fixes = materialize(fixes, "repairs")
     joined = rows.join(fixes, col(name) == F.col("_miss"), "left").withColumn(name, F.coalesce("_fix", col(name)))
     return joined.select(*[col(c) for c in rows.columns])
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tabkit.functions.columns import NUMERIC_TYPES, as_double, col, numeric_columns
 from tabkit.functions.quantiles import quantiles
-from tabkit.operators.profile import base_profile, column_facts, date_of_any, pair_correlations, ranked, value_counts
+from tabkit.operators.profile import column_facts, date_of_any, pair_correlations, ranked, value_counts
 
 # ---- Fixed values -----------------------------------------------------------
 LISTED_VALUES = 15
@@ -54,14 +54,14 @@ def overview(df: DataFrame) -> DataFrame:
 def column_report(df: DataFrame, exact: bool = True) -> DataFrame:
     """Storage type, sdtype, distinct values, missing values; range of time columns."""
     types = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, sdtype(f.dataType))])
-    facts = column_facts(df).join(base_profile(df, exact=exact), "column")
-    return facts.select(
+    missing_rate = F.try_divide(F.col("rows") - F.col("non_null"), F.col("rows"))
+    return column_facts(df, exact=exact).select(
         "column",
         F.col("original_dtype").alias("dtype"),
         F.try_element_at(types, F.col("column")).alias("sdtype"),
         "unique_count",
         (F.col("rows") - F.col("non_null")).alias("missing_count"),
-        F.round(F.col("missing_rate") * 100, 2).alias("missing_percent"),
+        F.round(missing_rate * 100, 2).alias("missing_percent"),
         F.col("min_ts").alias("min_date"),
         F.col("max_ts").alias("max_date"),
     )

@@ -29,9 +29,14 @@ def ks_from_counts(counts: DataFrame, keys: Sequence[str], value: str, real: str
     sides = counts.groupBy(*[col(k) for k in keys], col(value)).agg(
         _count_of(real).alias("n_real"), _count_of(synthetic).alias("n_syn")
     )
+    sides = materialize(sides, "ks-counts")
     summed = running_sums(sides, list(keys), [value], ["n_real", "n_syn"])
-    totals = summed.groupBy(*[col(k) for k in keys]).agg(F.max("n_real").alias("t_real"), F.max("n_syn").alias("t_syn"))
-    gaps = summed.join(totals, list(keys)) if keys else summed.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one")
+    totals = sides.groupBy(*[col(k) for k in keys]).agg(F.sum("n_real").alias("t_real"), F.sum("n_syn").alias("t_syn"))
+    if keys:
+        gaps = summed.join(totals, list(keys))
+    else:
+        t = totals.first()
+        gaps = summed.withColumns({"t_real": F.lit(t["t_real"]), "t_syn": F.lit(t["t_syn"])})
     gap = F.abs(F.try_divide("n_real", "t_real") - F.try_divide("n_syn", "t_syn"))
     return gaps.groupBy(*[col(k) for k in keys]).agg(F.max(gap).alias("ks"))
 

@@ -138,11 +138,9 @@ def sample_by_cutoff(df: DataFrame, n: int, seed: int, names: Sequence[str]) ->
 
 def retained(df: DataFrame, sample: DataFrame) -> DataFrame:
     """Rows before and after, and the percentage kept."""
-    before = df.agg(F.count(F.lit(1)).alias("rows_before"))
-    after = sample.agg(F.count(F.lit(1)).alias("rows_after"))
-    both = before.select(F.lit(1).alias("one"), "rows_before").join(after.select(F.lit(1).alias("one"), "rows_after"), "one")
-    pct = F.try_divide(F.col("rows_after") * 100.0, F.col("rows_before"))
-    return both.select("rows_before", "rows_after", pct.alias("percent_kept"))
+    both = df.select(F.lit(0).alias("kept")).unionByName(sample.select(F.lit(1).alias("kept")))
+    counts = both.agg(F.count_if(F.col("kept") == 0).alias("rows_before"), F.count_if(F.col("kept") == 1).alias("rows_after"))
+    return counts.withColumn("percent_kept", F.try_divide(F.col("rows_after") * 100.0, F.col("rows_before")))
 
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
