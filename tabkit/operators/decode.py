@@ -288,10 +288,14 @@ def repair_by_join(rows: DataFrame, name: str, domain: DataFrame) -> DataFrame:
     top = domain.agg(F.min(best)["value"]).first()[0]
     seen = rows.select(col(name).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("_m"))
     unknown = seen.join(domain.select("value"), "value", "left_anti").select(F.col("value").alias("miss"))
-    pieces = domain.select(F.explode(_substrings(F.lower("value"))).alias("piece"), best.alias("cat"))
+    unknown = materialize(unknown, "unknown-values")
+    # A match can only have a length that occurs on the other side.
+    domain_sizes = _lengths(domain.select(F.lower("value").alias("v")))
+    miss_sizes = [n for n in _lengths(unknown.select(F.lower("miss").alias("v"))) if n <= max(domain_sizes, default=0)]
+    pieces = domain.select(F.explode(_substrings(F.lower("value"), miss_sizes)).alias("piece"), best.alias("cat"))
     around = unknown.withColumn("piece", F.lower("miss")).join(pieces.groupBy("piece").agg(F.min("cat").alias("cat")), "piece")
     whole = domain.select(F.lower("value").alias("piece"), best.alias("cat")).groupBy("piece").agg(F.min("cat").alias("cat"))
-    within = unknown.select("miss", F.explode(_substrings(F.lower("miss"))).alias("piece")).join(whole, "piece")
+    within = unknown.select("miss", F.explode(_substrings(F.lower("miss"), domain_sizes)).alias("piece")).join(whole, "piece")
     close = around.select("miss", "cat").unionByName(within.select("miss", "cat")).groupBy("miss").agg(F.min("cat")["value"].alias("_close"))
     fixes = unknown.join(close, "miss", "left").select(F.col("miss").alias("_miss"), F.coalesce("_close", F.lit(top)).alias("_fix"))
     fixes = materialize(fixes, "repairs")
@@ -299,14 +303,16 @@ def repair_by_join(rows: DataFrame, name: str, domain: DataFrame) -> DataFrame:
     return joined.select(*[col(c) for c in rows.columns])
 
 
-def _substrings(c: Column) -> Column:
-    every = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length(c)),
-            lambda start: F.transform(F.sequence(F.lit(1), F.length(c) - start + 1), lambda size: F.substring(c, start, size)),
-        )
-    )
-    return F.array_distinct(F.when(F.length(c) > 0, every))
+def _lengths(texts: DataFrame) -> list[int]:
+    """The distinct text lengths, of which there are few."""
+    return sorted(r[0] for r in texts.select(F.length("v")).distinct().collect())
+
+
+def _substrings(c: Column, sizes: Sequence[int]) -> Column:
+    """All distinct substrings of a text that have one of the given lengths."""
+    fitting = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length(c))
+    every = F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda start: F.substring(c, start, n)))
+    return F.array_distinct(F.flatten(every))
 
 
 # ---- D11..D16 ---------------------------------------------------------------

@@ -174,9 +174,9 @@ def cardinality_shape(real: tuple[DataFrame, str, DataFrame, str], synthetic: tu
 
 
 # ---- N10 --------------------------------------------------------------------
-LEAF_POINTS = 256
-SPLIT_BITS = 2
-MAX_SPLITS = 15
+LEAF_POINTS = 64
+SPLIT_BITS = 1
+MAX_SPLITS = 30
 
 
 def closest_record_distance(
@@ -242,10 +242,12 @@ def _search(rows: DataFrame, reals: DataFrame, dims: list[str], kinds: list[str]
         cell = _cell(dims, level) if level else F.lit("")
         at_level = points.withColumn("_cell", cell)
         boxes = at_level.groupBy("_group", "_cell").agg(
-            F.count(F.lit(1)).alias("_n"), *[x for d in dims for x in (F.min(d).alias(f"lo_{d}"), F.max(d).alias(f"hi_{d}"))]
+            F.count(F.lit(1)).alias("_n"), F.min(F.struct(*dims)).alias("_one"), *[x for d in dims for x in (F.min(d).alias(f"lo_{d}"), F.max(d).alias(f"hi_{d}"))]
         )
         near = sum((F.greatest(F.col(f"lo_{d}") - F.col(d), F.col(d) - F.col(f"hi_{d}"), F.lit(0.0)) for d in dims), F.lit(0.0))
-        far = sum((F.greatest(F.col(f"hi_{d}") - F.col(d), F.col(d) - F.col(f"lo_{d}")) for d in dims), F.lit(0.0))
+        # No real point of the cell is farther than its far corner, and one of them is right here.
+        corner = sum((F.greatest(F.col(f"hi_{d}") - F.col(d), F.col(d) - F.col(f"lo_{d}")) for d in dims), F.lit(0.0))
+        far = F.least(corner, sum((F.abs(F.col(d) - F.col("_one")[d]) for d in dims), F.lit(0.0)))
         pairs = open_pairs.join(boxes, ["_group", "_cell"]).select(
             *ids, "best", "_group", "_cell", "_n", (near + misses).alias("_near"), (far + misses).alias("_far")
         )
@@ -268,6 +270,10 @@ def _search(rows: DataFrame, reals: DataFrame, dims: list[str], kinds: list[str]
 
 
 # ---- N11, N12 ---------------------------------------------------------------
+# Categories are hashed to this many features, so their number needs no bound.
+HASH_FEATURES = 4096
+
+
 def cap_disclosure(df: DataFrame, key_columns: Sequence[str], sensitive: str, real: str, synthetic: str) -> DataFrame:
     """For real rows with known key columns, the share of synthetic rows with the same keys that give away the sensitive value.
 
@@ -292,18 +298,21 @@ def cap_disclosure(df: DataFrame, key_columns: Sequence[str], sensitive: str, re
 
 def pmse(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], real: str, synthetic: str) -> DataFrame:
     """Mean squared distance of a logistic model's synthetic probability from the synthetic share."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import FeatureHasher, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    from tabkit.operators.ml import feature_pipeline
-
     both = df.where(F.col("dataset").isin(real, synthetic))
     work = both.select(
         (F.col("dataset") == synthetic).cast("double").alias("label"),
-        *[F.coalesce(as_double(df, c), F.lit(0.0)).alias(c) for c in numeric],
-        *[F.coalesce(col(c).cast("string"), F.lit("none")).alias(c) for c in categorical],
+        *[F.coalesce(as_double(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(numeric)],
+        *[F.coalesce(col(c).cast("string"), F.lit("none")).alias(f"c{i}") for i, c in enumerate(categorical)],
     )
-    prepared = feature_pipeline(numeric, categorical).fit(work).transform(work).select("label", "features")
+    hashed = [FeatureHasher(inputCols=[f"c{i}" for i in range(len(categorical))], outputCol="hashed", numFeatures=HASH_FEATURES)] if categorical else []
+    inputs = [f"x{i}" for i in range(len(numeric))] + (["hashed"] if categorical else [])
+    stages = [*hashed, VectorAssembler(inputCols=inputs, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=False)]
+    prepared = materialize(Pipeline(stages=stages).fit(work).transform(work).select("label", "features"), "pmse-vectors")
     scored = LogisticRegression(maxIter=50).fit(prepared).transform(prepared)
     p = vector_to_array("probability")[1]
     share = prepared.agg(F.avg("label")).first()[0]

@@ -118,7 +118,7 @@ def _draw(prefix: Column, k: Column, n: Column) -> Column:
 def draw_shots(
     pool: DataFrame,
     prompts: DataFrame,
-    key: Sequence[str],
+    key: Sequence[str] | None = None,
     k: int | None = None,
     seed: int = 42,
     strata: Sequence[str] = (),
@@ -126,13 +126,17 @@ def draw_shots(
 ) -> DataFrame:
     """K1, K2: for each prompt its own ``k`` pool rows without replacement.
 
-    ``key`` identifies pool rows. ``prompts`` needs ``prompt_id`` and, when
+    ``key`` identifies pool rows; without one, equal rows are numbered first so
+    that copies stay apart. ``prompts`` needs ``prompt_id`` and, when
     ``k`` is None, its own ``k_shot``. With ``strata`` the k rows are shared out
     in proportion to the stratum sizes (largest remainder). Work is prompts x k
     plus one numbering of the pool; no prompt looks at the whole pool.
     ``indexed`` is a pool already numbered by ``dense_index``, for repeated draws.
     """
     prompts = prompts if k is None else prompts.withColumn("k_shot", F.lit(k))
+    if key is None:
+        pool = spread_copies(pool)
+        key = pool.columns
     if strata:
         if k is None:
             raise ValueError("a stratified draw needs one k for all prompts")

@@ -75,7 +75,9 @@ def representative(
     individual. ``n`` keeps a uniform sample of that many rows.
     """
     names = select_features(df, features)
-    limits = {r["column"]: (r["lo"], r["hi"]) for r in bounds(df, names, lo, hi).collect()}
+    limits: dict[str, tuple] = {n: (None, None) for n in names}
+    if names:
+        limits.update({r["column"]: (r["lo"], r["hi"]) for r in bounds(df, names, lo, hi).collect()})
     hits = _in_range(df, limits)
     chain = {"strict": [("strict", threshold), ("flexible", 0.5), ("individual", 0.0)],
              "flexible": [("flexible", threshold), ("individual", 0.0)]}.get(method, [(method, threshold)])

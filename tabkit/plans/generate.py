@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabkit.operators.decode import cap_per_prompt, complete, decode, decode_stats, first_rows
 from tabkit.operators.profile import DatasetProfile, profile
 from tabkit.operators.prompt import (
+    DEFAULT_SHOTS,
     MAX_EMPTY_ROUNDS,
     MAX_RETRY_TOKENS,
     ROWS_PER_PROMPT,
@@ -89,3 +90,13 @@ def generate(
     for r in rounds[1:]:
         out = out.unionByName(r)
     return first_rows(out, n_rows).select(*[F.col(f"`{c}`") for c in prof.column_order]), prof
+
+
+def generate_sweep(train: DataFrame, fn: Callable[[list[str], int], list[str]], n_rows: int, key: Sequence[str], shots: Sequence[int] = DEFAULT_SHOTS, **options) -> DataFrame:
+    """One run per number of examples, as one table with ``k_shot``."""
+    out = None
+    for k in shots:
+        rows, _ = generate(train, fn, n_rows, key, k_shot=k, **options)
+        rows = rows.withColumn("k_shot", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    return out

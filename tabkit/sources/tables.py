@@ -36,15 +36,21 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return nan_to_null(df)
 
 
-def read_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_many(spark: SparkSession, paths: Sequence[str], schema=None) -> DataFrame:
     """Several files as one table with their path in ``source``.
 
+    With ``schema`` all CSV files are one scan and none is read for its types.
+
     Files of one kind with one schema are one scan; differing schemas are
     united by column name, absent columns are null.
     """
     frames: list[DataFrame] = []
     for parquet in (True, False):
         group = [p for p in paths if p.endswith(".parquet") == parquet]
+        if group and schema is not None and not parquet:
+            df = spark.read.schema(schema).csv(group, header=True, quote='"', escape='"')
+            frames.append(nan_to_null(df.select("*", F.col("_metadata.file_path").alias("source"))))
+            continue
         by_schema: dict[str, list[str]] = {}
         for p in group:
             by_schema.setdefault(_read(spark, p, parquet).schema.simpleString(), []).append(p)

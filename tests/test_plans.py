@@ -48,3 +48,20 @@ def test_draws_number_the_pool_inside_buckets(spark, data):
     text = plan(K.dense_index(pool, ["o_orderkey"], 1))
     windows = re.findall(r"Window \[row_number[^\n]*", text)
     assert windows and all("_bucket" in w for w in windows)
+
+
+@pytest.mark.parametrize("name", ["histogram", "box_stats", "boundary_adherence", "representative_by_source"])
+def test_small_sides_are_broadcast_by_their_real_size(spark, data, name):
+    assert "BroadcastHashJoin" in plan(QUERIES[name].run(spark, data))
+
+
+@pytest.mark.parametrize("name", ["profile_topk", "inspect_values"])
+def test_top_k_is_cut_before_the_shuffle(spark, data, name):
+    assert "WindowGroupLimit" in plan(QUERIES[name].run(spark, data))
+
+
+def test_domain_limit_is_cut_before_the_shuffle(spark, data):
+    from tabkit.operators import profile as P
+
+    counts = P.value_counts(read_table(spark, f"{data}/part.parquet"), ["p_name"])
+    assert "WindowGroupLimit" in plan(P.ranked(counts, P.INLINE_DOMAIN))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabkit.operators import prompt as K
 from tabkit.operators.profile import profile
-from tabkit.plans.generate import generate
+from tabkit.plans.generate import generate, generate_sweep
 from tabkit.plans.queries_text import simple_profile
 from tabkit.sources.tables import read_table
 
@@ -34,6 +34,12 @@ def test_draws_do_not_depend_on_partitions(spark):
         want = got
 
 
+def test_copies_are_rows_of_their_own(spark):
+    pool = spark.range(30).select(F.when(F.col("id") < 12, 0).otherwise(F.col("id")).alias("v"))
+    got = K.draw_shots(pool, spark.range(3).withColumnRenamed("id", "prompt_id"), None, 30)
+    assert got.count() == 90 and got.where("v = 0").count() == 36
+
+
 def test_dense_index(spark):
     got = [r["idx"] for r in K.dense_index(spark.range(3000), ["id"], 5).collect()]
     assert sorted(got) == list(range(3000))
@@ -127,3 +133,22 @@ def test_generate_gives_up(spark, data):
     train = read_table(spark, f"{data}/region.parquet")
     with pytest.warns(UserWarning), pytest.raises(RuntimeError):
         generate(train, lambda batch, limit: ["no rows"] * len(batch), 10, ["r_regionkey"], k_shot=2, prompts_per_batch=1, representative_threshold=None, correlations=False)
+
+
+def test_sweep(spark, data):
+    train = read_table(spark, f"{data}/nation.parquet")
+    rows = generate_sweep(train, echo_model(), 10, ["n_nationkey"], (3, 5), rows_per_prompt=5, prompts_per_batch=8, representative_threshold=None, correlations=False)
+    assert {r["k_shot"]: r["count"] for r in rows.groupBy("k_shot").count().collect()} == {3: 10, 5: 10}
+
+
+def test_counter_may_be_a_pandas_function(spark, data):
+    import pandas as pd
+
+    @F.pandas_udf("bigint")
+    def words(s: pd.Series) -> pd.Series:
+        return s.str.split().str.len()
+
+    c = read_table(spark, f"{data}/customer.parquet")
+    got = K.token_stats(c, ["c_custkey"], 10, counter=words).first()
+    assert got["rows"] == c.count() and got["avg_row_tokens"] >= 15
+    assert K.fit_rows_per_prompt(c, counter=words).first()["rows_per_prompt"] == 25

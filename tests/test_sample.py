@@ -87,3 +87,16 @@ def test_first_rows_both_routes(spark):
     df = spark.range(2000).selectExpr("id % 3 AS round", "id % 50 AS prompt_id", "id AS row_idx")
     a = rows(first_rows(df, 777), "round", "prompt_id", "row_idx")
     assert rows(first_rows(df, 777, top_n=10), "round", "prompt_id", "row_idx") == a and len(a) == 777
+
+
+def test_no_numeric_columns(spark):
+    df = spark.sql("SELECT 'a' AS s UNION ALL SELECT 'b'")
+    assert S.representative(df, "strict").count() == 2 and S.representative(df, "flexible").count() == 2
+    with pytest.warns(UserWarning):
+        assert S.representative(df, "individual").count() == 0
+
+
+def test_sources_have_their_own_bounds(spark):
+    df = spark.range(200).selectExpr("IF(id < 150, 'hot', CAST(id AS string)) AS s", "id AS x", "id % 10 AS y")
+    got = {r["s"]: r["count"] for r in S.representative_by_source(df, "s", 1.0).groupBy("s").count().collect()}
+    assert got["160"] == 1 and 20 < got["hot"] < 100
