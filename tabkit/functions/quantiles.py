@@ -19,10 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabkit.functions.columns import as_double, col
+from tabkit.functions.columns import as_double, chunked, col
 from tabkit.session import materialize
 
 SMALL_INPUT_ROWS = 5_000_000
+# Columns of a small input that share a scan; the groups run side by side.
+COLUMNS_PER_SCAN = 2
 
 
 def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -45,9 +47,13 @@ def quantiles(
 
 def _quantiles_small(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
     want = F.array(*[F.lit(float(p)) for p in probs])
-    aggs = [F.percentile(as_double(df, c), want).alias(c) for c in columns]
-    wide = df.groupBy(*[col(b) for b in by]).agg(*aggs)
-    return wide.unpivot([col(b) for b in by], [col(c) for c in columns], "column", "q")
+    out = None
+    for group in chunked(list(columns), COLUMNS_PER_SCAN):
+        aggs = [F.percentile(as_double(df, c), want).alias(c) for c in group]
+        wide = df.groupBy(*[col(b) for b in by]).agg(*aggs)
+        part = wide.unpivot([col(b) for b in by], [col(c) for c in group], "column", "q")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _quantiles_large(

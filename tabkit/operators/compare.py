@@ -154,7 +154,7 @@ def category_shares(df: DataFrame, columns: Sequence[str], datasets: Sequence[st
     wide = counts.groupBy("column", "value").agg(*[F.sum(F.when(F.col("dataset") == d, F.col("n"))).alias(f"_n{i}") for i, d in enumerate(datasets)])
     share = lambda i: F.coalesce(F.try_divide(F.col(f"_n{i}").cast("double"), F.col(f"_t{i}")), F.lit(0.0))
     rows = F.array(*[F.struct(F.lit(d).alias("dataset"), share(i).alias("share")) for i, d in enumerate(datasets)])
-    return wide.join(totals, "column").select("column", "value", F.inline(rows))
+    return wide.join(materialize(totals, "totals"), "column").select("column", "value", F.inline(rows))
 
 
 def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:

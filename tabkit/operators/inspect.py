@@ -121,13 +121,14 @@ def notable_correlations(df: DataFrame, limit: float = NOTABLE_CORRELATION, colu
 def target_classes(df: DataFrame, target: str) -> DataFrame:
     """I8: class shares, number of classes, and whether one class dominates."""
     counts = value_counts(df, [target])
-    totals = counts.groupBy("column").agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("n_classes"), F.max("n").alias("_top"))
-    return counts.join(totals, "column").select(
+    t = counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"), F.max("n").alias("top")).first()
+    rows = t["rows"] or 0
+    return counts.select(
         F.col("column").alias("target"),
         F.col("value").alias("class"),
-        F.round(F.col("n") / F.col("_total"), 4).alias("share"),
-        "n_classes",
-        (F.col("_top") / F.col("_total") > IMBALANCE).alias("imbalanced"),
+        F.round(F.col("n") / F.lit(max(rows, 1)), 4).alias("share"),
+        F.lit(t["classes"]).cast("bigint").alias("n_classes"),
+        F.lit((t["top"] or 0) > IMBALANCE * rows).alias("imbalanced"),
     )
 
 

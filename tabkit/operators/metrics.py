@@ -24,16 +24,14 @@ def _count_of(dataset: str, n: str | Column = "n") -> Column:
 
 
 # ---- N1 ---------------------------------------------------------------------
-def ks_from_counts(counts: DataFrame, keys: Sequence[str], value: str, real: str, synthetic: str) -> DataFrame:
-    """Largest distance of two distributions given as ``(keys..., value, dataset, n)``."""
-    sides = counts.groupBy(*[col(k) for k in keys], col(value)).agg(
-        _count_of(real).alias("n_real"), _count_of(synthetic).alias("n_syn")
-    )
+def ks_from_counts(sides: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Largest distance of two distributions given as ``(keys..., value, n_real, n_syn)``."""
     sides = materialize(sides, "ks-counts")
     summed = running_sums(sides, list(keys), [value], ["n_real", "n_syn"])
     totals = sides.groupBy(*[col(k) for k in keys]).agg(F.sum("n_real").alias("t_real"), F.sum("n_syn").alias("t_syn"))
     if keys:
-        gaps = summed.join(totals, list(keys))
+        # One row per key, written so that its size is known; the other side is not moved by so few keys.
+        gaps = summed.join(materialize(totals, "ks-totals"), list(keys))
     else:
         t = totals.first()
         gaps = summed.withColumns({"t_real": F.lit(t["t_real"]), "t_syn": F.lit(t["t_syn"])})
@@ -43,8 +41,10 @@ def ks_from_counts(counts: DataFrame, keys: Sequence[str], value: str, real: str
 
 def ks_statistic(df: DataFrame, columns: Sequence[str], real: str, synthetic: str) -> DataFrame:
     """Kolmogorov-Smirnov distance per numeric column; ``score`` is its complement."""
-    counts = long_values(df, columns).groupBy("dataset", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ks = ks_from_counts(counts, ["column"], "value", real, synthetic)
+    sides = long_values(df, columns).groupBy("column", "value").agg(
+        F.count_if(F.col("dataset") == real).alias("n_real"), F.count_if(F.col("dataset") == synthetic).alias("n_syn")
+    )
+    ks = ks_from_counts(sides, ["column"], "value")
     return ks.withColumn("score", 1 - F.col("ks"))
 
 
@@ -94,12 +94,14 @@ def contingency_similarity(df: DataFrame, columns: Sequence[str], real: str, syn
     parts = []
     for group in chunked(pairs, 50):
         cells = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), texts[a].alias("va"), texts[b].alias("vb")) for a, b in group])
-        counts = df.select("dataset", F.inline(cells)).groupBy("dataset", "col_a", "col_b", "va", "vb").agg(F.count(F.lit(1)).alias("n"))
-        parts.append(counts)
-    counts = parts[0]
+        parts.append(
+            df.select("dataset", F.inline(cells)).groupBy("col_a", "col_b", "va", "vb").agg(
+                F.count_if(F.col("dataset") == real).alias("a"), F.count_if(F.col("dataset") == synthetic).alias("b")
+            )
+        )
+    sides = parts[0]
     for p in parts[1:]:
-        counts = counts.unionByName(p)
-    sides = counts.groupBy("col_a", "col_b", "va", "vb").agg(_count_of(real).alias("a"), _count_of(synthetic).alias("b"))
+        sides = sides.unionByName(p)
     totals = df.groupBy("dataset").agg(F.count(F.lit(1)).alias("t"))
     t = {r["dataset"]: r["t"] for r in totals.collect()}
     gap = F.abs(F.col("a") / F.lit(float(t.get(real, 0)) or None) - F.col("b") / F.lit(float(t.get(synthetic, 0)) or None))
@@ -167,10 +169,11 @@ def children_per_parent(child: DataFrame, child_key: str, parent: DataFrame, par
 
 def cardinality_shape(real: tuple[DataFrame, str, DataFrame, str], synthetic: tuple[DataFrame, str, DataFrame, str]) -> DataFrame:
     """KS distance between the numbers of children per parent of two (child, key, parent, key)."""
-    counts = children_per_parent(*real).withColumn("dataset", F.lit("real")).unionByName(
-        children_per_parent(*synthetic).withColumn("dataset", F.lit("synthetic"))
-    )
-    return ks_from_counts(counts, [], "children", "real", "synthetic").withColumn("score", 1 - F.col("ks"))
+    zero = F.lit(0).cast("bigint")
+    a = children_per_parent(*real).select("children", F.col("n").alias("n_real"), zero.alias("n_syn"))
+    b = children_per_parent(*synthetic).select("children", zero.alias("n_real"), F.col("n").alias("n_syn"))
+    sides = a.unionByName(b).groupBy("children").agg(F.sum("n_real").alias("n_real"), F.sum("n_syn").alias("n_syn"))
+    return ks_from_counts(sides, [], "children").withColumn("score", 1 - F.col("ks"))
 
 
 # ---- N10 --------------------------------------------------------------------
