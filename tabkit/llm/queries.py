@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import decontaminate
+from tabkit.llm import decontaminate, language, packing
+from tabkit.llm.common import remainder
 from tabkit.plans.base import Query
 
 QUERIES: dict[str, Query] = {}
@@ -50,3 +51,22 @@ FROM sized s LEFT JOIN hit h ON s.id = h.doc_id LEFT JOIN items i ON s.id = i.do
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query()
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", remainder("doc_id", 4) == 2)
+    languages, prototypes = language.learn(docs.where(~F.col("held_out")))
+    return language.predict(docs, languages, prototypes, keep=["doc_id", "held_out"])
