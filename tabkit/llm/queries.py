@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import chat, decontaminate, language, packing, topk, warc
+from tabkit.llm import chat, decontaminate, language, lmscore, packing, topk, toxicity, warc
 from tabkit.llm.common import remainder
 from tabkit.plans.base import Query
 
@@ -124,3 +124,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.nullif(F.regexp_replace(c, "^urn:record:", ""), F.lit("")).cast("long")
     sound = F.when(F.col("problem").isNull(), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("unsound record: "), "problem")))
     return records.select(page("record_id").alias("page_id"), "payload_bytes", sound.alias("payload_digest"), F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"))
+
+
+@query()
+def op1_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder("doc_id", 7) == 2)
+    model = lmscore.train(docs.where(~F.col("held_out")))
+    return lmscore.score(docs, model, keep=["doc_id", "held_out"])
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder("doc_id", 5) == 0)
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    scorer = toxicity.fit(docs.where(~F.col("held_out")), labels)
+    return toxicity.score(docs, scorer, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted")

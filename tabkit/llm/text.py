@@ -74,7 +74,7 @@ def chain(*columns: np.ndarray) -> np.ndarray:
 
 class Words(NamedTuple):
     hash: np.ndarray  # uint64 per word
-    head: np.ndarray | None  # hash of the word's first bytes, if asked for
+    heads: list[np.ndarray]  # hashes of the word's first bytes, for each length asked for
     start: np.ndarray  # byte offsets into data
     end: np.ndarray
     first: np.ndarray  # per text, the index of its first word; one more at the end
@@ -119,9 +119,9 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> list[int]
     return cuts
 
 
-def split(column: pa.Array | pa.ChunkedArray, kind: Separators, head_bytes: int = 0) -> Words:
+def split(column: pa.Array | pa.ChunkedArray, kind: Separators, head_bytes: tuple[int, ...] = ()) -> Words:
     data, offsets = raw(as_bytes(column))
-    hashes, heads, starts, ends = [], [], [], []
+    hashes, heads, starts, ends = [], [[] for _ in head_bytes], [], []
     cuts = _cuts(data, offsets, kind.space)
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = data[a:b]
@@ -140,13 +140,13 @@ def split(column: pa.Array | pa.ChunkedArray, kind: Separators, head_bytes: int
         sums = np.zeros(b - a + 1, np.uint64)
         np.cumsum(_table[kind.folded[part]] * power[: b - a], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * inverse[s]))
-        if head_bytes:
-            heads.append(mix((sums[np.minimum(e, s + head_bytes)] - sums[s]) * inverse[s]))
+        for parts, size in zip(heads, head_bytes, strict=True):
+            parts.append(mix((sums[np.minimum(e, s + size)] - sums[s]) * inverse[s]))
         starts.append(s + a)
         ends.append(e + a)
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     start = join(starts, np.int64)
-    return Words(join(hashes, np.uint64), join(heads, np.uint64) if head_bytes else None, start, join(ends, np.int64), np.searchsorted(start, offsets, "left"), data)
+    return Words(join(hashes, np.uint64), [join(x, np.uint64) for x in heads], start, join(ends, np.int64), np.searchsorted(start, offsets, "left"), data)
 
 
 def groups(sorted_keys: np.ndarray) -> np.ndarray:
