@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabkit.llm.common import BINARY, DOUBLE, FIELD, INT, LONG, annotate, lists, name, scan, shuffle_width, stage
-from tabkit.llm.text import WHITE, chain, groups, mix, split
+from tabkit.llm.text import WHITE, chain, dealt, groups, mix, split
 
 BASE = 1.5
 BITS = 10
@@ -60,12 +60,6 @@ def level_of(count: np.ndarray) -> np.ndarray:
     return np.searchsorted(limits, count, "right").clip(1, _LEVELS - 1)
 
 
-def dealt(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Bounds of the hash ranges in a sorted array."""
-    edges = np.array([(p << 64) // width for p in range(1, width)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges, "left"), [len(hashes)]])
-
-
 def _places(hashes: np.ndarray, level: np.ndarray, bits: np.ndarray):
     x = mix(hashes + level.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     low, step = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import chat, decontaminate, language, lmscore, packing, topk, toxicity, warc
+from tabkit.llm import chat, decontaminate, language, lmscore, nearjoin, packing, topk, toxicity, warc
 from tabkit.llm.common import remainder
 from tabkit.plans.base import Query
 
@@ -139,3 +139,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
     scorer = toxicity.fit(docs.where(~F.col("held_out")), labels)
     return toxicity.score(docs, scorer, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op8_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
