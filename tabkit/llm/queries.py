@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import chat, decontaminate, language, lmscore, nearjoin, packing, topk, toxicity, warc
+from tabkit.llm import chat, decontaminate, language, lmscore, nearjoin, packing, suffixdedup, topk, toxicity, warc
 from tabkit.llm.common import remainder
 from tabkit.plans.base import Query
 
@@ -144,3 +144,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True, keep=["doc_id"])
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
+    return cut.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
