@@ -2,7 +2,7 @@
 
 Looked for: bytes covered by a string of ``length`` bytes that also starts anywhere else. Only the first ``length`` bytes of a suffix matter, so:
 
-1. Buckets: a suffix belongs to the smallest hash among the 8-byte words in its first ``length`` bytes (the leftmost, if equal), which equal
+1. Buckets: a suffix belongs to the smallest hash among the strings of WORD bytes in its first ``length`` bytes (the leftmost, if equal), which equal
    strings share. Neighbouring suffixes of a bucket form a piece of text. Only a piece's bucket, hash and place are shuffled.
 2. Equal pieces repeat as a whole. A bucket with one distinct piece is done. The distinct pieces of the other buckets are fetched, once each.
 3. Buckets are sorted one after the other, some at a time up to ``BLOCK`` bytes of text. Ranks of the suffixes on a difference cover (period
@@ -26,19 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tabkit.llm.common import BINARY, FIELD, INT, LONG, STRING, name, shuffle_width, size_of, stage
+from tabkit.llm.common import BINARY, FIELD, LONG, STRING, name, shuffle_width, size_of, stage
 from tabkit.llm.text import SEGMENT, _power_tables, _table, chain, groups, mix
 
 LENGTH = 400
-WORD = 8
+WORD = 32  # shorter ones are common to texts that share nothing else
 HOT = 20_000
 BLOCK = 2 << 20
-SPANS_BROADCAST = 24 << 20  # bytes of a staged table that may be broadcast
+SPANS_BROADCAST = 32 << 20  # bytes of a staged table that may be broadcast
 # Perfect difference covers; every residue is a difference of two members.
 COVERS = {31: (0, 1, 3, 8, 12, 18), 7: (0, 1, 3)}
 
-_ID = "doc string, text_hash long"
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -53,8 +53,8 @@ def _hash(sums: np.ndarray, start: np.ndarray, size) -> np.ndarray:
 
 def _words(data: np.ndarray, order: str) -> np.ndarray:
     """The 8-byte word at each place; the end is padded with zeros."""
-    padded = np.concatenate([data, np.zeros(WORD - 1, np.uint8)])
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, WORD)).view(order + "u8").reshape(-1)
+    padded = np.concatenate([data, np.zeros(7, np.uint8)])
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(order + "u8").reshape(-1)
 
 
 def _window_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,8 +80,9 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int):
         b = min(a + SEGMENT, n)
         part = data[a:b]
         stop = b - a - length + 1 if b < n else b - a  # the last suffixes of a segment are the next one's
-        key = mix(_words(part, "<"))
-        low = (key & ~np.uint64(SEGMENT - 1)) | np.arange(len(part), dtype=np.uint64)
+        sums = _sums(part)
+        key = _hash(sums, np.arange(max(0, len(part) - WORD + 1)), WORD)
+        low = (key & ~np.uint64(SEGMENT - 1)) | np.arange(len(key), dtype=np.uint64)
         least = _window_min(low, length - WORD + 1)
         start = np.arange(min(len(least), stop))
         text = np.searchsorted(offsets, start + a, "right") - 1
@@ -94,7 +95,6 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int):
             first = np.flatnonzero(new)
             count = np.diff(np.concatenate([first, [len(start)]]))
             s = start[first]
-            sums = _sums(part)
             found.append((text[first], s + a - offsets[text[first]], count, at[first] - s, key[at[first]], _hash(sums, s, count + length - 1) + count.astype(np.uint64)))
         if b == n:
             break
@@ -167,10 +167,12 @@ def _runs(piece: np.ndarray, nth: np.ndarray):
 
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = F.coalesce(name(text).cast("string"), F.lit(""))
-    return docs.select(name(key).cast("string").alias("doc"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
+    return docs.select(name(key).alias("doc"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
 
 
-_SPAN = f"{_ID}, start long, suffixes long"
+def _schema(docs: DataFrame, rest: str) -> T.StructType:
+    """doc (with the type of its key), text_hash and more."""
+    return T.StructType([FIELD("doc", docs.schema["doc"].dataType), *T.StructType.fromDDL("text_hash long, " + rest).fields])
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -191,7 +193,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                     ["doc", "text_hash", "start", "suffixes", "at", "bucket", "piece"],
                 )
 
-    pieces = stage(source.where(F.octet_length("body") >= length).mapInArrow(cut, f"{_ID}, start long, suffixes int, at int, bucket long, piece long"), "pieces")
+    pieces = stage(source.where(F.octet_length("body") >= length).mapInArrow(cut, _schema(source, "start long, suffixes int, at int, bucket long, piece long")), "pieces")
     distinct = pieces.groupBy("bucket", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "text_hash", "start", "suffixes", "at")).alias("one"))
     distinct = stage(_open(distinct), "distinct")
     whole = pieces.join(distinct.where("copies > 1").select("bucket", "piece"), ["bucket", "piece"], "left_semi").select("doc", "text_hash", "start", F.col("suffixes").cast("long").alias("suffixes"))
@@ -201,16 +203,16 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     def fetch(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k, row in enumerate(batch.to_pylist()):
                 w = row["wanted"]
-                columns = [[row["doc"]] * len(w), [row["text_hash"]] * len(w)] + [[x[c] for x in w] for c in ("start", "suffixes", "at", "bucket", "copies", "rivals")]
+                columns = [[row["text_hash"]] * len(w)] + [[x[c] for x in w] for c in ("start", "suffixes", "at", "bucket", "copies", "rivals")]
                 columns.append([row["body"][x["start"] : x["start"] + x["suffixes"] + length - 1] for x in w])
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                doc = batch.column(0).take(pa.array([k] * len(w), pa.int64()))
+                yield pa.RecordBatch.from_arrays([doc, *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], schema.names)
 
-    names = ["doc", "text_hash", "start", "suffixes", "at", "bucket", "copies", "rivals", "body"]
-    kinds = (STRING, LONG, LONG, INT, INT, LONG, LONG, LONG, BINARY)
-    fetched = fetched.mapInArrow(fetch, T.StructType([FIELD(n, k) for n, k in zip(names, kinds, strict=True)]))
+    schema = _schema(source, "start long, suffixes int, at int, bucket long, copies long, rivals long, body binary")
+    fetched = fetched.select("doc", "text_hash", "body", "wanted").mapInArrow(fetch, schema)
     if rivals.where(F.col("rivals") > hot).limit(1).count():
         fetched = stage(fetched, "fetched")  # read twice
         return whole.union(_sorted(fetched.where(F.col("rivals") <= hot), length, width)).union(_counted(fetched.where(F.col("rivals") > hot), length))
@@ -231,6 +233,8 @@ def _meet(source: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def _sorted(fetched: DataFrame, length: int, width: int) -> DataFrame:
+    kind = to_arrow_type(fetched.schema["doc"].dataType)
+
     def run(batches):
         held, size = [], 0
 
@@ -242,7 +246,7 @@ def _sorted(fetched: DataFrame, length: int, width: int) -> DataFrame:
             piece, first, count = piece[mine], first[mine], count[mine]
             chosen = [rows[p] for p in piece]
             start = np.array([r["start"] for r in chosen], np.int64) + first
-            columns = [pa.array([r["doc"] for r in chosen], pa.string()), pa.array([r["text_hash"] for r in chosen], pa.int64()), pa.array(start), pa.array(count.astype(np.int64))]
+            columns = [pa.array([r["doc"] for r in chosen], kind), pa.array([r["text_hash"] for r in chosen], pa.int64()), pa.array(start), pa.array(count.astype(np.int64))]
             return pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "start", "suffixes"])
 
         for batch in batches:
@@ -257,10 +261,12 @@ def _sorted(fetched: DataFrame, length: int, width: int) -> DataFrame:
         if held:
             yield sort(held)
 
-    return fetched.repartition(width, "bucket").sortWithinPartitions("bucket", "doc", "text_hash", "start").mapInArrow(run, _SPAN)
+    return fetched.repartition(width, "bucket").sortWithinPartitions("bucket", "doc", "text_hash", "start").mapInArrow(run, _schema(fetched, "start long, suffixes long"))
 
 
 def _counted(fetched: DataFrame, length: int) -> DataFrame:
+    kind = to_arrow_type(fetched.schema["doc"].dataType)
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -268,9 +274,9 @@ def _counted(fetched: DataFrame, length: int) -> DataFrame:
                 sums = _sums(np.frombuffer(row["body"], np.uint8))
                 start = np.arange(n)
                 halves = [_hash(sums, start, length // 2), _hash(sums, start + length // 2, length - length // 2)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["doc"]] * n, pa.string()), pa.array([row["text_hash"]] * n, pa.int64()), pa.array(row["start"] + start), *(pa.array(h.view(np.int64)) for h in halves), pa.array([row["copies"]] * n, pa.int64())], ["doc", "text_hash", "start", "h1", "h2", "copies"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["doc"]] * n, kind), pa.array([row["text_hash"]] * n, pa.int64()), pa.array(row["start"] + start), *(pa.array(h.view(np.int64)) for h in halves), pa.array([row["copies"]] * n, pa.int64())], ["doc", "text_hash", "start", "h1", "h2", "copies"])
 
-    rows = fetched.dropDuplicates(["bucket", "doc", "text_hash", "start"]).select("doc", "text_hash", "start", "suffixes", "copies", "body").mapInArrow(run, f"{_ID}, start long, h1 long, h2 long, copies long")
+    rows = fetched.dropDuplicates(["bucket", "doc", "text_hash", "start"]).select("doc", "text_hash", "start", "suffixes", "copies", "body").mapInArrow(run, _schema(fetched, "start long, h1 long, h2 long, copies long"))
     again = rows.groupBy("h1", "h2").agg(F.sum("copies").alias("k")).where("k > 1").select("h1", "h2")
     return rows.where("copies = 1").join(again, ["h1", "h2"], "left_semi").select("doc", "text_hash", "start", F.lit(1).cast("long").alias("suffixes"))
 
@@ -287,7 +293,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     new = {"n_bytes", "removed", "kept", "__spans", "doc", "text_hash", "body"}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     body = F.coalesce(name(text).cast("string"), F.lit(""))
-    source = docs.select(*[name(c) for c in keep], name(key).cast("string").alias("doc"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
+    source = docs.select(*[name(c) for c in keep], name(key).alias("doc"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
     met = _meet(source, found, "left").select(*[name(c) for c in keep], "body", "__spans")
     fields = [FIELD("n_bytes", LONG), REMOVED[1], FIELD("kept", STRING if digest else BINARY)]
     schema = T.StructType([docs.schema[c] for c in keep] + fields)
