@@ -37,12 +37,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark, self.mark_id = special[0] if special else (None, None)
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[int, int] = {}
         self.first, self.ids = array("q", [0]), array("I")
 
+    def _encode(self, words: list[str]):
+        """Ids of each word; many at a time, with a special token between them, which ids of words without it cannot hold."""
+        if self.mark is None:
+            yield from (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+            return
+        plain = [w if self.mark not in w else "" for w in words]
+        for a in range(0, len(plain), 64 * 256):
+            joined = [self.mark.join(plain[k : k + 64]) for k in range(a, min(a + 64 * 256, len(plain)), 64)]
+            for k, e in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = e.ids
+                low = 0
+                for w in words[a + 64 * k : a + 64 * (k + 1)]:
+                    try:
+                        high = ids.index(self.mark_id, low)
+                    except ValueError:
+                        high = len(ids)
+                    yield ids[low:high] if self.mark not in w else self.tokenizer.encode(w, add_special_tokens=False).ids
+                    low = high + 1
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the n + 1 offsets of the texts."""
         words = split(column, WHITE_RAW)
@@ -53,11 +74,10 @@ class Encoder:
         new = [i for i, h in enumerate(keys) if h not in self.known]
         data = words.data.tobytes() if new else b""
         plain = [data[words.start[at[i]] : words.end[at[i]]].decode("utf-8", "replace") for i in new]
-        for a in range(0, len(plain), 8192):
-            for i, e in zip(new[a : a + 8192], self.tokenizer.encode_batch_fast(plain[a : a + 8192], add_special_tokens=False), strict=True):
-                self.known[keys[i]] = len(self.first) - 1
-                self.ids.extend(e.ids)
-                self.first.append(len(self.ids))
+        for i, ids in zip(new, self._encode(plain), strict=True):
+            self.known[keys[i]] = len(self.first) - 1
+            self.ids.extend(ids)
+            self.first.append(len(self.ids))
         first, ids = np.array(self.first, np.int64), np.array(self.ids, np.uint32)
         entry = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[which.reshape(-1)]
         size = first[entry + 1] - first[entry]
