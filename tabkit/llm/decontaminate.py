@@ -204,7 +204,7 @@ def _step(docs: DataFrame, text: str, sent, keep: list[str], first: bool) -> Dat
 
         return work
 
-    return annotate(docs, text, RESULT, make, keep)
+    return annotate(docs, text, RESULT, make, keep).drop("__runs", "__items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -30,7 +30,7 @@ from tabkit.llm.common import BINARY, DOUBLE, FIELD, INT, LONG, annotate, lists,
 from tabkit.llm.text import WHITE, chain, dealt, groups, mix, split
 
 BASE = 1.5
-BITS = 10
+BITS = 8
 PROBES = 5
 M = 50.0
 FILTER_BYTES = 192 << 20
@@ -84,14 +84,14 @@ def build_segment(hashes: np.ndarray, counts: np.ndarray) -> bytes:
 class Filter:
     """Segments of one or both orders, and the mean counts of their levels."""
 
-    def __init__(self, width: int, segments: dict[tuple[int, int], bytes], means: np.ndarray):
+    def __init__(self, width: int, means: np.ndarray):
         self.width, self.means = width, means
-        self.body = np.frombuffer(b"".join(segments.values()), np.uint8)
+        self.body = np.zeros(0, np.uint8)
         self.first, self.bits = np.zeros((3, width), np.int64), np.zeros((3, width), np.uint64)
-        at = 0
-        for (order, p), body in segments.items():
-            self.first[order, p], self.bits[order, p] = at, len(body) * 8
-            at += len(body)
+
+    def put(self, order: int, p: int, at: int, segment: bytes) -> None:
+        self.body[at : at + len(segment)] = np.frombuffer(segment, np.uint8)
+        self.first[order, p], self.bits[order, p] = at, len(segment) * 8
 
     def levels(self, order: int, hashes: np.ndarray) -> np.ndarray:
         """Of sorted distinct hashes."""
@@ -223,9 +223,13 @@ class Model:
         return self.segments.where("ord = 1").select("hashes", "counts").mapInArrow(run, "word long, n long")
 
     def collect_filter(self) -> Filter:
-        rows = self.segments.select("ord", "p", "segment").toArrow()
-        cells = {(o, p): s.as_py() for o, p, s in zip(rows.column("ord").to_pylist(), rows.column("p").to_pylist(), rows.column("segment"), strict=True)}
-        return Filter(self.width, cells, self.means)
+        """The whole filter, read one part at a time into one array; its size has been checked."""
+        known, at = Filter(self.width, self.means), 0
+        known.body = np.empty(self.size, np.uint8)
+        for row in self.segments.select("ord", "p", "segment").toLocalIterator():
+            known.put(row["ord"], row["p"], at, row["segment"])
+            at += len(row["segment"])
+        return known
 
 
 def train(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES, head_words: int = HEAD_WORDS) -> Model:
@@ -329,8 +333,10 @@ def _routed(docs: DataFrame, model: Model, text: str, keep: list[str], head) ->
     asked = blocks.select("block", "flat", "first").mapInArrow(ask, "block long, ord int, p int, hashes binary")
 
     def answer(asked: pa.Table, segments: pa.Table) -> pa.Table:
-        cells = {(r["ord"], r["p"]): r["segment"] for r in segments.to_pylist()}
-        known = Filter(width, cells, means)
+        known = Filter(width, means)
+        for row in segments.to_pylist():  # one segment
+            known.body = np.empty(len(row["segment"]), np.uint8)
+            known.put(row["ord"], row["p"], 0, row["segment"])
         got = [known.levels(r["ord"], np.frombuffer(r["hashes"], np.uint64)).astype(np.uint8).tobytes() for r in asked.select(["ord", "hashes"]).to_pylist()]
         return asked.select(["block", "ord", "p"]).append_column("levels", pa.array(got, pa.binary()))
 

@@ -162,7 +162,7 @@ def dealt(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, edges, "left"), [len(hashes)]])
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 16 * SEGMENT):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 * SEGMENT):
     """A batch in pieces of rows whose texts have about ``most`` bytes together, so that arrays per byte stay small."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
     part = np.cumsum(sizes) // most

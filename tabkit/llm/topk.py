@@ -25,7 +25,7 @@ from tabkit.llm.common import name, shuffle_width, stage
 SHARD_BYTES = 4 << 20  # a shard's matrix
 TILE = 512  # queries in a tile
 FAN = 16  # lists merged at once
-NONE = np.iinfo(np.int64).min
+NONE = np.iinfo(np.int64).min + 1  # can be negated
 
 _BLOCK = "dim int, block long, ids binary, body binary"
 
