@@ -84,3 +84,12 @@ def reject_nested(df: DataFrame, columns: Sequence[str] | None = None) -> None:
 
 def chunked(items: Sequence, size: int = 100) -> list:
     return [items[i : i + size] for i in range(0, len(items), size)]
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on columns of equal name in which null meets null."""
+    named = right.select(*[col(k).alias(f"_r_{k}") for k in keys], *[col(c) for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & col(k).eqNullSafe(col(f"_r_{k}"))
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])

@@ -42,7 +42,14 @@ def quantiles(
     """Linear-interpolated quantiles as ``(by..., column, q array<double>)``, in the order of ``probs``."""
     if df.count() <= small_rows:
         return _quantiles_small(df, columns, probs, by)
-    return _quantiles_large(df, columns, probs, by)
+    # The same rows as above: every group and column, a null for those without a value.
+    groups = df.select(*[col(b).alias(f"_{b}") for b in by]).distinct() if by else df.sparkSession.range(1).select()
+    every = groups.select("*", F.explode(F.array(*[F.lit(c) for c in columns])).alias("_column"))
+    found = _quantiles_large(df, columns, probs, by)
+    same = F.lit(True)
+    for k in [*by, "column"]:
+        same = same & col(f"_{k}").eqNullSafe(found[f"`{k}`"])
+    return every.join(found, same, "left").select(*[col(f"_{b}").alias(b) for b in by], F.col("_column").alias("column"), "q")
 
 
 def _quantiles_small(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -103,7 +110,11 @@ def _brackets(long: DataFrame, keys: list[str], probs: Sequence[float], margin:
 
 def _pick(long: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
     # Rows below the bracket collapse into one null-valued group before the shuffle.
-    hit = long.join(ranks, keys).where(F.col("value") <= F.col("hi"))
+    named = ranks.select(*[col(k).alias(f"_{k}") for k in keys], *[c for c in ranks.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & col(k).eqNullSafe(col(f"_{k}"))
+    hit = long.join(named, same).where(F.col("value") <= F.col("hi"))
     counts = (
         hit.withColumn("v", F.when(F.col("value") >= F.col("lo"), F.col("value")))
         .groupBy(*[col(k) for k in keys], "p_no", "pos", "v")
@@ -115,5 +126,6 @@ def _pick(long: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
     last = F.ceil("pos")
     at = lambda r: F.min(F.when((F.col("upto") > r) & (F.col("upto") - F.col("m") <= r), F.struct("v")))
     agg = seen.groupBy(*[col(k) for k in keys], "p_no", "pos").agg(at(first).alias("a"), at(last).alias("b"))
-    value = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("pos") - first)
+    between = (last - F.col("pos")) * F.col("a.v") + (F.col("pos") - first) * F.col("b.v")  # as the built-in function has it
+    value = F.when(first == last, F.col("a.v")).otherwise(between)
     return agg.select(*[col(k) for k in keys], "p_no", value.alias("q"), value.isNotNull().alias("found"))

@@ -30,10 +30,8 @@ MAX_TRIES = 3
 RETRY_BASE_SECONDS = 1.0
 # -----------------------------------------------------------------------------
 
-# First {...} of a line, reading quoted text as a unit; one nested level is allowed.
-_STRING = r'"(?:[^"\\]++|\\.)*+"'
-_INNER = r"\{(?:[^{}\"]++|" + _STRING + r")*+\}"
-OBJECT_PATTERN = r"^[^{]*(\{(?:[^{}\"]++|" + _STRING + "|" + _INNER + r")*+\})"
+# A line from its first brace on; the parser reads one object of any depth and stops.
+OBJECT_PATTERN = r"^[^{]*(\{.*)"
 
 # Domains up to this many values are searched in place; larger ones are joined on substrings.
 INLINE_REPAIR = 200
@@ -187,7 +185,7 @@ def decode_json(completions: DataFrame, profile: DatasetProfile, text: str = "te
     by line: numbering dropped, the first ``{...}`` taken, invalid ones skipped.
     """
     whole = trim(col(text))
-    elements = F.when(whole.startswith("["), F.from_json(whole, "array<string>", {"allowSingleQuotes": "false"}))
+    elements = F.when(whole.startswith("[") & whole.endswith("]"), F.from_json(whole, "array<string>", {"allowSingleQuotes": "false"}))
     lines = F.transform(
         F.split(whole, "\n"), lambda line: F.regexp_extract(F.regexp_replace(trim(line), ONE_NUMBERING, ""), OBJECT_PATTERN, 1)
     )
@@ -201,7 +199,9 @@ def decode_json_single(completions: DataFrame, profile: DatasetProfile, text: st
     """Exactly one object per text, numbering and code fences stripped; ``valid`` is false for anything else."""
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace(trim(col(text)), ONE_NUMBERING, ""), FENCE_START, ""), FENCE_END, "")
     keep = [col(c) for c in completions.columns if c != text]
-    parsed = completions.select(*keep, _parse_object(body, profile.column_order).alias("_row"))
+    plain = F.regexp_replace(body, r":\s*(NaN|-?Infinity)\b", ": null")
+    alone = F.json_array_length(F.concat(F.lit("["), plain, F.lit("]"))) == 1  # nothing follows the object
+    parsed = completions.select(*keep, F.when(alone, _parse_object(body, profile.column_order)).alias("_row"))
     return parsed.select(*keep, F.col("_row").isNotNull().alias("valid"), *[F.col("_row").getField(c).alias(c) for c in profile.column_order])
 
 
@@ -270,6 +270,9 @@ def repair_category(rows: DataFrame, profile: DatasetProfile, columns: Sequence[
 
 def _repair_inline(c: Column, domain: Sequence[str]) -> Column:
     low = F.lower(c)
+    domain = [v for v in domain if v != ""]  # an empty category is part of every text; the join knows it as little
+    if not domain:
+        return c
     listed = F.array(*[F.lit(v) for v in domain])
     close = F.filter(listed, lambda d: F.contains(F.lower(d), low) | F.contains(low, F.lower(d)))
     fixed = F.coalesce(F.try_element_at(close, F.lit(1)), F.lit(domain[0]))

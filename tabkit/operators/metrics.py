@@ -61,6 +61,7 @@ def _hellinger(counts: DataFrame, real: str, synthetic: str) -> DataFrame:
 def hellinger(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], real: str, synthetic: str, bins: int = 30) -> DataFrame:
     """Hellinger distance over categories, or over equal bins of the shared range."""
     parts = []
+    df = df.where(F.col("dataset").isin(real, synthetic))  # others must not widen the bins
     if categorical:
         parts.append(value_counts(df, categorical, ["dataset"]))
     if numeric:

@@ -46,9 +46,9 @@ def split(df: DataFrame, key: Sequence[str], train: int = TRAIN_ROWS, test: int
     """M1: a seeded split; the sampled rows with ``is_train``. ``key`` identifies rows."""
     n_train, n_test = split_sizes(df.count(), train, test)
     picked = sample_rows(df, n_train + n_test, seed, key)
-    first = sample_rows(picked, n_train, seed, key).select(*[col(k) for k in key], F.lit(True).alias("_first"))
-    joined = picked.join(first, list(key), "left")
-    return joined.select(*[col(c) for c in df.columns], F.coalesce("_first", F.lit(False)).alias("is_train"))
+    # One window over the sample, whose size the caller bounds; repeated and null keys are numbered like others.
+    order = Window.orderBy(rank_key(seed, *key), *[col(k) for k in key])
+    return picked.select(*[col(c) for c in df.columns], (F.row_number().over(order) <= n_train).alias("is_train"))
 
 
 # ---- M2..M7 -----------------------------------------------------------------

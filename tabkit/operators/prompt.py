@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabkit.functions.columns import col, hash_number, rank_key
+from tabkit.functions.columns import col, hash_number, join_null_safe, rank_key
 from tabkit.operators.encode import encode
 from tabkit.operators.profile import DatasetProfile, correlation_matrix, text_of
 
@@ -93,7 +93,7 @@ def dense_index(pool: DataFrame, key: Sequence[str], seed: int, by: Sequence[str
     sizes = hashed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     inner = Window.partitionBy(*keys, "_bucket").orderBy("_order", *[col(k) for k in key])
-    placed = hashed.withColumn("_place", F.row_number().over(inner) - 1).join(offsets, [*by, "_bucket"])
+    placed = join_null_safe(hashed.withColumn("_place", F.row_number().over(inner) - 1), offsets, [*by, "_bucket"])
     return placed.withColumn("idx", F.col("_place") + F.col("_offset")).select(*[col(c) for c in pool.columns], "idx")
 
 
@@ -157,7 +157,7 @@ def stratum_quotas(pool: DataFrame, strata: Sequence[str], k: int) -> DataFrame:
     given = shares.agg(F.sum("base")).first()[0] or 0
     left = max(min(k, total) - given, 0)
     extra = shares.where(F.col("base") < F.col("size")).orderBy(F.col("rest").desc(), *[col(s) for s in strata]).limit(left)
-    quotas = shares.join(extra.select(*[col(s) for s in strata], F.lit(1).alias("extra")), list(strata), "left")
+    quotas = join_null_safe(shares, extra.select(*[col(s) for s in strata], F.lit(1).alias("extra")), list(strata), "left")
     quota = F.col("base") + F.coalesce("extra", F.lit(0))
     return quotas.select(*[col(s) for s in strata], "size", quota.cast("int").alias("quota")).where("quota > 0")
 
@@ -173,7 +173,7 @@ def _draw_stratified(pool: DataFrame, prompts: DataFrame, key: Sequence[str], k:
     prefix = F.concat_ws(":", F.lit(str(seed)), F.col("prompt_id").cast("string"), *[col(s).cast("string") for s in strata])
     drawn = per.select("*", F.posexplode(_draw(prefix, F.col("quota"), F.col("size"))).alias("_pos", "idx"))
     drawn = drawn.withColumn("shot_no", F.col("_pos") + 1).drop("_pos", "size", "quota")
-    return drawn.join(dense_index(pool, key, seed, strata), [*strata, "idx"])
+    return join_null_safe(drawn, dense_index(pool, key, seed, strata), [*strata, "idx"])
 
 
 # ---- K3, K4 -----------------------------------------------------------------

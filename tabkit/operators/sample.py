@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabkit.functions.columns import as_double, col, hash_number, numeric_columns, rank_key
+from tabkit.functions.columns import as_double, col, hash_number, join_null_safe, numeric_columns, rank_key
 from tabkit.functions.quantiles import quantiles
 from tabkit.session import materialize
 
@@ -180,7 +180,7 @@ def representative_by_source(
     limits = bounds(df, names, lo, hi, [source])
     ranges = limits.groupBy(col(source)).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("lo", "hi")))).alias("_ranges"))
     # Written once, so its real size is known: joined by broadcast when small, else by a skew-aware shuffle.
-    joined = df.join(materialize(ranges, "source-bounds"), source)
+    joined = join_null_safe(df, materialize(ranges, "source-bounds"), [source])
     hits = []
     for n in names:
         r = F.try_element_at(F.col("_ranges"), F.lit(n))

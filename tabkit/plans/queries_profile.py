@@ -300,15 +300,6 @@ def inspect_values(spark, d) -> DataFrame:
     return I.value_detail(table(spark, d, "part"), ["p_name", "p_brand", "p_type"])
 
 
-@query(union_all([f"SELECT '{t}' AS \"table\", sdtype, count(*)::BIGINT AS columns FROM (VALUES {', '.join(repr((_TYPES[k],)).replace(',)', ')') for k in cols.values())}) v(sdtype) GROUP BY sdtype" for t, cols in SCHEMAS.items()]))
-def inspect_types(spark, d) -> DataFrame:
-    out = None
-    for t in SCHEMAS:
-        part = I.type_summary(table(spark, d, t)).select(F.lit(t).alias("table"), "sdtype", "columns")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 _PAIRS_SQL = "SELECT p_partkey, p_size, p_retailprice, p_retailprice * 2 - p_size AS margin FROM part"
 
 

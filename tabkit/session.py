@@ -36,6 +36,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     already_set = spark.sparkContext.getCheckpointDir()
     if already_set:
         return already_set
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="tabkit-")
     return _fallback_dir
@@ -50,5 +52,5 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tabkit", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

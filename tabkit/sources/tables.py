@@ -9,10 +9,14 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.functions.columns import nan_to_null
+from tabkit.functions.columns import col, nan_to_null, string_columns, to_number
 from tabkit.operators.profile import PROFILE_SCHEMA, DatasetProfile
 
 
+# Words that stand for a missing value in CSV text.
+MISSING_WORDS = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
@@ -21,16 +25,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _read(spark: SparkSession, paths: str | list[str], parquet: bool) -> DataFrame:
     if parquet:
         return spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    return spark.read.csv(paths, header=True, inferSchema=True, quote='"', escape='"')
+    return _missing_words(spark.read.csv(paths, header=True, inferSchema=True, quote='"', escape='"', multiLine=True))
+
+
+def _missing_words(df: DataFrame) -> DataFrame:
+    """Words for a missing value become null; a text column whose other values are all numbers becomes numeric."""
+    texts = string_columns(df)
+    if not texts:
+        return df
+    df = df.withColumns({c: F.when(~col(c).isin(*MISSING_WORDS), col(c)) for c in texts})
+    kinds = ("bigint", "double")
+    seen = df.agg(*[F.count(x) for c in texts for x in (col(c), *[to_number(col(c)).cast("string") if k == "double" else col(c).try_cast(k) for k in kinds])]).first()
+    typed = {}
+    for i, c in enumerate(texts):
+        some, whole, number = seen[3 * i : 3 * i + 3]
+        if some and number == some:
+            typed[c] = col(c).cast("bigint") if whole == some else to_number(col(c))
+    return df.withColumns(typed) if typed else df
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Parquet by suffix, otherwise CSV with a header. NaN becomes null.
 
-    Without ``schema`` a CSV is read twice (once for its types); pass one for large files.
+    Without ``schema`` a CSV is read for its types first; words for missing values become null there. Quoted line breaks are kept, so
+    each CSV file is one task: write large tables as Parquet, or as many files.
     """
     if not path.endswith(".parquet") and schema is not None:
-        df = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"')
+        df = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
     else:
         df = _read(spark, path, path.endswith(".parquet"))
     return nan_to_null(df)
@@ -48,7 +69,7 @@ def read_many(spark: SparkSession, paths: Sequence[str], schema=None) -> DataFra
     for parquet in (True, False):
         group = [p for p in paths if p.endswith(".parquet") == parquet]
         if group and schema is not None and not parquet:
-            df = spark.read.schema(schema).csv(group, header=True, quote='"', escape='"')
+            df = spark.read.schema(schema).csv(group, header=True, quote='"', escape='"', multiLine=True)
             frames.append(nan_to_null(df.select("*", F.col("_metadata.file_path").alias("source"))))
             continue
         by_schema: dict[str, list[str]] = {}
