@@ -148,6 +148,6 @@ def op8_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op2_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True, keep=["doc_id"])
+    cut = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), form="digest", keep=["doc_id"])
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
     return cut.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))

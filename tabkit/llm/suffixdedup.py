@@ -284,8 +284,8 @@ def _counted(fetched: DataFrame, length: int) -> DataFrame:
 REMOVED = [FIELD("n_bytes", LONG), FIELD("removed", T.ArrayType(T.StructType([FIELD("start", LONG), FIELD("end", LONG)]))), FIELD("kept", BINARY)]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, digest: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with n_bytes, removed (maximal runs, byte offsets) and kept (the bytes left; with ``digest`` their SHA-256 in lower hex)."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, form: str = "bytes", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with n_bytes, removed (maximal runs, byte offsets) and kept (what is left, by ``form``: ``bytes``, ``digest`` (SHA-256 in lower hex) or ``text``, without what a cut leaves of a character)."""
     if length < 96:
         raise ValueError("strings of fewer than 96 bytes are not looked for")
     found = spans(docs, key, text, length, hot)
@@ -295,7 +295,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     body = F.coalesce(name(text).cast("string"), F.lit(""))
     source = docs.select(*[name(c) for c in keep], name(key).alias("doc"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
     met = _meet(source, found, "left").select(*[name(c) for c in keep], "body", "__spans")
-    fields = [FIELD("n_bytes", LONG), REMOVED[1], FIELD("kept", STRING if digest else BINARY)]
+    fields = [FIELD("n_bytes", LONG), REMOVED[1], FIELD("kept", BINARY if form == "bytes" else STRING)]
     schema = T.StructType([docs.schema[c] for c in keep] + fields)
     n_keep = len(keep)
 
@@ -315,8 +315,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else data
                 sizes.append(len(data))
                 removed.append(runs)
-                kept.append(hashlib.sha256(left).hexdigest() if digest else left)
-            made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string() if digest else pa.binary())]
+                kept.append(hashlib.sha256(left).hexdigest() if form == "digest" else left.decode("utf-8", "ignore") if form == "text" else left)
+            made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary() if form == "bytes" else pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *made], schema.names)
 
     return met.mapInArrow(run, schema)
@@ -324,6 +324,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings removed from the text; same columns."""
-    cut = remove_repeats(docs, key, text, length)
-    plain = F.when(F.size("removed") > 0, F.decode(F.col("kept"), "UTF-8")).otherwise(name(text))
+    cut = remove_repeats(docs, key, text, length, form="text")
+    plain = F.when(F.size("removed") > 0, F.col("kept")).otherwise(name(text))
     return cut.withColumn(text, plain).select(*[name(c) for c in docs.columns])

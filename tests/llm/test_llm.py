@@ -141,6 +141,15 @@ def test_repeats_of_random_pieces(spark):
     assert got == list(repeats([plain(r["text"]) for r in rows], 320))
 
 
+def test_cuts_inside_characters(spark):
+    rng = random.Random(13)
+    shared = "".join(rng.choice("áéíóú") for _ in range(260))  # all begin with the same byte
+    texts = ["ä" + shared + "ä", "ö" + shared + "ñ", "alone"]
+    rows = suffixdedup.clean(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).orderBy("doc_id").collect()
+    want = [kept.decode("utf-8", "ignore") for *_, kept in repeats([t.encode() for t in texts], 400)]
+    assert [r["text"] for r in rows] == want and want[0] != texts[0]
+
+
 def test_covers_and_cleaning(odd, empty):
     for v, cover in suffixdedup.COVERS.items():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
