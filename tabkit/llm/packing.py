@@ -13,6 +13,7 @@ Every row is a document of its own, repeated keys included; null and empty texts
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from array import array
 from collections import Counter
@@ -34,6 +35,7 @@ class Encoder:
     """Token ids of texts, for a tokenizer that never joins across ASCII white space: each word is encoded once and looked up after."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,8 +44,9 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.first, self.ids = array("q", [0]), array("I")
+        """The cache: sorted word hashes, each with the place of its ids; arrays, as a dictionary of so many words takes ten times the room."""
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, words: list[str]):
         """Ids of each word; many at a time, with a special token between them, which ids of words without it cannot hold."""
@@ -68,21 +71,28 @@ class Encoder:
         """All ids in a row, and the n + 1 offsets of the texts."""
         words = split(column, WHITE_RAW)
         distinct, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_WORDS:
+        if len(self.hashes) > CACHE_WORDS:
             self._clear()
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        data = words.data.tobytes() if new else b""
-        plain = [data[words.start[at[i]] : words.end[at[i]]].decode("utf-8", "replace") for i in new]
-        for i, ids in zip(new, self._encode(plain), strict=True):
-            self.known[keys[i]] = len(self.first) - 1
-            self.ids.extend(ids)
-            self.first.append(len(self.ids))
-        first, ids = np.array(self.first, np.int64), np.array(self.ids, np.uint32)
-        entry = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[which.reshape(-1)]
+        place = np.searchsorted(self.hashes, distinct)
+        known = np.append(self.hashes, np.uint64(0))[place] == distinct
+        known &= place < len(self.hashes)
+        new = np.flatnonzero(~known)
+        if len(new):
+            data = words.data.tobytes()
+            spans = zip(words.start[at[new]].tolist(), words.end[at[new]].tolist(), strict=True)
+            sizes, ids = array("q"), array("I")
+            for one in self._encode([data[a:b].decode("utf-8", "replace") for a, b in spans]):
+                sizes.append(len(one))
+                ids.extend(one)
+            self.hashes = np.insert(self.hashes, place[new], distinct[new])
+            self.entry = np.insert(self.entry, place[new], len(self.first) - 1 + np.arange(len(new)))
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes, dtype=np.int64)])
+            self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
+        first = self.first
+        entry = self.entry[np.searchsorted(self.hashes, distinct)][which.reshape(-1)]
         size = first[entry + 1] - first[entry]
         sums = np.concatenate([[0], np.cumsum(size)])
-        flat = ids[np.repeat(first[entry] - sums[:-1], size) + np.arange(sums[-1])]
+        flat = self.ids[np.repeat(first[entry] - sums[:-1], size) + np.arange(sums[-1])]
         return flat, sums[words.first]
 
 
