@@ -14,6 +14,8 @@ from tabkit.llm.common import name, remainder, stage
 from tabkit.llm.queries import table, tokenizer_path
 from tabkit.plans.base import Query
 
+ROW = "__row"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go; the scorer learns as in op3_toxicity, from the documents given."""
@@ -23,10 +25,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays; documents without doc_id all stay."""
-    groups = nearjoin.near_duplicates(docs)
-    go = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(go, "doc_id", "left_anti").select(*[name(c) for c in docs.columns])
+    """Of each group of similar documents one row stays: the smallest doc_id (none comes last), of equal ones the first row.
+
+    Rows are told apart by a number of their own, not by doc_id, which may be repeated or null.
+    """
+    rows = stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    groups = nearjoin.near_duplicates(rows.select(place.alias("place"), "text"), "place")
+    go = groups.where("place.row <> component_id.row").select(F.col("place.row").alias(ROW))
+    return rows.join(go, ROW, "left_anti").select(*[name(c) for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

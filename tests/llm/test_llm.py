@@ -465,3 +465,31 @@ def test_pipeline(spark, data):
         before = after
     assert {r["doc_id"] for r in before.select("doc_id").distinct().collect()} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert before.agg(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_with_repeated_and_null_ids(spark, data):
+    """Near copies and repeats against brute force by rows: one row of each group stays, and keeps its text."""
+    import corpus_pipeline as c
+
+    rng = random.Random(23)
+    base = [words(rng, 120, size=10**6) for _ in range(5)]
+    near = lambda t: t + " and more"
+    rows = [(1, base[0]), (1, base[0]), (1, base[0])]  # repeated rows
+    rows += [(None, base[1]), (None, base[1]), (None, near(base[1]))]  # copies without id
+    rows += [(3, base[2]), (7, near(base[2])), (7, base[3])]  # a repeated id, one of its rows a near copy
+    rows += [(None, base[4]), (9, near(base[4]))]  # an id comes before none
+    rows += [(5, None), (5, ""), (None, None), (8, "one two"), (8, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("n_chars", F.lit(0).cast("long"))
+    left = c.drop_near_copies(spark, docs, data)
+    member = [m for _, _, m in groups_by_pairs([(k, t) for k, (_, t) in enumerate(rows)])]
+    least = {}
+    for k, (m, (i, _)) in enumerate(zip(member, rows, strict=True)):
+        least[m] = min(least.get(m, (True, math.inf, k)), (i is None, i or 0, k))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=key)
+    assert left.columns == docs.columns
+    assert got == sorted((rows[k] for _, _, k in least.values()), key=key)
+    assert [t for i, t in got if i == 7] == [base[3]] and sum(t is not None for i, t in got if i is None) == 1
+    cut = sorted(((r["doc_id"], r["text"]) for r in c.cut_repeats(spark, c.stage(left, "test"), data).collect()), key=key)
+    kept = [bytes(x[3]).decode() if t is not None else None for x, (_, t) in zip(repeats([plain(t) for _, t in got], 400), got, strict=True)]
+    assert cut == sorted(zip([i for i, _ in got], kept, strict=True), key=key) and sum(len(t or "") > 400 for _, t in cut) == 5
