@@ -260,7 +260,7 @@ def repair_category(rows: DataFrame, profile: DatasetProfile, columns: Sequence[
         if profile.columns[n].domain:
             entries = [(v, c) for v, c in profile.columns[n].domain]
             domain = rows.sparkSession.createDataFrame(entries, "value string, n bigint")
-        elif profile.domains is not None:
+        elif profile.columns[n].domain is None and profile.domains is not None:
             domain = profile.domains.where(F.col("column") == n).select("value", "n")
         else:
             continue
@@ -289,6 +289,8 @@ def repair_by_join(rows: DataFrame, name: str, domain: DataFrame) -> DataFrame:
     best = F.struct((-F.col("n")).alias("less_often"), F.col("value"))
     domain = domain.where("value <> ''")
     top = domain.agg(F.min(best)["value"]).first()[0]
+    if top is None:
+        return rows
     seen = rows.select(col(name).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("_m"))
     unknown = seen.join(domain.select("value"), "value", "left_anti").select(F.col("value").alias("miss"))
     unknown = materialize(unknown, "unknown-values")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.functions.columns import chunked, col, fixed, rank_key
+from tabkit.functions.columns import col, fixed, rank_key
 from tabkit.operators.profile import FALSE_WORDS, TRUE_WORDS, DatasetProfile, column_abbreviations, text_of
 
 FLOAT_DIGITS = 3
@@ -167,7 +167,7 @@ def encode_compact(
 ) -> DataFrame:
     """E5: ``A 39, E BAC`` with short column and value codes, ``M`` for null, fixed column order.
 
-    ``codes`` is the table ``(column, value, code)``; without it the codes in
+    ``codes`` is the table ``(column, value, code)``; without it the codes of
     the profile are used. Codes of a column with many values are joined (only
     that column's distinct values), the rest are looked up in a literal map.
     """
@@ -175,15 +175,21 @@ def encode_compact(
     inline: dict[str, dict[str, str]] = {}
     joined: list[str] = []
     categorical = profile.names("categorical") if use_codes else []
-    if codes is not None:
-        sizes = {r["column"]: r["count"] for r in codes.where(F.col("column").isin(*categorical)).groupBy("column").count().collect()}
-        small = [c for c in categorical if 0 < sizes.get(c, 0) <= INLINE_CODES]
-        joined = [c for c in categorical if sizes.get(c, 0) > INLINE_CODES]
+    asked = categorical
+    if codes is None:
+        inline = {c: a for c in categorical if (a := profile.columns[c].abbreviations) and len(a) <= INLINE_CODES}
+        asked = [c for c in categorical if c not in inline]
+        codes = profile.codes
+        if codes is None:
+            entries = [(c, *kv) for c in asked for kv in (profile.columns[c].abbreviations or {}).items()]
+            codes = df.sparkSession.createDataFrame(entries, "column string, value string, code string") if entries else None
+    if codes is not None and asked:
+        sizes = {r["column"]: r["count"] for r in codes.where(F.col("column").isin(*asked)).groupBy("column").count().collect()}
+        small = [c for c in asked if 0 < sizes.get(c, 0) <= INLINE_CODES]
+        joined = [c for c in asked if sizes.get(c, 0) > INLINE_CODES]
         if small:
             for r in codes.where(F.col("column").isin(*small)).collect():
                 inline.setdefault(r["column"], {})[r["value"]] = r["code"]
-    else:
-        inline = {c: profile.columns[c].abbreviations for c in categorical if profile.columns[c].abbreviations}
     work = df
     for i, c in enumerate(joined):
         key, value = f"_value{i}", f"_code{i}"
@@ -194,8 +200,7 @@ def encode_compact(
         raw = text_of(col(name), df.schema[name].dataType)
         if name in inline:
             entries = [F.lit(x) for kv in inline[name].items() for x in kv]
-            pairs = chunked(entries, 2 * INLINE_CODES)
-            value = F.coalesce(F.try_element_at(F.create_map(*pairs[0]), raw), F.substring(raw, 1, 3))
+            value = F.coalesce(F.try_element_at(F.create_map(*entries), raw), F.substring(raw, 1, 3))
         elif name in joined:
             value = F.coalesce(F.col(f"_code{joined.index(name)}"), F.substring(raw, 1, 3))
         else:

@@ -96,17 +96,17 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def save_profile(profile: DatasetProfile, spark: SparkSession, path: str) -> None:
-    """The profile table as JSON; large domains as Parquet beside it."""
+    """The profile table as JSON; domains and codes as Parquet beside it."""
     profile.to_df(spark).coalesce(1).write.json(os.path.join(path, "columns"), ignoreNullFields=False)
-    if profile.domains is not None:
-        profile.domains.write.parquet(os.path.join(path, "domains"))
+    for name, table in (("domains", profile.domains), ("codes", profile.codes)):
+        if table is not None:
+            table.write.parquet(os.path.join(path, name))
 
 
 def load_profile(spark: SparkSession, path: str) -> DatasetProfile:
     """Read a saved profile back."""
-    domain_path = os.path.join(path, "domains")
-    domains = spark.read.parquet(domain_path) if _exists(spark, domain_path) else None
-    return DatasetProfile.from_df(spark.read.schema(PROFILE_SCHEMA).json(os.path.join(path, "columns")), domains)
+    tables = [spark.read.parquet(p) if _exists(spark, p) else None for p in (os.path.join(path, "domains"), os.path.join(path, "codes"))]
+    return DatasetProfile.from_df(spark.read.schema(PROFILE_SCHEMA).json(os.path.join(path, "columns")), *tables)
 
 
 def read_scores(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:

@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 
 from tabkit.functions.quantiles import quantiles
 from tabkit.operators import decode as D
+from tabkit.operators import encode as E
+from tabkit.operators import profile as P
 from tabkit.operators.metrics import hellinger
 from tabkit.operators.ml import split
 from tabkit.operators.profile import ColumnProfile, DatasetProfile
 from tabkit.operators.prompt import draw_shots
 from tabkit.operators.sample import representative_by_source
-from tabkit.sources.tables import read_table, write_table
+from tabkit.sources.tables import load_profile, read_table, save_profile, write_table
 
 
 def test_quantiles_keep_every_group_and_column(spark):
@@ -68,3 +70,25 @@ def test_csv_line_breaks_and_missing_words(spark, tmp_path):
     got = read_table(spark, str(tmp_path / "t.csv"))
     assert dict(got.dtypes)["n"] == "bigint"
     assert sorted(map(tuple, got.collect())) == [(1, 'two\nlines, "quoted"', 3), (2, "x", None), (3, None, 5)]
+
+
+def test_results_do_not_depend_on_the_inline_domain(spark, tmp_path, monkeypatch):
+    values = [f"value {i:04d}" for i in range(1500)]
+    rows = [(v, "" if k % 2 else None, "yes" if k % 3 else "no") for k, v in enumerate(values + values[:700])]
+    df = spark.createDataFrame(rows, "c string, e string, b string")
+    seen = []
+    for limit in (0, 10**9, P.INLINE_DOMAIN):
+        monkeypatch.setattr(P, "INLINE_DOMAIN", limit)
+        prof = P.profile(df, overrides={"c": "categorical", "e": "categorical"}, exact=False, top_k=1200, abbreviate=True)
+        save_profile(prof, spark, str(tmp_path / str(limit)))
+        texts = []
+        for q in (prof, load_profile(spark, str(tmp_path / str(limit)))):
+            assert P.json_schema(q)["properties"]["c"]["enum"] == values[:700] + values[700:]
+            texts.append(sorted(r["text"] for r in E.encode_compact(df, q).collect()))
+        lost = spark.createDataFrame([(v, "x", None) for v in [*values, "VALUE 0003!", None]], "c string, e string, b string")
+        repaired = sorted(map(str, (r["c"] for r in D.repair_category(lost, prof).collect())))
+        assert repaired == sorted([*values, "value 0003", "None"])
+        top, b = prof.columns["c"].top_k, prof.columns["b"]
+        assert texts[0] == texts[1] and len(set(texts[0])) == 1500 and len(top) == 1200 and top[0] == ("value 0000", 2)
+        seen.append((texts[0], top, b.true_label, b.false_label, P.json_schema(prof)))
+    assert seen[0] == seen[1] == seen[2] and seen[0][2:4] == ("yes", "no")
