@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tabkit.functions.columns import col, to_number
 from tabkit.functions.ordered import running_sums
-from tabkit.operators.profile import DATE_FORMATS, TRUE_WORDS, DatasetProfile, parse_date
+from tabkit.operators.profile import DATE_FORMATS, TRUE_WORDS, DatasetProfile, any_date, parse_date
 from tabkit.session import materialize
 
 # ---- Fixed values -----------------------------------------------------------
@@ -233,10 +233,8 @@ def parse_value(value: Column, dtype: str, date_format: str | None = None, stric
 def date_of(value: Column, date_format: str | None = None) -> Column:
     """Eight digits first, then the column's own format, then every known format."""
     eight = parse_date(value, "%Y%m%d")
-    own = [parse_date(value, date_format)] if date_format else []
-    free = [parse_date(value, label) for label, *_ in DATE_FORMATS if label != date_format]
-    iso = F.try_to_timestamp(F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?$"), value))
-    return F.coalesce(eight, *own, *free, iso)
+    own = [parse_date(value, date_format, True)] if date_format else []
+    return F.coalesce(eight, *own, any_date(value))
 
 
 def render_date(ts: Column, date_format: str | None) -> Column:

@@ -92,3 +92,32 @@ def test_results_do_not_depend_on_the_inline_domain(spark, tmp_path, monkeypatch
         assert texts[0] == texts[1] and len(set(texts[0])) == 1500 and len(top) == 1200 and top[0] == ("value 0000", 2)
         seen.append((texts[0], top, b.true_label, b.false_label, P.json_schema(prof)))
     assert seen[0] == seen[1] == seen[2] and seen[0][2:4] == ("yes", "no")
+
+
+def test_dates_of_every_shape_are_kept(spark):
+    shapes = {
+        "%Y-%m-%dT%H:%M:%S%z": ["2021-03-05T10:30:00Z", "2021-03-05T12:30:00+02:00", "2021-03-05T12:30:00+0200"],
+        "%Y-%m-%d %H:%M": ["2021-03-05 10:30"],
+        "%Y-%m-%dT%H:%M": ["2021-03-05T10:30"],
+        "%Y-%m-%dT%H:%M:%S": ["2021-03-05T10:30:00"],
+        "%Y-%m-%dT%H:%M:%S.%f%z": ["2021-03-05T10:30:00.000Z", "2021-03-05T10:30:00.000000Z"],
+        "%Y-%m-%d %H:%M:%S.%f": ["2021-03-05 10:30:00.0"],
+        "%Y/%m/%d": ["2021/03/05"],
+        "%B %d, %Y": ["March 5, 2021"],
+        "%d.%m.%Y": ["05.03.2021"],
+    }
+    names = [f"c{i}" for i in range(len(shapes))]
+    most = max(map(len, shapes.values()))
+    df = spark.createDataFrame([[v[k % len(v)] for v in shapes.values()] for k in range(most)], ", ".join(f"{c} string" for c in names))
+    got = {r["column"]: (r["date_format"], r["min_ts"]) for r in P.datetime_profile(df, names).collect()}
+    assert got == {c: (f, "2021-03-05T10:30:00" if "%H" in f else "2021-03-05T00:00:00") for c, f in zip(names, shapes, strict=True)}
+    parsed = df.select(*[D.date_of(F.col(c)).isNotNull().alias(c) for c in names]).collect()
+    assert all(all(r) for r in parsed)
+
+
+def test_columns_of_unparsed_dates_stay_text_and_keep_their_rows(spark):
+    rows = [(f"2021-03-0{k}T10:30:00Z", f"2021-03-0{k} at noon", f"2021-03-0{k}" if k > 1 else "2021-03-05 at noon") for k in range(1, 7)]
+    prof = P.profile(spark.createDataFrame(rows, "t string, u string, w string"))
+    assert prof.names("datetime") == ["t"] and prof.columns["t"].max_ts == "2021-03-06T10:30:00"
+    texts = spark.createDataFrame([('{"t": "%s", "u": "%s", "w": "%s"}' % r,) for r in rows], "text string")
+    assert sorted((r["t"], r["u"], r["w"]) for r in D.decode(texts, prof).collect()) == sorted(rows)
