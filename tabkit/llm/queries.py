@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import chat, decontaminate, language, lmscore, nearjoin, packing, suffixdedup, topk, toxicity, warc
+from tabkit.llm import chat, decontaminate, language, lmscore, merkle, nearjoin, packing, suffixdedup, topk, toxicity, warc
 from tabkit.llm.common import remainder
 from tabkit.plans.base import Query
 
@@ -151,3 +151,48 @@ def op2_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), form="digest", keep=["doc_id"])
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
     return cut.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+
+
+@query(
+    r"""
+WITH RECURSIVE docs AS (SELECT *, xor(list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) AS crc FROM documents),
+written AS (SELECT *, list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text, replace(text, chr(10), '')], lambda x: coalesce(strlen(x) || ':' || x, '-')) AS f FROM docs),
+leaves AS (SELECT doc_id, source, sha256(f[1] || f[2] || f[3] || f[4] || f[5]) AS leaf, CASE WHEN crc % 2 = 0 THEN sha256(f[1] || f[2] || f[3] || f[4] || f[6]) ELSE sha256(f[1] || f[2] || f[3] || f[4] || f[5]) END AS shown FROM written),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+tree(source, lvl, p, h, n) AS (
+  SELECT source, 0, p, leaf, n FROM placed
+  UNION ALL
+  SELECT source, lvl + 1, p // 3, sha256(string_agg(h, '' ORDER BY p)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, lvl, p // 3, n),
+subroots AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM tree WHERE n = 1),
+over(lvl, p, h, n) AS (
+  SELECT 0, p, subroot, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, p // 3, sha256(string_agg(h, '' ORDER BY p)), (n + 2) // 3 FROM over WHERE n > 1 GROUP BY lvl, p // 3, n),
+runs AS (SELECT source, lvl, p // 3 AS r, list(h ORDER BY p) AS hs FROM tree WHERE n > 1 GROUP BY ALL),
+over_runs AS (SELECT lvl, p // 3 AS r, list(h ORDER BY p) AS hs FROM over WHERE n > 1 GROUP BY ALL),
+folded(doc_id, source, leaf, i, lvl, p, n, cur, proof) AS (
+  SELECT doc_id, source, leaf, p, 0, p, n, shown, '' FROM placed
+  UNION ALL
+  SELECT f.doc_id, f.source, f.leaf, f.i, f.lvl + 1, f.p // 3, (f.n + 2) // 3,
+    sha256(array_to_string(r.hs[1 : f.p % 3] || [f.cur] || r.hs[f.p % 3 + 2 : 3], '')), f.proof || array_to_string(r.hs[1 : f.p % 3] || r.hs[f.p % 3 + 2 : 3], '')
+  FROM folded f JOIN runs r ON f.source IS NOT DISTINCT FROM r.source AND f.lvl = r.lvl AND f.p // 3 = r.r WHERE f.n > 1),
+up(doc_id, leaf, subroot, i, source, lvl, p, n, cur, proof) AS (
+  SELECT f.doc_id, f.leaf, s.subroot, f.i, f.source, 0, s.p, s.n, f.cur, f.proof FROM folded f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source WHERE f.n = 1
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.subroot, f.i, f.source, f.lvl + 1, f.p // 3, (f.n + 2) // 3,
+    sha256(array_to_string(r.hs[1 : f.p % 3] || [f.cur] || r.hs[f.p % 3 + 2 : 3], '')), f.proof || array_to_string(r.hs[1 : f.p % 3] || r.hs[f.p % 3 + 2 : 3], '')
+  FROM up f JOIN over_runs r ON f.lvl = r.lvl AND f.p // 3 = r.r WHERE f.n > 1)
+SELECT u.doc_id, u.leaf, u.subroot, o.h AS root, sha256(u.proof) AS proof_sha256, u.cur AS folded_root, u.cur = o.h AS verified
+FROM up u, over o WHERE u.n = 1 AND o.n = 1
+"""
+)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.col("doc_id").isNotNull() & (remainder("doc_id", 2) == 0)
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.leaf_of([F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")) if f == "text" else F.col(f) for f in fields])
+    proved = merkle.prove(merkle.manifest(docs, fields, "source", "doc_id", keep={"shown": changed}))
+    folded = merkle.fold(F.col("row.shown"), F.col("steps"))
+    proved = proved.select(F.col("row.order").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_hash(F.col("steps")).alias("proof_sha256"), folded.alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
