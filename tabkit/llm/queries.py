@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import chat, decontaminate, language, lmscore, merkle, nearjoin, packing, suffixdedup, topk, toxicity, warc
+from tabkit.llm import chat, codes, decontaminate, language, lmscore, merkle, nearjoin, packing, suffixdedup, topk, toxicity, warc
 from tabkit.llm.common import remainder
 from tabkit.plans.base import Query
 
@@ -196,3 +196,35 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold(F.col("row.shown"), F.col("steps"))
     proved = proved.select(F.col("row.order").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_hash(F.col("steps")).alias("proof_sha256"), folded.alias("folded_root"))
     return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """k-means round by round: each names the entries of the one before."""
+    steps = [
+        """q AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS row, vec_id, label, v FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+pieces AS MATERIALIZED (SELECT row, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS y FROM q, range(4) r(part)),
+book0 AS MATERIALIZED (SELECT part, row AS entry, y AS e FROM pieces WHERE row < 256)"""
+    ]
+    near = "SELECT p.row, p.part, arg_min(b.entry, {d} * 256 + b.entry) AS entry, min({d}) AS d FROM pieces p JOIN book{k} b ON p.part = b.part GROUP BY ALL"
+    distance = "CAST(list_sum(list_transform(list_zip(p.y, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    for k in range(rounds):
+        steps.append(
+            f"""near{k} AS MATERIALIZED ({near.format(d=distance, k=k)}),
+sums{k} AS (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT n.part, n.entry, unnest(p.y) AS x, generate_subscripts(p.y, 1) AS pos FROM near{k} n JOIN pieces p USING (row, part)) GROUP BY ALL),
+moved{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS e FROM sums{k} GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM book{k} b LEFT JOIN moved{k} m USING (part, entry))"""
+        )
+    steps.append(
+        f"""last AS ({near.format(d=distance, k=rounds)}),
+coded AS (SELECT row, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY row),
+digest AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})"""
+    )
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM q JOIN coded USING (row), digest"
+
+
+@query(_codes_sql())
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_error(coded).select(F.col("key").alias("vec_id"), "code", "error", "label_error", F.lit(codes.codebooks_hash(books)).alias("codebooks_sha256"))
