@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import chat, codes, decontaminate, language, lmscore, merkle, nearjoin, packing, suffixdedup, topk, toxicity, warc
+from tabkit.llm import chat, codes, decontaminate, language, lmscore, merkle, nearjoin, packing, quality, suffixdedup, topk, toxicity, warc
 from tabkit.llm.common import remainder
 from tabkit.plans.base import Query
 
@@ -228,3 +228,10 @@ digest AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part,
 def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
     return codes.with_label_error(coded).select(F.col("key").alias("vec_id"), "code", "error", "label_error", F.lit(codes.codebooks_hash(books)).alias("codebooks_sha256"))
+
+
+@query()
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
