@@ -361,5 +361,5 @@ def judge(docs: DataFrame, field: Field, text: str = "text", keep: list[str] | N
 def content_text(judged: DataFrame, text: str = "text", into: str = "text") -> DataFrame:
     """The texts of judged rows cut to their content lines, each ended by a line break but the last."""
     whole = F.coalesce(name(text).cast("string"), F.lit("")).cast("binary")
-    part = F.transform("content", lambda s: F.decode(F.substr(whole, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), F.lit("UTF-8")))
+    part = F.transform("content", lambda s: F.decode(F.substr(whole, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), "UTF-8"))
     return judged.withColumn(into, F.array_join(part, "\n"))
