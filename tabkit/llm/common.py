@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +24,14 @@ def name(column: str):
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on for the next stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def annotate(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable], keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``fields`` computed from its text, without a shuffle.
 
@@ -42,6 +51,9 @@ def annotate(df: DataFrame, text: str, fields: list[T.StructField], make: Callab
             for part in slices(batch, TEXT):
                 made = work(as_bytes(part.column(part.num_columns - 1)), part)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names)
+                del made
+        del work
+        release()
 
     return source.mapInArrow(run, schema)
 
@@ -56,6 +68,8 @@ def scan(df: DataFrame, text: str, schema: str | T.StructType, make: Callable[[]
             for part in slices(batch, TEXT):
                 yield from take(as_bytes(part.column(part.num_columns - 1)), part)
         yield from finish()
+        del take, finish
+        release()
 
     return source.mapInArrow(run, schema)
 

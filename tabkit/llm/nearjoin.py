@@ -36,8 +36,8 @@ SHARE = 12  # the first prefixes ask for one shared shingle in that many
 FREQUENT = 1 << 20  # most shingles in the list of frequent ones, which is broadcast (16 bytes each)
 LEAST_FREQUENT = 1000
 LOCAL = 4  # occurrences within a task that make a shingle a candidate for the list
-HELD = 1 << 21  # shingles held by a task before they are passed on
-CHUNK = 1 << 21  # shingles of sets that are joined in one task
+HELD = 1 << 20  # shingles held by a task before they are passed on
+CHUNK = 1 << 20  # shingles of sets that are joined in one task
 ACTIVE_BROADCAST = 1 << 21  # set keys (8 bytes each) that may be broadcast
 VERIFY = 1 / 16  # cost of a verification per shingle, in posting entries
 

@@ -23,18 +23,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tabkit.llm.common import BINARY, FIELD, LONG, STRING, name, shuffle_width, size_of, stage
+from tabkit.llm.common import BINARY, FIELD, LONG, STRING, name, release, shuffle_width, size_of, stage
 from tabkit.llm.text import SEGMENT, _power_tables, _table, chain, groups, mix
 
 LENGTH = 400
 WORD = 32  # shorter ones are common to texts that share nothing else
-HOT = 20_000
-BLOCK = 2 << 20
+HOT = 5_000
+BLOCK = 1 << 20
+LEAST = 96  # the shortest length the difference covers allow
 SPANS_BROADCAST = 32 << 20  # bytes of a staged table that may be broadcast
 # Perfect difference covers; every residue is a difference of two members.
 COVERS = {31: (0, 1, 3, 8, 12, 18), 7: (0, 1, 3)}
@@ -260,6 +261,8 @@ def _sorted(fetched: DataFrame, length: int, width: int) -> DataFrame:
                 size += len(row["body"])
         if held:
             yield sort(held)
+        held = []
+        release()
 
     return fetched.repartition(width, "bucket").sortWithinPartitions("bucket", "doc", "text_hash", "start").mapInArrow(run, _schema(fetched, "start long, suffixes long"))
 
@@ -286,18 +289,24 @@ REMOVED = [FIELD("n_bytes", LONG), FIELD("removed", T.ArrayType(T.StructType([FI
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, form: str = "bytes", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with n_bytes, removed (maximal runs, byte offsets) and kept (what is left, by ``form``: ``bytes``, ``digest`` (SHA-256 in lower hex) or ``text``, without what a cut leaves of a character)."""
-    if length < 96:
-        raise ValueError("strings of fewer than 96 bytes are not looked for")
+    if length < LEAST:
+        raise ValueError(f"strings of fewer than {LEAST} bytes are not looked for")
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in REMOVED}]
+    carried = F.struct(*[name(c) for c in keep], F.lit(True).alias("__some"))
+    cut = _cut(docs, carried, key, text, length, hot, form)
+    return cut.select(*[F.col("carried")[c].alias(c) for c in keep], *[f.name for f in REMOVED])
+
+
+def _cut(docs: DataFrame, carried: Column, key: str, text: str, length: int, hot: int, form: str) -> DataFrame:
+    """carried, n_bytes, removed, kept; user's columns travel inside ``carried``, so that their names cannot clash."""
     found = spans(docs, key, text, length, hot)
-    found = stage(found.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "suffixes"))).alias("__spans")), "spans")
-    new = {"n_bytes", "removed", "kept", "__spans", "doc", "text_hash", "body"}
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    found = stage(found.distinct().groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "suffixes"))).alias("spans")), "spans")
     body = F.coalesce(name(text).cast("string"), F.lit(""))
-    source = docs.select(*[name(c) for c in keep], name(key).alias("doc"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
-    met = _meet(source, found, "left").select(*[name(c) for c in keep], "body", "__spans")
+    source = docs.select(carried.alias("carried"), name(key).alias("doc"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
+    met = _meet(source, found, "left").select("carried", "body", "spans")
     fields = [FIELD("n_bytes", LONG), REMOVED[1], FIELD("kept", BINARY if form == "bytes" else STRING)]
-    schema = T.StructType([docs.schema[c] for c in keep] + fields)
-    n_keep = len(keep)
+    schema = T.StructType([met.schema["carried"], *fields])
+    n_keep = 1
 
     def run(batches):
         for batch in batches:
@@ -322,8 +331,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     return met.mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with the repeated strings removed from the text; same columns."""
-    cut = remove_repeats(docs, key, text, length, form="text")
-    plain = F.when(F.size("removed") > 0, F.col("kept")).otherwise(name(text))
-    return cut.withColumn(text, plain).select(*[name(c) for c in docs.columns])
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """``docs`` with the repeated strings removed from the text; same columns, whatever their names."""
+    if length < LEAST:
+        raise ValueError(f"strings of fewer than {LEAST} bytes are not looked for")
+    cut = _cut(docs, F.struct(*[name(c) for c in docs.columns]), key, text, length, hot, "text")
+    carried = lambda c: F.col("carried")[c]
+    plain = F.when(F.size("removed") > 0, F.col("kept")).otherwise(carried(text))
+    return cut.select(*[(plain if c == text else carried(c)).alias(c) for c in docs.columns])

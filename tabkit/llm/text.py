@@ -47,13 +47,16 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SEGMENT + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(max(n, SEGMENT + 1), base, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p, out=p))
+    if n <= 2 * SEGMENT:  # workers live on; larger tables are not kept
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -162,7 +165,7 @@ def dealt(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, edges, "left"), [len(hashes)]])
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 * SEGMENT):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 * SEGMENT):
     """A batch in pieces of rows whose texts have about ``most`` bytes together, so that arrays per byte stay small."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
     part = np.cumsum(sizes) // most

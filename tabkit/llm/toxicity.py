@@ -38,7 +38,8 @@ NEAREST = 15
 BINS = 20
 _UNITS = 1 << 20
 
-EVIDENCE = T.ArrayType(T.StructType([FIELD("doc_id", LONG), FIELD("similarity", DOUBLE), FIELD("label", INT)]))
+def evidence_type(key: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([FIELD("doc_id", key), FIELD("similarity", DOUBLE), FIELD("label", INT)]))
 
 
 def features(column: pa.Array, stems: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +87,7 @@ class Index:
         norm = np.sqrt(np.bincount(text, weight * weight, minlength=len(column)))
         return text, at, weight / norm[text]
 
-    def fill(self, ids: np.ndarray, labels: np.ndarray, votes: np.ndarray, column: pa.Array) -> Index:
+    def fill(self, ids: pa.Array, labels: np.ndarray, votes: np.ndarray, column: pa.Array) -> Index:
         """Take the examples, whose ids must ascend."""
         self.ids, self.labels, self.votes = ids, labels, votes
         doc, feature, weight = self.vectors(column)
@@ -147,13 +148,13 @@ def monotone(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    def __init__(self, index: Index, shares: np.ndarray):
-        self.index, self.shares = index, shares
+    def __init__(self, index: Index, shares: np.ndarray, key: T.DataType):
+        self.index, self.shares, self.key = index, shares, key
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", train_rows: int = TRAIN_ROWS, examples: int = EXAMPLES, n_features: int = FEATURES) -> Scorer | None:
     """Learn from the labelled rows given; ``labels`` has key and label."""
-    known = labels.select(name(key).cast("long").alias("id"), name(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    known = labels.select(name(key).cast(docs.schema[key].dataType).alias("id"), name(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     numbers = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not numbers:
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     both = {x: share[x] * kept[x] for x in (0, 1)}
     sample = known.where(draw < limit(share)).withColumn("example", draw < limit(both))
     # bounded by train_rows, hence broadcast
-    train = docs.select(name(key).cast("long").alias("id"), name(text).alias("body")).join(F.broadcast(sample), "id")
+    train = docs.select(name(key).alias("id"), name(text).alias("body")).join(F.broadcast(sample), "id")
 
     def make():
         held: list = []
@@ -205,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     everything = sum(numbers.values())
     index = Index(np.array([r[0] for r in rows], np.uint64), stems, np.log1p(everything / np.array([max(1.0, r[1]) for r in rows])))
     shown = train.where("example").select("id", "label", F.col("body").cast("string").cast("binary").alias("body")).dropDuplicates(["id"]).toArrow().sort_by("id")
-    index.fill(shown.column("id").to_numpy(), shown.column("label").to_numpy(), np.array([1 / max(both[x], 1e-9) for x in (0, 1)]), shown.column("body").combine_chunks().cast(pa.large_binary()))
+    index.fill(shown.column("id").combine_chunks(), shown.column("label").to_numpy(), np.array([1 / max(both[x], 1e-9) for x in (0, 1)]), shown.column("body").combine_chunks().cast(pa.large_binary()))
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def calibrate():
@@ -227,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         counts[r["label"], r["bin"]] = r["n"] / max(share[r["label"]], 1e-9)
     middle = np.concatenate([[numbers.get(1, 0) / everything], (np.arange(BINS) + 0.5) / BINS])
     ones, total = counts[1] + middle, counts.sum(0) + 1  # each bin starts with one text at its own vote
-    return Scorer(index, np.concatenate([[ones[0] / total[0]], monotone(ones[1:], total[1:])]))
+    return Scorer(index, np.concatenate([[ones[0] / total[0]], monotone(ones[1:], total[1:])]), docs.schema[key].dataType)
 
 
 def score(docs: DataFrame, scorer: Scorer | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -244,10 +245,10 @@ def score(docs: DataFrame, scorer: Scorer | None, text: str = "text", keep: list
                 scores = known.shares[_bin(vote)]
             doc, sim = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in (0, 1))
             doc = doc.astype(np.int64)
-            some = [known.index.ids[doc], sim, known.index.labels[doc]] if known else [doc, sim, doc]
-            evidence = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(some, (pa.int64(), pa.float64(), pa.int32()), strict=True)], ["doc_id", "similarity", "label"])
+            ids, labels = (known.index.ids.take(pa.array(doc)), known.index.labels[doc]) if known else (pa.array(doc), doc)
+            evidence = pa.StructArray.from_arrays([ids, pa.array(sim, pa.float64()), pa.array(labels, pa.int32())], ["doc_id", "similarity", "label"])
             return [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), lists(np.array([len(f[0]) for f in found], np.int64), evidence)]
 
         return work
 
-    return annotate(docs, text, [FIELD("score", DOUBLE), FIELD("predicted", INT), FIELD("evidence", EVIDENCE)], make, keep)
+    return annotate(docs, text, [FIELD("score", DOUBLE), FIELD("predicted", INT), FIELD("evidence", evidence_type(scorer.key if scorer else LONG))], make, keep)
