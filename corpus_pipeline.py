@@ -15,13 +15,25 @@ from tabkit.llm.queries import table, tokenizer_path
 from tabkit.plans.base import Query
 
 ROW = "__row"
+WHOLE = "__whole"
+# Bytes of a string that may stand once only. 50 words of the corpus take about 300 bytes; a passage a little longer must not slip through.
+REPEAT = 256
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and the whole row in one column: what an operator adds cannot meet a column of the user's."""
+    return docs.select(F.struct(*[name(c) for c in docs.columns]).alias(WHOLE), "doc_id", "text")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(WHOLE)[c].alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go; the scorer learns as in op3_toxicity, from the documents given."""
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.where("predicted = 0").select(*[name(c) for c in docs.columns])
+    scored = toxicity.score(carried(docs), toxicity.fit(docs, labels), keep=[WHOLE])
+    return unpacked(scored.where("predicted = 0"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,22 +41,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are told apart by a number of their own, not by doc_id, which may be repeated or null.
     """
-    rows = stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    rows = stage(carried(docs).withColumn(ROW, F.monotonically_increasing_id()), "rows")
     place = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
     groups = nearjoin.near_duplicates(rows.select(place.alias("place"), "text"), "place")
     go = groups.where("place.row <> component_id.row").select(F.col("place.row").alias(ROW))
-    return rows.join(go, ROW, "left_anti").select(*[name(c) for c in docs.columns])
+    return unpacked(rows.join(go, ROW, "left_anti"), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that start twice are cut out of the texts; n_chars follows."""
-    return suffixdedup.clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*[name(c) for c in docs.columns])
+    """Strings of ``REPEAT`` bytes that start twice are cut out of the texts; n_chars follows."""
+    return suffixdedup.clean(docs, length=REPEAT).withColumn("n_chars", F.length("text").cast("long")).select(*[name(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hit_runs") == 0).select(*[name(c) for c in docs.columns])
+    found = decontaminate.find_items(carried(docs), table(spark, sf_dir, "benchmark"), keep=[WHOLE])
+    return unpacked(found.where(F.size("hit_runs") == 0), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
