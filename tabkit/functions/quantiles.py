@@ -1,131 +1,101 @@
-"""Exact quantiles that do not need one task per column.
+"""Exact quantiles by narrowing: histograms of ever smaller ranges, until each wanted rank is in a range of one value.
 
-Small inputs (row count checked) use the built-in ``percentile``. It keeps a
-value-to-count map per group in one task, so larger inputs take a second route:
+1. One pass counts the values of each column and finds the smallest and the largest.
+2. Each round cuts every open range into ``CELLS`` cells and counts their rows, with the smallest and largest value of each, in one pass over the values
+   inside open ranges. Partial counts per cell are all that is shuffled. Running totals over the cells of a range tell the
+   cell of each wanted rank; it is the next range, shrunk to its own smallest and largest value.
+3. A range of one value is the answer. All ranks of all columns and groups go through the rounds together.
 
-1. one pass with ``approx_percentile`` brackets every wanted rank;
-2. a second pass counts the rows below each bracket and keeps, pre-aggregated,
-   only the values inside it (about 4/accuracy of the rows);
-3. a window over those few values picks the exact ranks and interpolates.
-
-Step 3 verifies from exact counts that the bracket holds the wanted ranks; a
-bracket that does not is widened and the pass repeated, so the result is exact.
+Cells are even in value, or in the logarithm where a range spans orders of magnitude or holds zero, so a
+round divides every range by ``CELLS`` whatever the distribution; the number of rounds is that of the digits of a double, not of the rows. Every cell keeps the order of the
+values, hence the result is exact. There is one route for every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabkit.functions.columns import as_double, chunked, col
+from tabkit.functions.columns import as_double, col
 from tabkit.session import materialize
 
-SMALL_INPUT_ROWS = 5_000_000
-# Columns of a small input that share a scan; the groups run side by side.
-COLUMNS_PER_SCAN = 2
-
-
-def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    wide = df.select(*[col(b) for b in by], *[as_double(df, c).alias(c) for c in columns])
-    return wide.unpivot([col(b) for b in by], [col(c) for c in columns], "column", "value").where("value is not null")
-
-
-def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    small_rows: int = SMALL_INPUT_ROWS,
-) -> DataFrame:
-    """Linear-interpolated quantiles as ``(by..., column, q array<double>)``, in the order of ``probs``."""
-    if df.count() <= small_rows:
-        return _quantiles_small(df, columns, probs, by)
-    # The same rows as above: every group and column, a null for those without a value.
-    groups = df.select(*[col(b).alias(f"_{b}") for b in by]).distinct() if by else df.sparkSession.range(1).select()
-    every = groups.select("*", F.explode(F.array(*[F.lit(c) for c in columns])).alias("_column"))
-    found = _quantiles_large(df, columns, probs, by)
-    same = F.lit(True)
-    for k in [*by, "column"]:
-        same = same & col(f"_{k}").eqNullSafe(found[f"`{k}`"])
-    return every.join(found, same, "left").select(*[col(f"_{b}").alias(b) for b in by], F.col("_column").alias("column"), "q")
-
-
-def _quantiles_small(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    want = F.array(*[F.lit(float(p)) for p in probs])
-    out = None
-    for group in chunked(list(columns), COLUMNS_PER_SCAN):
-        aggs = [F.percentile(as_double(df, c), want).alias(c) for c in group]
-        wide = df.groupBy(*[col(b) for b in by]).agg(*aggs)
-        part = wide.unpivot([col(b) for b in by], [col(c) for c in group], "column", "q")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _quantiles_large(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str],
-    accuracy: int = 100_000,
-) -> DataFrame:
-    long = _long(df, columns, by)
-    keys = [*by, "column"]
-    margin = 4.0 / accuracy
+CELLS = 4096
+WIDE = 16.0  # from this ratio of its ends on, a range is cut by logarithms
+TINY = 2.0**-256  # of the larger end: below it, values around zero share a cell for one round
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
+    """Linear-interpolated quantiles as ``(by..., column, q array<double>)``, in the order of ``probs``; null for a column without values."""
+    keys = [col(f"_{i}") for i in range(len(by))] + [F.col("column")]
+    names = [f"_{i}" for i in range(len(by))] + ["column"]
+    wide = df.select(*[col(b).alias(f"_{i}") for i, b in enumerate(by)], *[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    long = wide.unpivot(keys[:-1], [F.col(f"c{i}") for i in range(len(columns))], "column", "value")
+    value = F.col("value")
+    totals = long.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    place = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(p)), F.ceil(place(p))) for p in probs])))
+    totals = materialize(totals.select(*keys, "n", "lo", "hi", F.lit(0).cast("bigint").alias("below"), wanted.alias("ranks")), "quantile-ranges")
+    state, settled = totals.where("n > 0").drop("n"), []
     while True:
-        ranks = materialize(_brackets(long, keys, probs, margin, accuracy), "quantile-brackets")
-        picked = materialize(_pick(long, ranks, keys), "quantile-ranks")
-        if picked.where("not found").isEmpty():
+        settled.append(state.where("lo <=> hi"))
+        state = state.where("not lo <=> hi")
+        if state.isEmpty():
             break
-        margin *= 8
-    order = [F.max(F.when(F.col("p_no") == i, F.col("q"))) for i in range(len(probs))]
-    return picked.groupBy(*[col(k) for k in keys]).agg(F.array(*order).alias("q"))
-
-
-def _brackets(long: DataFrame, keys: list[str], probs: Sequence[float], margin: float, accuracy: int) -> DataFrame:
-    lows = [max(0.0, p - margin) for p in probs]
-    highs = [min(1.0, p + margin) for p in probs]
-    sketch = F.percentile_approx("value", [*lows, *highs], accuracy)
-    stats = long.groupBy(*[col(k) for k in keys]).agg(
-        F.count("*").alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"), sketch.alias("edge")
-    )
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("p_no"),
-                F.lit(float(p)).alias("p"),
-                (F.col("mn") if lows[i] <= 0 else F.col("edge")[i]).alias("lo"),
-                (F.col("mx") if highs[i] >= 1 else F.col("edge")[len(probs) + i]).alias("hi"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    return (
-        stats.withColumn("w", F.explode(wanted))
-        .select(*[col(k) for k in keys], "n", "w.*")
-        .withColumn("pos", (F.col("n") - 1) * F.col("p"))
-    )
-
-
-def _pick(long: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
-    # Rows below the bracket collapse into one null-valued group before the shuffle.
-    named = ranks.select(*[col(k).alias(f"_{k}") for k in keys], *[c for c in ranks.columns if c not in keys])
-    same = F.lit(True)
-    for k in keys:
-        same = same & col(k).eqNullSafe(col(f"_{k}"))
-    hit = long.join(named, same).where(F.col("value") <= F.col("hi"))
-    counts = (
-        hit.withColumn("v", F.when(F.col("value") >= F.col("lo"), F.col("value")))
-        .groupBy(*[col(k) for k in keys], "p_no", "pos", "v")
-        .agg(F.count("*").alias("m"))
-    )
-    w = Window.partitionBy(*[col(k) for k in keys], "p_no").orderBy(F.col("v").asc_nulls_first())
-    seen = counts.withColumn("upto", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.floor("pos")
-    last = F.ceil("pos")
-    at = lambda r: F.min(F.when((F.col("upto") > r) & (F.col("upto") - F.col("m") <= r), F.struct("v")))
-    agg = seen.groupBy(*[col(k) for k in keys], "p_no", "pos").agg(at(first).alias("a"), at(last).alias("b"))
-    between = (last - F.col("pos")) * F.col("a.v") + (F.col("pos") - first) * F.col("b.v")  # as the built-in function has it
-    value = F.when(first == last, F.col("a.v")).otherwise(between)
-    return agg.select(*[col(k) for k in keys], "p_no", value.alias("q"), value.isNotNull().alias("found"))
+        state = materialize(_narrow(long, state, names, cells), "quantile-ranges")
+    found = settled[0]
+    for part in settled[1:]:
+        found = found.unionByName(part)
+    ranks = found.select(*keys, F.explode("ranks").alias("rank"), "lo")
+    # A hot group has no more rows here than wanted ranks.
+    values = ranks.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"))
+    one = []
+    for p in probs:
+        first, last = F.floor(place(p)), F.ceil(place(p))
+        a, b = F.col("at")[first], F.col("at")[last]
+        one.append(F.when(first == last, a).otherwise((last - place(p)) * a + (place(p) - first) * b))
+    named = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(f"c{i}"), F.lit(c))])
+    out = _null_safe(totals.select(*keys, "n"), values, names, "left")
+    q = F.when(F.col("n") > 0, F.array(*one))
+    return out.select(*[F.col(f"_{i}").alias(b) for i, b in enumerate(by)], named[F.col("column")].alias("column"), q.alias("q"))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner", residual: Column | None = None) -> DataFrame:
+    right = right.select(*[F.col(k).alias(f"r_{k}") for k in names], *[c for c in right.columns if c not in names])
+    same = F.lit(True) if residual is None else residual
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))
+    return left.join(right, same, how).drop(*[f"r_{k}" for k in names])
+
+
+def _scaled(ranges: DataFrame, cells: int) -> DataFrame:
+    """Ranges with what places a value in a cell: the logarithm taken off (null: even cells), the place of the low end and the distance of the ends."""
+    lo, hi, large = F.col("lo"), F.col("hi"), F.greatest(F.abs("lo"), F.abs("hi"))
+    least = F.when(lo > 0, lo).when(hi < 0, -hi).otherwise(F.greatest(large * TINY, F.lit(2.0**-1022)))
+    out = ranges.withColumn("base", F.when(large / WIDE > least, F.ln(least)))
+    start, end = _place(lo), _place(hi)
+    return out.withColumn("start", start).withColumn("width", end - start)
+
+
+def _place(v: Column) -> Column:
+    """Never falls as the value grows: the value, or its logarithm above the base with the value's sign."""
+    far = F.greatest(F.ln(F.abs(v)) - F.col("base"), F.lit(0.0))  # the logarithm of zero is null, which counts for nothing here
+    return F.when(F.col("base").isNull(), v).otherwise(F.signum(v) * far)
+
+
+def _narrow(long: DataFrame, state: DataFrame, names: Sequence[str], cells: int) -> DataFrame:
+    """The ranges of the wanted ranks within the cells of the open ranges."""
+    keys = [F.col(k) for k in names]
+    ranges = _scaled(state.select(*names, "lo", "hi"), cells)
+    met = _null_safe(long, ranges, names, "inner", F.col("value").between(F.col("lo"), F.col("hi")))
+    cell = F.least(F.greatest(F.floor((_place(F.col("value")) - F.col("start")) / F.col("width") * cells), F.lit(0)), F.lit(cells - 1))
+    counted = met.groupBy(*keys, "lo", cell.cast("int").alias("cell")).agg(F.count("*").alias("m"), F.min("value").alias("least"), F.max("value").alias("most"))
+    before = Window.partitionBy(*keys, "lo").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most `cells` rows
+    counted = counted.withColumn("inner_before", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    # one range per key and smallest value: ranges do not overlap
+    wanted = state.select(*names, F.col("lo").alias("of"), "below", "ranks")
+    joined = _null_safe(counted, wanted, names, "inner", F.col("lo") == F.col("of"))
+    joined = joined.withColumn("start", F.col("below") + F.col("inner_before"))
+    joined = joined.withColumn("held", F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("m")))).where(F.size("held") > 0)
+    return joined.select(*keys, F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("start").alias("below"), F.col("held").alias("ranks"))
