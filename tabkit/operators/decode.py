@@ -278,44 +278,68 @@ def _repair_inline(c: Column, domain: Sequence[str]) -> Column:
 
 
 def repair_by_join(rows: DataFrame, name: str, domain: DataFrame) -> DataFrame:
-    """Repair against a large domain ``(value, n)`` with equi-joins only.
-
-    Containment is a join on substrings: every substring of the domain values
-    and every substring of the distinct unknown values are keys, each key
-    reduced to its best category before the join.
-    """
-    best = F.struct((-F.col("n")).alias("less_often"), F.col("value"))
+    """Repair against a large domain ``(value, n)`` with equi-joins only; the distinct unknown values are searched, once each."""
     domain = domain.where("value <> ''")
-    top = domain.agg(F.min(best)["value"]).first()[0]
+    order = F.struct((-F.col("n")).alias("less_often"), F.col("value"))
+    top = domain.agg(F.min(order)["value"]).first()[0]
     if top is None:
         return rows
     seen = rows.select(col(name).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("_m"))
-    unknown = seen.join(domain.select("value"), "value", "left_anti").select(F.col("value").alias("miss"))
-    unknown = materialize(unknown, "unknown-values")
-    # A match can only have a length that occurs on the other side.
-    domain_sizes = _lengths(domain.select(F.lower("value").alias("v")))
-    miss_sizes = [n for n in _lengths(unknown.select(F.lower("miss").alias("v"))) if n <= max(domain_sizes, default=0)]
-    pieces = domain.select(F.explode(_substrings(F.lower("value"), miss_sizes)).alias("piece"), best.alias("cat"))
-    around = unknown.withColumn("piece", F.lower("miss")).join(pieces.groupBy("piece").agg(F.min("cat").alias("cat")), "piece")
-    whole = domain.select(F.lower("value").alias("piece"), best.alias("cat")).groupBy("piece").agg(F.min("cat").alias("cat"))
-    within = unknown.select("miss", F.explode(_substrings(F.lower("miss"), domain_sizes)).alias("piece")).join(whole, "piece")
-    close = around.select("miss", "cat").unionByName(within.select("miss", "cat")).groupBy("miss").agg(F.min("cat")["value"].alias("_close"))
-    fixes = unknown.join(close, "miss", "left").select(F.col("miss").alias("_miss"), F.coalesce("_close", F.lit(top)).alias("_fix"))
+    unknown = seen.join(domain.select("value"), "value", "left_anti").select(F.lower("value").alias("text"), F.col("value").alias("miss"))
+    unknown = materialize(unknown.withColumn("id", F.monotonically_increasing_id()), "unknown-values")
+    # Categories that differ only in case are one text, which stands for the best of them.
+    listed = domain.groupBy(F.lower("value").alias("text")).agg(F.min(order).alias("category"))
+    listed = materialize(listed.withColumn("id", F.monotonically_increasing_id()), "category-texts")
+    around = containments(unknown.where("text <> ''"), listed).select(F.col("inner_id").alias("miss_id"), F.col("outer_id").alias("category_id"))
+    within = containments(listed, unknown).select(F.col("outer_id").alias("miss_id"), F.col("inner_id").alias("category_id"))
+    found = around.unionByName(within).join(listed.select(F.col("id").alias("category_id"), "category"), "category_id")
+    close = found.groupBy("miss_id").agg(F.min("category")["value"].alias("_close"))
+    fixes = unknown.join(close, F.col("id") == F.col("miss_id"), "left").select(F.col("miss").alias("_miss"), F.coalesce("_close", F.lit(top)).alias("_fix"))
     fixes = materialize(fixes, "repairs")
     joined = rows.join(fixes, col(name) == F.col("_miss"), "left").withColumn(name, F.coalesce("_fix", col(name)))
     return joined.select(*[col(c) for c in rows.columns])
 
 
-def _lengths(texts: DataFrame) -> list[int]:
-    """The distinct text lengths, of which there are few."""
-    return sorted(r[0] for r in texts.select(F.length("v")).distinct().collect())
+GRAM = 3
+
 
+def containments(inner: DataFrame, outer: DataFrame, gram: int = GRAM) -> DataFrame:
+    """``(inner_id, outer_id)`` where the inner ``text`` is part of the outer one; both sides are ``(id, text)``, no text is empty.
 
-def _substrings(c: Column, sizes: Sequence[int]) -> Column:
-    """All distinct substrings of a text that have one of the given lengths."""
-    fitting = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length(c))
-    every = F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda start: F.substring(c, start, n)))
-    return F.array_distinct(F.flatten(every))
+    An inverted index of the outer texts' grams (``gram`` characters; whole inner texts that are shorter). All grams of an inner text must
+    occur there, else no outer text can hold it; its rarest one fetches the candidates. Those at least as long are verified on the
+    texts. The index grows with the length of a text, not with its square, and holds numbers instead of texts.
+    """
+    size = F.least(F.length("text"), F.lit(gram))
+    inner = inner.select("id", "text", size.alias("size"))
+    sizes = sorted(r[0] for r in inner.select("size").distinct().collect())  # at most `gram` numbers
+    inner_grams = _union_of([_grams(inner.where(F.col("size") == k), k) for k in sizes])
+    outer_grams = _union_of([_grams(outer.select("id", "text").where(F.length("text") >= k), k) for k in sizes])
+    if inner_grams is None or outer_grams is None:
+        return inner.where("false").select(F.col("id").alias("inner_id"), F.col("id").alias("outer_id"))
+    outer_grams = materialize(outer_grams, "gram-index")
+    held = outer_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    known = inner_grams.join(held, "gram", "left").groupBy("id").agg(F.bool_and(F.col("texts").isNotNull()).alias("all"), F.min(F.struct("texts", "gram"))["gram"].alias("gram"), F.max("length").alias("inner_length"))
+    rarest = known.where("all").select(F.col("id").alias("inner_id"), "gram", "inner_length")
+    pairs = rarest.join(outer_grams.withColumnRenamed("id", "outer_id"), "gram").where(F.col("inner_length") <= F.col("length")).select("inner_id", "outer_id")
+    texts = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text"))
+    met = pairs.join(texts(inner, "inner"), "inner_id").join(texts(outer, "outer"), "outer_id")
+    return met.where(F.contains("outer_text", F.col("inner_text"))).select("inner_id", "outer_id")
+
+
+def _grams(texts: DataFrame, size: int) -> DataFrame:
+    """``(id, length, gram)``: the distinct runs of ``size`` characters of each text."""
+    letters = texts.select("id", F.length("text").alias("length"), F.split("text", "").alias("letters"))
+    letters = letters.where(F.size("letters") >= size)
+    every = F.transform(F.sequence(F.lit(0), F.size("letters") - size), lambda at: F.concat(*[F.col("letters")[at + k] for k in range(size)]))
+    return letters.select("id", "length", F.explode(F.array_distinct(every)).alias("gram"))
+
+
+def _union_of(parts: Sequence[DataFrame]) -> DataFrame | None:
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 # ---- D11..D16 ---------------------------------------------------------------

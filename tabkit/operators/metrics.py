@@ -7,12 +7,11 @@ and ``synthetic`` are the two names in it. Formulas are the usual published ones
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabkit.functions.columns import as_double, chunked, col
+from tabkit.functions.columns import as_double, chunked, col, join_null_safe
 from tabkit.functions.ordered import running_sums
 from tabkit.operators.compare import _per_column, bin_of, column_ranges, long_values
 from tabkit.operators.profile import pair_correlations, text_of, value_counts
@@ -179,43 +178,101 @@ def cardinality_shape(real: tuple[DataFrame, str, DataFrame, str], synthetic: tu
 
 # ---- N10 --------------------------------------------------------------------
 LEAF_POINTS = 64
-SPLIT_BITS = 1
-MAX_SPLITS = 30
+FAN = 16  # children of a node
+SPLITS = 16  # cells of a column in the order of the points, with even shares of them
+LISTED = 16  # most values of a category that a node lists; with more, any value may be in it
+NULL = "\0"
 
 
 def closest_record_distance(
-    df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], real: str, synthetic: str, leaf_points: int = LEAF_POINTS
+    df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], real: str, synthetic: str, leaf_points: int = LEAF_POINTS, fan: int = FAN
 ) -> DataFrame:
-    """Exact distance of each synthetic row to its closest real row, ``(key, dcr)``.
-
-    Distance is the sum of |difference| / real range over numeric columns plus
-    the number of differing categories. A search tree is walked by equi-joins:
-    real points are grouped by their categories, groups are split into grid
-    cells until they hold few points, and a synthetic row follows only cells
-    that may hold a closer point than its best bound so far. Groups with m
-    differing categories are tried only for rows whose best distance exceeds m.
+    """Exact distance of each synthetic row to its closest real row, ``(key, dcr)``; null where there is no real row.
+
+    Distance is the sum of |difference| / real range over numeric columns plus the number of differing categories. Null is a value
+    of its own: it equals null and differs from any other by 1, in both kinds of columns.
+
+    Real points are sorted once, by their categories and then along a z-curve over cells with even shares of the points, and numbered. A
+    node of the search tree is a run of them: ``leaf_points`` numbers in a leaf, ``fan`` children above, so every split is a quantile of the data and a
+    parent's number is a child's divided. A node knows the box of each number, the values of each category and one of its points.
+    Synthetic rows walk down by equi-joins on the node. A node's bound counts distances to the box and categories without the row's value
+    alike; it is left when the bound passes the distance to the nearest known point. What is left meets the points of its leaves.
     """
     ranges = column_ranges_of(df, numeric, real)
-    scaled = [((as_double(df, c) - F.lit(lo)) / F.lit(span)).alias(f"x{i}") for i, (c, (lo, span)) in enumerate(zip(numeric, ranges))]
-    cats = [F.coalesce(text_of(col(c), df.schema[c].dataType), F.lit("\0")).alias(f"c{i}") for i, c in enumerate(categorical)]
-    dims = [f"x{i}" for i in range(len(numeric))]
-    kinds = [f"c{i}" for i in range(len(categorical))]
-    points = df.select("dataset", col(key).alias("key"), *scaled, *cats).na.fill(0.0, dims)
+    dims, kinds = [f"x{i}" for i in range(len(numeric))], [f"c{i}" for i in range(len(categorical))]
+    scaled = [((as_double(df, c) - F.lit(lo)) / F.lit(span)).alias(d) for c, d, (lo, span) in zip(numeric, dims, ranges)]
+    cats = [F.coalesce(text_of(col(c), df.schema[c].dataType), F.lit(NULL)).alias(k) for c, k in zip(categorical, kinds)]
+    points = df.select("dataset", col(key).alias("key"), *scaled, *cats)
     reals = materialize(points.where(F.col("dataset") == real).select(*dims, *kinds).distinct(), "dcr-real")
     rows = materialize(points.where(F.col("dataset") == synthetic), "dcr-rows")
     # Rows with equal features have one answer; each is searched once.
-    best = rows.select(*dims, *kinds).distinct().withColumn("best", F.lit(None).cast("double"))
-    for misses in range(len(kinds) + 1):
-        open_rows = best.where(F.col("best").isNull() | (F.col("best") > misses))
-        if misses and open_rows.isEmpty():
-            break
-        for fixed_kinds in combinations(kinds, len(kinds) - misses):
-            found = _search(open_rows, reals, dims, kinds, list(fixed_kinds), misses, leaf_points)
-            best = best.join(found, [*dims, *kinds], "left").select(
-                *dims, *kinds, F.least(F.col("best"), F.col("found")).alias("best")
-            )
-        best = materialize(best, "dcr-best")
-    return rows.join(best, [*dims, *kinds]).select(F.col("key").alias(key), F.col("best").alias("dcr"))
+    searched = materialize(rows.select(*dims, *kinds).distinct().withColumn("q", F.monotonically_increasing_id()), "dcr-searched")
+    leaves, levels = _packed_tree(reals, dims, kinds, leaf_points, fan)
+    pairs = searched.withColumns({"node": F.lit(0).cast("bigint"), "bound": F.lit(float("inf"))})
+    for nodes in reversed(levels):
+        met = pairs.drop("near").join(nodes, F.col("node") == F.col("parent")).select(
+            "q", *dims, *kinds, F.col("id").alias("node"), _least_distance(dims, kinds).alias("near"), F.least("bound", _distance(dims, kinds, "one_")).alias("reach")
+        )
+        known = met.withColumn("bound", F.min("reach").over(Window.partitionBy("q"))).drop("reach")
+        pairs = materialize(known.where(F.col("near") <= F.col("bound")), "dcr-pairs")
+    met = pairs.join(leaves.select(F.col("leaf").alias("node"), *[F.col(c).alias(f"r_{c}") for c in dims + kinds]), "node")
+    best = met.groupBy("q").agg(F.min(_distance(dims, kinds, "r_")).alias("dcr"))
+    best = searched.join(best, "q", "left").drop("q")
+    return join_null_safe(rows, best, [*dims, *kinds]).select(F.col("key").alias(key), "dcr")
+
+
+def _distance(dims: Sequence[str], kinds: Sequence[str], other: str) -> Column:
+    """Of a row from the point in the columns that begin with ``other``."""
+    number = lambda x, y: F.coalesce(F.abs(x - y), (~x.eqNullSafe(y)).cast("double"))
+    gaps = [number(F.col(d), F.col(other + d)) for d in dims] + [(F.col(k) != F.col(other + k)).cast("double") for k in kinds]
+    return sum(gaps, F.lit(0.0))
+
+
+def _least_distance(dims: Sequence[str], kinds: Sequence[str]) -> Column:
+    """Of a row from any point that may be in a node."""
+    gaps = []
+    for d in dims:
+        x, lo, hi = F.col(d), F.col(f"lo_{d}"), F.col(f"hi_{d}")
+        to_box = F.greatest(lo - x, x - hi, F.lit(0.0))
+        to_null = F.when(F.col(f"null_{d}"), 1.0)
+        gaps.append(F.when(x.isNull(), (~F.col(f"null_{d}")).cast("double")).when(lo.isNull(), 1.0).otherwise(F.least(to_box, to_null)))
+    gaps += [F.coalesce((~F.array_contains(f"in_{k}", F.col(k))).cast("double"), F.lit(0.0)) for k in kinds]
+    return sum(gaps, F.lit(0.0))
+
+
+def _packed_tree(reals: DataFrame, dims: list[str], kinds: list[str], leaf_points: int, fan: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The points with the number of their leaf, and the levels of nodes from the leaves up: id, parent, boxes, categories, one point."""
+    asked = [F.percentile_approx(d, [i / SPLITS for i in range(1, SPLITS)], 10_000).alias(d) for d in dims] + [F.approx_count_distinct(k).alias(k) for k in kinds]
+    about = reals.agg(F.count(F.lit(1)).alias("n"), *asked).first()
+    bits = (SPLITS - 1).bit_length()
+    cells = []
+    for d in dims:
+        above = [(F.col(d) >= F.lit(x)).cast("int") for x in sorted(set(about[d] or []))]
+        cells.append(F.coalesce(sum(above, F.lit(0)), F.lit(0)))
+    curve = [F.shiftright(c, b).bitwiseAND(1).cast("string") for b in range(bits - 1, -1, -1) for c in cells]
+    order = [F.concat(*[x for k in sorted(kinds, key=lambda k: about[k]) for x in (F.col(k), F.lit("\1"))], F.lit("\2"), *curve).alias("at")]
+    placed = reals.select(*dims, *kinds, *order, F.lit(1).cast("bigint").alias("nth"))
+    placed = running_sums(placed, [], ["at", *dims, *kinds], ["nth"])
+    leaves = placed.withColumn("leaf", F.floor((F.col("nth") - 1) / leaf_points)).drop("at", "nth")
+    leaves = materialize(leaves, "dcr-leaves")
+    first = lambda of: [F.min_by(c, of).alias(f"one_{c}") for c in dims + kinds]
+    box = [x for d in dims for x in (F.min(d).alias(f"lo_{d}"), F.max(d).alias(f"hi_{d}"), F.bool_or(F.col(d).isNull()).alias(f"null_{d}"))]
+    listed = lambda values: F.when(F.size(values) <= LISTED, values)
+    tie = F.struct(*[F.col(c) for c in dims + kinds])
+    nodes = leaves.groupBy("leaf").agg(*box, *[listed(F.collect_set(k)).alias(f"in_{k}") for k in kinds], *first(tie))
+    nodes = nodes.withColumnRenamed("leaf", "id").withColumn("parent", F.floor(F.col("id") / fan))
+    levels, count = [materialize(nodes, "dcr-nodes")], -(-about["n"] // leaf_points)
+    while count > fan:
+        inner = levels[-1]
+        box = [x for d in dims for x in (F.min(f"lo_{d}").alias(f"lo_{d}"), F.max(f"hi_{d}").alias(f"hi_{d}"), F.bool_or(f"null_{d}").alias(f"null_{d}"))]
+        # At most `fan` lists of at most LISTED values meet; one that is too long stands for any value.
+        union = [F.when(F.bool_and(F.col(f"in_{k}").isNotNull()), listed(F.array_distinct(F.flatten(F.collect_list(f"in_{k}"))))).alias(f"in_{k}") for k in kinds]
+        nodes = inner.groupBy("parent").agg(*box, *union, *[F.min_by(f"one_{c}", "id").alias(f"one_{c}") for c in dims + kinds])
+        nodes = nodes.withColumnRenamed("parent", "id").withColumn("parent", F.floor(F.col("id") / fan))
+        levels.append(materialize(nodes, "dcr-nodes"))
+        count = -(-count // fan)
+    levels[-1] = levels[-1].withColumn("parent", F.lit(0).cast("bigint"))
+    return leaves, levels
 
 
 def column_ranges_of(df: DataFrame, columns: Sequence[str], dataset: str) -> list[tuple[float, float]]:
@@ -230,49 +287,6 @@ def column_ranges_of(df: DataFrame, columns: Sequence[str], dataset: str) -> lis
     return out
 
 
-def _cell(dims: Sequence[str], level: int) -> Column:
-    size = float(1 << (SPLIT_BITS * level))
-    return F.concat_ws(",", *[F.floor(F.col(d) * size).cast("string") for d in dims])
-
-
-def _search(rows: DataFrame, reals: DataFrame, dims: list[str], kinds: list[str], fixed_kinds: list[str], misses: int, leaf_points: int) -> DataFrame:
-    """Best distance of each row within the groups that share ``fixed_kinds``: ``(dims, kinds, found)``."""
-    group = F.concat_ws("\1", F.lit("g"), *[F.col(k) for k in fixed_kinds])
-    points = reals.withColumn("_group", group)
-    ids = [*dims, *kinds]
-    open_pairs = rows.select(*ids, "best", group.alias("_group"), F.lit("").alias("_cell"))
-    results = None
-    for level in range(MAX_SPLITS + 1):
-        cell = _cell(dims, level) if level else F.lit("")
-        at_level = points.withColumn("_cell", cell)
-        boxes = at_level.groupBy("_group", "_cell").agg(
-            F.count(F.lit(1)).alias("_n"), F.min(F.struct(*dims)).alias("_one"), *[x for d in dims for x in (F.min(d).alias(f"lo_{d}"), F.max(d).alias(f"hi_{d}"))]
-        )
-        near = sum((F.greatest(F.col(f"lo_{d}") - F.col(d), F.col(d) - F.col(f"hi_{d}"), F.lit(0.0)) for d in dims), F.lit(0.0))
-        # No real point of the cell is farther than its far corner, and one of them is right here.
-        corner = sum((F.greatest(F.col(f"hi_{d}") - F.col(d), F.col(d) - F.col(f"lo_{d}")) for d in dims), F.lit(0.0))
-        far = F.least(corner, sum((F.abs(F.col(d) - F.col("_one")[d]) for d in dims), F.lit(0.0)))
-        pairs = open_pairs.join(boxes, ["_group", "_cell"]).select(
-            *ids, "best", "_group", "_cell", "_n", (near + misses).alias("_near"), (far + misses).alias("_far")
-        )
-        pairs = materialize(pairs, "dcr-pairs")
-        bound = pairs.groupBy(*ids).agg(F.min(F.least("_far", "best")).alias("_bound"))
-        kept = materialize(pairs.join(bound, ids).where(F.col("_near") <= F.col("_bound")), "dcr-kept")
-        leaf = (F.col("_n") <= leaf_points) if level < MAX_SPLITS else F.lit(True)
-        others = at_level.select("_group", "_cell", *[F.col(d).alias(f"r_{d}") for d in dims], *[F.col(k).alias(f"r_{k}") for k in kinds])
-        gap = sum((F.abs(F.col(d) - F.col(f"r_{d}")) for d in dims), F.lit(0.0))
-        gap = gap + sum(((F.col(k) != F.col(f"r_{k}")).cast("double") for k in kinds), F.lit(0.0))
-        done = kept.where(leaf).join(others, ["_group", "_cell"]).groupBy(*ids).agg(F.min(gap).alias("found"))
-        results = done if results is None else results.unionByName(done)
-        split = kept.where(~leaf)
-        if split.isEmpty():
-            break
-        children = at_level.select("_group", F.col("_cell").alias("_parent"), _cell(dims, level + 1).alias("_child")).distinct()
-        open_pairs = split.select(*ids, F.least("best", "_bound").alias("best"), "_group", F.col("_cell").alias("_parent"))
-        open_pairs = open_pairs.join(children, ["_group", "_parent"]).select(*ids, "best", "_group", F.col("_child").alias("_cell"))
-    return results.groupBy(*ids).agg(F.min("found").alias("found"))
-
-
 # ---- N11, N12 ---------------------------------------------------------------
 # Categories are hashed to this many features, so their number needs no bound.
 HASH_FEATURES = 4096

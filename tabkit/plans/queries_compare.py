@@ -227,28 +227,48 @@ def cardinality_shape(spark, d) -> DataFrame:
     return rounded(N.cardinality_shape(a, b))
 
 
-_HALF_ORDERS = """SELECT o_orderkey, md5('dcr:' || o_orderkey) < '8' AS r, o_totalprice AS p, (epoch_us(o_orderdate) // 86400000000)::DOUBLE AS day, o_orderstatus AS s,
-  CASE WHEN o_orderkey % 50 = 0 THEN 'new' ELSE o_orderpriority END AS q FROM orders"""
+_HALF_ORDERS = """SELECT *, CASE WHEN NOT r AND o_orderkey % 50 = 0 THEN 'new' ELSE o_orderpriority END AS q FROM (
+  SELECT o_orderkey, o_orderpriority, md5('dcr:' || o_orderkey) < '8' AS r, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS p, (epoch_us(o_orderdate) // 86400000000)::DOUBLE AS day,
+    CASE WHEN o_orderkey % 17 <> 0 THEN o_orderstatus END AS s FROM orders)"""
+_GAP = lambda x: f"coalesce(abs(y.{x} - x.{x}) / b.{x}, (y.{x} IS DISTINCT FROM x.{x})::INTEGER)"
+_OTHER = lambda x: f"(y.{x} IS DISTINCT FROM x.{x})::INTEGER"
 
 
 @query(f"""WITH o AS ({_HALF_ORDERS})
-SELECT y.o_orderkey, round(min(abs(y.p - x.p) / sp + abs(y.day - x.day) / sd + (y.s <> x.s)::INTEGER + (y.q <> x.q)::INTEGER), 7) + 0.0 AS dcr
-FROM o y, (SELECT * FROM o WHERE r AND q <> 'new') x, (SELECT max(p) - min(p) AS sp, max(day) - min(day) AS sd FROM o WHERE r AND q <> 'new') b WHERE NOT y.r GROUP BY 1""")
+SELECT y.o_orderkey, round(min({_GAP("p")} + {_GAP("day")} + {_OTHER("s")} + {_OTHER("q")}), 7) + 0.0 AS dcr
+FROM o y, (SELECT * FROM o WHERE r) x, (SELECT max(p) - min(p) AS p, max(day) - min(day) AS day FROM o WHERE r) b WHERE NOT y.r GROUP BY 1""")
 def dcr(spark, d) -> DataFrame:
+    """Synthetic rows have a category that no real row has; numbers and categories are null in some rows of both."""
     o = table(spark, d, "orders")
-    q = F.when(F.col("o_orderkey") % 50 == 0, "new").otherwise(F.col("o_orderpriority"))
     is_real = F.md5(F.concat_ws(":", F.lit("dcr"), "o_orderkey")) < "8"
     rows = o.select(
         "o_orderkey",
-        F.when(is_real & (q == "new"), "dropped").when(is_real, REAL).otherwise(SYN).alias("dataset"),
-        F.col("o_totalprice").alias("p"),
+        F.when(is_real, REAL).otherwise(SYN).alias("dataset"),
+        F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice")).alias("p"),
         F.unix_date(F.col("o_orderdate").cast("date")).cast("double").alias("day"),
-        F.col("o_orderstatus").alias("s"),
-        q.alias("q"),
+        F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderstatus")).alias("s"),
+        F.when(~is_real & (F.col("o_orderkey") % 50 == 0), "new").otherwise(F.col("o_orderpriority")).alias("q"),
     )
     return rounded(N.closest_record_distance(rows, "o_orderkey", ["p", "day"], ["s", "q"], REAL, SYN))
 
 
+_WIDE_NUMBERS = {"n1": "o_totalprice", "n2": "datediff(DATE '1992-01-01', CAST(o_orderdate AS DATE))", "n3": "c_acctbal", "n4": "o_custkey * 1.0", "n5": "c_nationkey * 1.0", "n6": "o_orderkey % 1009 * 1.0"}
+_WIDE_KINDS = {"k1": "o_orderstatus", "k2": "o_orderpriority", "k3": "c_mktsegment", "k4": "month(o_orderdate)", "k5": "dayofmonth(o_orderdate) % 7", "k6": "o_custkey % 3", "k7": "o_orderkey % 5", "k8": "year(o_orderdate)"}
+_WIDE_SQL = ", ".join(f"({e}) AS {n}" for n, e in {**_WIDE_NUMBERS, **_WIDE_KINDS}.items()).replace("datediff(DATE '1992-01-01', CAST(o_orderdate AS DATE))", "datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, md5('dcr:' || o_orderkey) < '8' AS r, {_WIDE_SQL} FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT y.o_orderkey, round(min({" + ".join([*map(_GAP, _WIDE_NUMBERS), *map(_OTHER, _WIDE_KINDS)])}), 7) + 0.0 AS dcr
+FROM o y, (SELECT * FROM o WHERE r) x, (SELECT {", ".join(f"max({n}) - min({n}) AS {n}" for n in _WIDE_NUMBERS)} FROM o WHERE r) b WHERE NOT y.r GROUP BY 1""")
+def dcr_wide(spark, d) -> DataFrame:
+    """Six numbers and eight categories."""
+    both = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    shown = {n: F.expr(e.replace("datediff(DATE '1992-01-01', CAST(o_orderdate AS DATE))", "datediff(CAST(o_orderdate AS DATE), DATE '1992-01-01')")) for n, e in {**_WIDE_NUMBERS, **_WIDE_KINDS}.items()}
+    is_real = F.md5(F.concat_ws(":", F.lit("dcr"), "o_orderkey")) < "8"
+    rows = both.select("o_orderkey", F.when(is_real, REAL).otherwise(SYN).alias("dataset"), *[e.alias(n) for n, e in shown.items()])
+    return rounded(N.closest_record_distance(rows, "o_orderkey", list(_WIDE_NUMBERS), list(_WIDE_KINDS), REAL, SYN))
+
+
 @query(f"""{_WITH}, k AS (SELECT l_returnflag, l_quantity, l_tax AS s, count(*) FILTER (dataset = 'real') AS a, count(*) FILTER (dataset = 'synthetic') AS b FROM h GROUP BY ALL),
 g AS (SELECT l_returnflag, l_quantity, sum(a) AS ta, sum(b) AS tb, sum(a * b) AS hit FROM k GROUP BY ALL)
 SELECT sum(ta)::BIGINT AS real_rows, (sum(ta) FILTER (tb > 0))::BIGINT AS matched_rows, round(sum(hit / tb) FILTER (tb > 0) / sum(ta) FILTER (tb > 0), 7) AS cap FROM g""")

@@ -11,8 +11,8 @@ from tabkit.operators import ml as M
 from tabkit.sources.tables import read_scores
 
 
-@pytest.mark.parametrize("leaf", [2, 1000])
-def test_closest_distance_is_exact(spark, leaf):
+@pytest.mark.parametrize("leaf, fan", [(2, 3), (1000, 16)])
+def test_closest_distance_is_exact(spark, leaf, fan):
     rng = np.random.default_rng(1)
     rows = []
     for i in range(300):
@@ -26,12 +26,47 @@ def test_closest_distance_is_exact(spark, leaf):
         s[0]: min(abs(s[2] - r[2]) / span[0] + abs(s[3] - r[3]) / span[1] + (s[4] != r[4]) + (s[5] != r[5]) for r in real)
         for s in rows if s[1] == "synthetic"
     }
-    got = {r["id"]: r["dcr"] for r in N.closest_record_distance(df, "id", ["x", "y"], ["c", "e"], "real", "synthetic", leaf).collect()}
+    got = {r["id"]: r["dcr"] for r in N.closest_record_distance(df, "id", ["x", "y"], ["c", "e"], "real", "synthetic", leaf, fan).collect()}
     assert got.keys() == want.keys()
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=1e-9), k
 
 
+def test_closest_distance_with_nulls(spark):
+    """Null equals null and differs by 1 from every value, also from the smallest of its column; without real rows there is no distance."""
+    rng = np.random.default_rng(5)
+    some = lambda v: None if rng.random() < 0.2 else v
+    rows = [(i, "real" if i % 3 else "synthetic", some(float(rng.integers(0, 4))), some(float(rng.normal())), None, some("abc"[i % 3]), some(str(rng.integers(0, 30)))) for i in range(200)]
+    rows += [(900, "synthetic", None, None, None, None, None), (901, "synthetic", 0.0, None, 3.0, "a", None)]
+    df = spark.createDataFrame(rows, "id int, dataset string, x double, y double, z double, c string, e string")
+    real = [r for r in rows if r[1] == "real"]
+    span = {i: (max(v) - min(v)) or 1.0 if (v := [r[i] for r in real if r[i] is not None]) else 1.0 for i in (2, 3, 4)}
+
+    def gap(s, r, i):
+        if s[i] is None or r[i] is None or i > 4:
+            return float(s[i] != r[i])
+        return abs(s[i] - r[i]) / span[i]
+
+    want = {s[0]: min(sum(gap(s, r, i) for i in range(2, 7)) for r in real) for s in rows if s[1] == "synthetic"}
+    for fan, leaf in ((2, 1), (4, 8)):
+        got = {r["id"]: r["dcr"] for r in N.closest_record_distance(df, "id", ["x", "y", "z"], ["c", "e"], "real", "synthetic", leaf, fan).collect()}
+        assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    none = N.closest_record_distance(df.where("dataset <> 'real'"), "id", ["x"], ["c"], "real", "synthetic").collect()
+    assert len(none) == len(want) and {r["dcr"] for r in none} == {None}
+
+
+def test_closest_distance_search_leaves_most_of_the_tree(spark):
+    """Rows on a line: a row meets the leaves around it, not all points."""
+    df = spark.range(4000).selectExpr("id", "if(id % 2 = 0, 'real', 'synthetic') AS dataset", "cast(id as double) AS x")
+    reals = df.where("dataset = 'real'").selectExpr("x / 3998 AS x0")
+    leaves, levels = N._packed_tree(reals, ["x0"], [], 16, 4)
+    assert [n.count() for n in levels] == [125, 32, 8, 2] and leaves.count() == 2000
+    boxes = sorted((r["lo_x0"], r["hi_x0"]) for r in levels[0].collect())
+    assert all(a[1] < b[0] for a, b in zip(boxes, boxes[1:]))
+    got = {round(r["dcr"] * 3998, 6) for r in N.closest_record_distance(df, "id", ["x"], [], "real", "synthetic", 16, 4).collect()}
+    assert got == {1.0}
+
+
 def test_ks_on_ties(spark):
     df = spark.createDataFrame([("r", 1.0)] * 3 + [("r", 2.0)] + [("s", 2.0)] * 2 + [("s", 3.0)] * 2, "dataset string, x double")
     assert N.ks_statistic(df, ["x"], "r", "s").first()["ks"] == pytest.approx(0.75)
