@@ -45,13 +45,14 @@ def complete(
     max_tries: int = MAX_TRIES,
     wait_seconds: float = RETRY_BASE_SECONDS,
     max_concurrency: int | None = None,
+    keep: bool = True,
 ) -> DataFrame:
     """Run ``fn`` (a batch of prompts to a batch of texts) over the prompts table.
 
     A failing batch is retried with doubling waits, then its prompts one by one;
     a prompt that still fails has empty text and its error. The result is
     written to the shared checkpoint folder: a model's answers are not
-    repeatable, so they must not be recomputed.
+    repeatable, so they must not be recomputed. ``keep=False`` leaves the writing to the caller.
     """
     others = [c for c in prompts.columns if c not in ("prompt_id", "prompt")]
     schema = T.StructType(
@@ -99,7 +100,8 @@ def complete(
 
     if max_concurrency is not None:
         prompts = prompts.repartition(max_concurrency, "prompt_id")
-    return materialize(prompts.select("prompt_id", *[col(c) for c in others], "prompt").mapInPandas(run, schema), "completions")
+    answers = prompts.select("prompt_id", *[col(c) for c in others], "prompt").mapInPandas(run, schema)
+    return materialize(answers, "completions") if keep else answers
 
 
 # ---- D2, D3 -----------------------------------------------------------------

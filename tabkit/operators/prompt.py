@@ -123,6 +123,7 @@ def draw_shots(
     seed: int = 42,
     strata: Sequence[str] = (),
     indexed: DataFrame | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """K1, K2: for each prompt its own ``k`` pool rows without replacement.
 
@@ -131,7 +132,7 @@ def draw_shots(
     ``k`` is None, its own ``k_shot``. With ``strata`` the k rows are shared out
     in proportion to the stratum sizes (largest remainder). Work is prompts x k
     plus one numbering of the pool; no prompt looks at the whole pool.
-    ``indexed`` is a pool already numbered by ``dense_index``, for repeated draws.
+    ``indexed`` is a pool already numbered by ``dense_index``, ``size`` its known number of rows, for repeated draws.
     """
     prompts = prompts if k is None else prompts.withColumn("k_shot", F.lit(k))
     if key is None:
@@ -141,7 +142,7 @@ def draw_shots(
         if k is None:
             raise ValueError("a stratified draw needs one k for all prompts")
         return _draw_stratified(pool, prompts, key, k, seed, strata)
-    total = F.lit(pool.count()).cast("bigint")
+    total = F.lit(pool.count() if size is None else size).cast("bigint")
     prefix = F.concat_ws(":", F.lit(str(seed)), F.col("k_shot").cast("string"), F.col("prompt_id").cast("string"))
     draws = prompts.select("*", F.posexplode(_draw(prefix, F.col("k_shot"), total)).alias("_pos", "idx"))
     draws = draws.withColumn("shot_no", F.col("_pos") + 1).drop("_pos")
@@ -270,12 +271,13 @@ def build_prompts(
     permute: bool = False,
     row_key: Sequence[str] = (),
     seed: int = 42,
+    schema: str | None = None,
 ) -> DataFrame:
     """K5, K6: ``(prompt_id, k_shot, n_samples, prompt)`` from drawn rows.
 
     ``n_samples=None`` takes it from the shots' own column. ``train`` adds the
-    correlation matrix of that table. ``permute`` shuffles columns anew for
-    each row of each prompt.
+    correlation matrix of that table; a ``schema`` block made before saves making it again. ``permute`` shuffles columns
+    anew for each row of each prompt.
     """
     options = {"permute": True, "row_key": ["prompt_id", *row_key], "seed": seed} if permute else {}
     shots = shots if n_samples is None else shots.withColumn("n_samples", F.lit(n_samples))
@@ -285,7 +287,7 @@ def build_prompts(
     grouped = lines.groupBy(*groups).agg(ordered.alias("_shots"))
     n = F.col("n_samples")
     if style == "structured":
-        head = STRUCTURED_HEAD.format(schema=schema_block(profile, train), shots="\0").split("\0")
+        head = STRUCTURED_HEAD.format(schema=schema_block(profile, train) if schema is None else schema, shots="\0").split("\0")
         numbered = F.transform("_shots", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s["_text"]))
         prompt = F.concat(
             F.lit(head[0]), F.size("_shots").cast("string"), F.lit(head[1]), F.array_join(numbered, "\n"), F.lit("\n"),
@@ -419,9 +421,9 @@ MAX_RETRY_TOKENS = 131_072
 
 
 def plan_next_round(
-    n_rows: int, rows_so_far: int, prompts_so_far: int, rows_per_prompt: int, prompts_per_batch: int
+    n_rows: int, rows_so_far: int, prompts_so_far: int, rows_per_prompt: int, prompts_per_batch: int | None
 ) -> int:
-    """Prompts for the next round: rows missing over observed rows per prompt, plus half."""
+    """Prompts for the next round: rows missing over observed rows per prompt, plus half; at most ``prompts_per_batch``, if given."""
     observed = rows_so_far / prompts_so_far if prompts_so_far and rows_so_far else rows_per_prompt * FIRST_DECODE_RATE
-    wanted = math.ceil((n_rows - rows_so_far) / observed * OVERSHOOT) if observed > 0 else prompts_per_batch
-    return max(1, min(prompts_per_batch, wanted))
+    wanted = math.ceil((n_rows - rows_so_far) / observed * OVERSHOOT) if observed > 0 else prompts_per_batch or 1
+    return max(1, wanted if prompts_per_batch is None else min(prompts_per_batch, wanted))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.operators.decode import cap_per_prompt, complete, decode, decode_stats, first_rows
+from tabkit.operators.decode import cap_per_prompt, complete, decode, first_rows
 from tabkit.operators.profile import DatasetProfile, profile
 from tabkit.operators.prompt import (
     DEFAULT_SHOTS,
@@ -19,9 +21,13 @@ from tabkit.operators.prompt import (
     dense_index,
     draw_shots,
     plan_next_round,
+    schema_block,
 )
 from tabkit.operators.sample import representative
-from tabkit.session import materialize
+from tabkit.plans.ledger import Ledger
+
+FIRST_PROMPTS = 300  # of the first round, which learns how many rows a prompt gives
+PROMPTS_PER_BATCH = 10_000  # answered in one job and noted together
 
 
 def generate(
@@ -31,7 +37,7 @@ def generate(
     key: Sequence[str],
     k_shot: int = 80,
     rows_per_prompt: int = ROWS_PER_PROMPT,
-    prompts_per_batch: int = 300,
+    prompts_per_batch: int = PROMPTS_PER_BATCH,
     max_tokens: int = 8192,
     mode: str = "json",
     target: str | None = None,
@@ -42,43 +48,57 @@ def generate(
     permute: bool = False,
     max_concurrency: int | None = None,
     seed: int = 42,
+    run_id: str | None = None,
+    first_prompts: int = FIRST_PROMPTS,
 ) -> tuple[DataFrame, DatasetProfile]:
     """Rows made by a model from ``k_shot`` examples per prompt, and the profile they follow.
 
-    ``fn(prompts, max_tokens)`` returns one text per prompt. Each round asks for
-    the rows still missing at the decode rate seen so far; a round without rows
-    is tried once more with twice the tokens, and five such rounds end the run.
-    The driver sees one row of counts per round. ``key`` identifies training rows.
+    ``fn(prompts, max_tokens)`` returns one text per prompt. After a first round of at most ``first_prompts`` prompts each round asks for
+    all rows still missing, at the decode rate seen so far, so the number of rounds does not grow with ``n_rows``. Prompts are answered in batches;
+    a round without rows is tried once more with twice the tokens, and five such rounds end the run. ``key`` identifies training rows.
+
+    Every step is noted in the shared checkpoint folder. A run that was cut off and is called again with its ``run_id`` and the
+    same settings goes on after the last noted step: no batch whose answers are noted is sent to the model again. The answers of
+    the batch that was under way are lost. The driver sees one row per step.
     """
     spark = train.sparkSession
-    pool = train
-    if representative_threshold is not None:
-        pool = representative(train, "flexible", representative_threshold, seed=seed)
-    pool = materialize(pool, "pool")
+    settings = {"n_rows": n_rows, "key": list(key), "k_shot": k_shot, "rows_per_prompt": rows_per_prompt, "prompts_per_batch": prompts_per_batch, "first_prompts": first_prompts}
+    settings |= {"max_tokens": max_tokens, "mode": mode, "target": target, "overrides": overrides, "conditions": conditions, "representative_threshold": representative_threshold}
+    settings |= {"correlations": correlations, "permute": permute, "seed": seed, "columns": train.schema.simpleString()}
+    ledger = Ledger(spark, run_id or uuid.uuid4().hex, settings)
+    pool = ledger.step("pool", lambda: train if representative_threshold is None else representative(train, "flexible", representative_threshold, seed=seed))
     prof = profile(pool, target, overrides, seed=seed)
-    indexed = materialize(dense_index(pool, key, seed), "pool-index")
+    schema = schema_block(prof, pool if correlations else None)
+    indexed = ledger.step("pool-index", lambda: dense_index(pool, key, seed))
+    encoder = "json" if mode == "json" else "flexible"
+
+    def ask(first: int, count: int) -> DataFrame:
+        asked = spark.range(first, first + count).withColumnRenamed("id", "prompt_id")
+        shots = draw_shots(pool, asked, key, k_shot, seed, indexed=indexed, size=ledger.rows("pool"))
+        return build_prompts(shots, prof, rows_per_prompt, encoder, conditions=conditions, schema=schema, permute=permute, row_key=key, seed=seed)
+
+    def answer(number: int, first: int, count: int, limit: int) -> tuple[list[DataFrame], int]:
+        """The decoded rows of a round, batch by batch."""
+        parts, got = [], 0
+        for k in range(math.ceil(count / prompts_per_batch)):
+            at, step = first + k * prompts_per_batch, f"round-{number}-tokens-{limit}-batch-{k}"
+            size = min(prompts_per_batch, first + count - at)
+            texts = ledger.step(f"{step}-texts", lambda at=at, size=size: complete(ask(at, size), lambda batch: fn(batch, limit), max_concurrency=max_concurrency, keep=False))
+            rows = lambda texts=texts: cap_per_prompt(decode(texts.select(F.lit(number).alias("round"), "prompt_id", "text"), prof, mode), rows_per_prompt)
+            parts.append(ledger.step(f"{step}-rows", rows))
+            got += ledger.rows(f"{step}-rows")
+        return parts, got
+
     rounds: list[DataFrame] = []
-    rows = prompts_sent = empty_rounds = number = 0
+    rows = sent = empty_rounds = number = 0
     while rows < n_rows and empty_rounds < MAX_EMPTY_ROUNDS:
-        count = plan_next_round(n_rows, rows, prompts_sent, rows_per_prompt, prompts_per_batch)
-        asked = spark.range(prompts_sent, prompts_sent + count).withColumnRenamed("id", "prompt_id")
-        shots = draw_shots(pool, asked, key, k_shot, seed, indexed=indexed)
-        encoder = "json" if mode == "json" else "flexible"
-        prompts = build_prompts(
-            shots, prof, rows_per_prompt, encoder, conditions=conditions, train=pool if correlations else None, permute=permute, row_key=key, seed=seed
-        )
-        prompts = materialize(prompts, "prompts")
-        got = 0
+        count = plan_next_round(n_rows, rows, sent, rows_per_prompt, None if rows else first_prompts)
         for limit in (max_tokens, min(2 * max_tokens, MAX_RETRY_TOKENS)):
-            answers = complete(prompts, lambda batch, limit=limit: fn(batch, limit), max_concurrency=max_concurrency)
-            answers = answers.withColumn("round", F.lit(number))
-            decoded = decode(answers.select("round", "prompt_id", "text"), prof, mode)
-            decoded = materialize(cap_per_prompt(decoded, rows_per_prompt), "decoded")
-            got = decode_stats(answers, decoded, rows_per_prompt).agg(F.sum("rows")).first()[0] or 0
+            parts, got = answer(number, sent, count, limit)
             if got:
-                rounds.append(decoded)
+                rounds += parts
                 break
-        prompts_sent += count
+        sent += count
         rows += got
         empty_rounds = 0 if got else empty_rounds + 1
         number += 1

@@ -17,7 +17,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = [n for n in QUERIES if n not in ("abbreviations", "encode_compact", "ml_classification", "ml_regression", "utility_scores", "pmse", "dcr", "dcr_wide")]
+LAZY = [n for n in QUERIES if n not in ("abbreviations", "encode_compact", "ml_classification", "ml_regression", "utility_scores", "pmse", "dcr", "dcr_wide", "generate_run")]
 
 
 @pytest.mark.parametrize("name", sorted(LAZY))

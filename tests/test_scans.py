@@ -93,3 +93,43 @@ def test_quantiles_shuffle_counts_only(spark, data):
     assert "partial_count" in plan and "Sort [value" not in plan
     (one,) = Q._narrow(long, state, ["column"], 16).collect()
     assert one["below"] <= 10 and one["ranks"] == [10, 11]
+
+
+def test_correlations_of_many_columns_and_groups(spark):
+    """More columns than a scan takes, more groups than a task holds; nulls pair by pair, constants, values far from zero."""
+    rng = random.Random(3)
+    base = [[rng.gauss(0, 1) for _ in range(90)] for _ in range(5)]
+    columns = {f"c{k}": [None if rng.random() < 0.1 else 1e6 * (k % 3) + base[k % 5][i] + rng.gauss(0, 0.5) for i in range(90)] for k in range(9)}
+    columns |= {"same": [0.1] * 90, "none": [None] * 90, "one": [1.0] + [None] * 89}
+    names = list(columns)
+    rows = [(["x", None][i % 2], *[columns[c][i] for c in names]) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{c} double" for c in names)).repartition(4)
+
+    def r(a, b, keep):
+        both = [(x, y) for i, (x, y) in enumerate(zip(columns[a], columns[b])) if keep(i) and x is not None and y is not None]
+        if len({x for x, _ in both}) < 2 or len({y for _, y in both}) < 2:
+            return None
+        mx, my = (math.fsum(v) / len(both) for v in zip(*both))
+        cov = math.fsum((x - mx) * (y - my) for x, y in both)
+        return cov / math.sqrt(math.fsum((x - mx) ** 2 for x, _ in both) * math.fsum((y - my) ** 2 for _, y in both))
+
+    old = P.GRAM_COLUMNS, P.HELD_GROUPS
+    P.GRAM_COLUMNS, P.HELD_GROUPS = 6, 1
+    try:
+        for by, sides in (([], {(): lambda i: True}), (["g"], {("x",): lambda i: i % 2 == 0, (None,): lambda i: i % 2})):
+            got = {tuple(x[:-1]): x["r"] for x in P.correlation_matrix(df, names, by).collect()}
+            assert len(got) == len(sides) * len(names) ** 2
+            for side, keep in sides.items():
+                for a in names:
+                    for b in names:
+                        assert got[*side, a, b] == (None if (w := r(a, b, keep)) is None else pytest.approx(w, abs=1e-8)), (side, a, b)
+    finally:
+        P.GRAM_COLUMNS, P.HELD_GROUPS = old
+    empty = P.correlation_matrix(df.limit(0), names[:2]).collect()
+    assert len(empty) == 4 and {x["r"] for x in empty} == {None}
+
+
+def test_correlations_of_64_columns_take_one_scan(wide):
+    numbers = [c for c in wide.columns if int(c[2:]) % 5 == 0][:40] + [c for c in wide.columns if int(c[2:]) % 5 == 1][:24]
+    plan = P.pair_correlations(wide, numbers)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
