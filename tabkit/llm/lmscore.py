@@ -5,8 +5,10 @@ per range. A count c is quantised to level 1 + floor(log(c) / log(BASE)); the fi
 level). Each hash range has its own segment with ``BITS`` bits per event, so the filter grows with the corpus and its error
 rate does not.
 
-Scoring: an n-gram's level is found by repeated membership probes (1, 2, .. until one fails), and a level stands for the mean count of
-the n-grams on it. P(w) = (c(w) + 1) / (N + V + 1) and P(w | h) = (c(h w) + M P(w)) / (c(h) + M). The history of a text's first token is the end.
+Scoring: an n-gram's level is found by repeated membership probes (1, 2, .. until one fails). A word or pair counts as the least of its level, a
+history as the most of its own, so the probabilities that follow a history sum up to 1 at most: P(w) = (c(w) + 1) / (N + V + 1) and
+P(w | h) = (min(c(h w), c(h)) + M P(w)) / (c(h) + M). A wrong membership (about 2 in 100 unseen pairs) can add to that sum, but no
+probability passes 1. The history of a text's first token is the end.
 
 The filter is broadcast while it has at most ``filter_bytes``; beyond that the distinct n-grams of each piece of texts are sent to
 the segments and their levels sent back, with equal results. Exact counts for the base score: words with counts above a limit chosen so that at most
@@ -237,15 +239,25 @@ def train(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES,
     return Model(stage(build(count(docs, text, width), width), "lm"), width, filter_bytes, head_words)
 
 
-def text_scores(flat: np.ndarray, first: np.ndarray, lookup, means: np.ndarray, total: float) -> np.ndarray:
+def least_of(level: np.ndarray) -> np.ndarray:
+    """The smallest count on a level; 0 is the level of what was never seen."""
+    return np.where(level > 0, np.ceil(BASE ** (np.maximum(level, 1) - 1.0)), 0.0)
+
+
+def most_of(level: np.ndarray) -> np.ndarray:
+    """The largest count on a level."""
+    return np.where(level > 0, np.ceil(BASE ** np.asarray(level, float)) - 1, 0.0)
+
+
+def text_scores(flat: np.ndarray, first: np.ndarray, lookup, total: float) -> np.ndarray:
     """log10 probability of each text. ``lookup(order, sorted distinct hashes)`` gives levels."""
     history, both = pairs(flat, first)
     words, at = np.unique(np.concatenate([flat, [END]]), return_inverse=True)
-    single = means[1][lookup(1, words)]
+    single = lookup(1, words)
     pair, which = np.unique(both, return_inverse=True)
-    joint = means[2][lookup(2, pair)][which.reshape(-1)]
-    p = (single[at.reshape(-1)[:-1]] + 1) / total
-    before = single[np.searchsorted(words, history)]
+    p = (least_of(single)[at.reshape(-1)[:-1]] + 1) / total
+    before = most_of(single)[np.searchsorted(words, history)]
+    joint = np.minimum(least_of(lookup(2, pair))[which.reshape(-1)], before)
     return np.add.reduceat(np.log10((joint + M * p) / (before + M)), first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
@@ -272,14 +284,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     head = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(head[0])
     head = spark.sparkContext.broadcast((head[0][order], head[1][order]))
-    means, total = model.means, model.total
+    total = model.total
     if model.size <= model.filter_bytes:
         sent = spark.sparkContext.broadcast(model.collect_filter())
 
         def make():
             def work(column, part):
                 flat, first = tokens(column)
-                return _made(flat, first, text_scores(flat, first, sent.value.levels, means, total), head.value)
+                return _made(flat, first, text_scores(flat, first, sent.value.levels, total), head.value)
 
             return work
 
@@ -349,7 +361,7 @@ def _routed(docs: DataFrame, model: Model, text: str, keep: list[str], head) ->
         by_order = {1: [], 2: []}
         for r in levels.sort_by([("ord", "ascending"), ("p", "ascending")]).to_pylist():
             by_order[r["ord"]].append(np.frombuffer(r["levels"], np.uint8))
-        scores = text_scores(flat, first, lambda order, h: np.concatenate(by_order[order]).astype(np.int64), means, total)
+        scores = text_scores(flat, first, lambda order, h: np.concatenate(by_order[order]).astype(np.int64), total)
         kept = pa.ipc.open_stream(row["kept"]).read_all()
         return pa.table([*kept.columns, *_made(flat, first, scores, head.value)], names=schema.names)
 

@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,7 +97,9 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int):
             first = np.flatnonzero(new)
             count = np.diff(np.concatenate([first, [len(start)]]))
             s = start[first]
-            found.append((text[first], s + a - offsets[text[first]], count, at[first] - s, key[at[first]], _hash(sums, s, count + length - 1) + count.astype(np.uint64)))
+            whole = part.tobytes()
+            piece = np.fromiter((xxhash.xxh3_64_intdigest(whole[x : x + size]) for x, size in zip(s.tolist(), (count + length - 1).tolist(), strict=True)), np.uint64, len(s))
+            found.append((text[first], s + a - offsets[text[first]], count, at[first] - s, key[at[first]], piece))
         if b == n:
             break
         a = b - length + 1

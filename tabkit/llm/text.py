@@ -1,7 +1,8 @@
 """Words of whole texts as arrays: splits and hashes an Arrow column of UTF-8 bytes without a Python loop over words.
 
 A text column reaches the workers as binary. Words are maximal runs of bytes outside a separator set. A word's hash is a
-64-bit polynomial over a fixed random table, mixed at the end; it depends on the word alone, so counts by hash can be
+64-bit polynomial over a fixed random table, mixed at the end, or, of a word longer than ``SHORT`` bytes, a hash of its bytes (long
+words can be built on which such polynomials agree); it depends on the word alone, so counts by hash can be
 made anywhere and met in a shuffle. Bytes are worked through in segments, so memory per task does not grow with the text.
 """
 
@@ -12,8 +13,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SEGMENT = 1 << 20
+SHORT = 32  # bytes of a word
 _BASE = 0x9E3779B97F4A7C1B  # odd, 3 modulo 8
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -77,7 +80,7 @@ def chain(*columns: np.ndarray) -> np.ndarray:
 
 class Words(NamedTuple):
     hash: np.ndarray  # uint64 per word
-    heads: list[np.ndarray]  # hashes of the word's first bytes, for each length asked for
+    heads: list[np.ndarray]  # hashes of the word's first bytes, for each length asked for (at most SHORT)
     start: np.ndarray  # byte offsets into data
     end: np.ndarray
     first: np.ndarray  # per text, the index of its first word; one more at the end
@@ -142,7 +145,10 @@ def split(column: pa.Array | pa.ChunkedArray, kind: Separators, head_bytes: tupl
         power, inverse = _power_tables(b - a + 1)
         sums = np.zeros(b - a + 1, np.uint64)
         np.cumsum(_table[kind.folded[part]] * power[: b - a], out=sums[1:])
-        hashes.append(mix((sums[e] - sums[s]) * inverse[s]))
+        found = mix((sums[e] - sums[s]) * inverse[s])
+        for k in np.flatnonzero(e - s > SHORT).tolist():
+            found[k] = xxhash.xxh3_64_intdigest(kind.folded[part[s[k] : e[k]]].tobytes())
+        hashes.append(found)
         for parts, size in zip(heads, head_bytes, strict=True):
             parts.append(mix((sums[np.minimum(e, s + size)] - sums[s]) * inverse[s]))
         starts.append(s + a)
