@@ -98,13 +98,23 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None
     """Exactly ``n`` rows without replacement (all, if there are fewer), repeatable.
 
     Order is the md5 of seed and ``key`` (default: all columns; equal rows are
-    interchangeable).
+    interchangeable). Hashes are uniform, so a threshold leaves little more than ``n`` rows to be sorted; a count proves that it leaves enough.
     """
     names = list(key or df.columns)
-    order = rank_key(seed, *names)
-    if n <= TOP_N_ROWS:
-        return df.withColumn("_order", order).orderBy("_order", *[col(k) for k in names]).limit(n).drop("_order")
-    return sample_by_cutoff(df, n, seed, names)
+    if n > TOP_N_ROWS:
+        return sample_by_cutoff(df, n, seed, names)
+    total = df.count()
+    if n >= total:
+        return df
+    keyed = df.withColumn("_order", rank_key(seed, *names)).withColumn("_num", hash_number(F.col("_order")))
+    spread = 6.0
+    while True:
+        share = (n + spread * n**0.5 + 16) / total
+        few = keyed.where(F.col("_num") <= int(min(1.0, share) * 2.0**60))
+        if share >= 1 or few.count() >= n:
+            break
+        spread *= 8  # many copies of few rows
+    return few.orderBy("_order", *[col(k) for k in names]).limit(n).drop("_order", "_num")
 
 
 def sample_by_cutoff(df: DataFrame, n: int, seed: int, names: Sequence[str]) -> DataFrame:

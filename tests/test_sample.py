@@ -81,6 +81,17 @@ def test_cutoff_sample_is_the_same_sample(spark):
     assert S.sample_by_cutoff(copies, 1000, 3, ["v"]).count() == 1000
 
 
+def test_samples_sort_few_rows(spark):
+    """The threshold cuts before the sort, also where one row has most of the copies."""
+    df = spark.range(20000).withColumn("v", F.col("id") % 3)
+    plan = S.sample_rows(df, 50, 3, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in plan
+    assert rows(S.sample_rows(df, 50, 3, ["id"]), "id") == rows(df.withColumn("h", F.md5(F.concat_ws(":", F.lit("3"), F.col("id").cast("string")))).orderBy("h").limit(50), "id")
+    hot = spark.range(3000).selectExpr("if(id < 2900, 0, id) AS v")
+    for n in (1, 40, 2950, 2999, 3000, 4000):
+        assert S.sample_rows(hot, n, 5).count() == min(n, 3000)
+
+
 def test_first_rows_both_routes(spark):
     df = spark.range(2000).selectExpr("id % 3 AS round", "id % 50 AS prompt_id", "id AS row_idx")
     a = rows(first_rows(df, 777), "round", "prompt_id", "row_idx")
