@@ -36,14 +36,14 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     totals = long.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     place = lambda p: (F.col("n") - 1) * F.lit(float(p))
     wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(p)), F.ceil(place(p))) for p in probs])))
-    totals = materialize(totals.select(*keys, "n", "lo", "hi", F.lit(0).cast("bigint").alias("below"), wanted.alias("ranks")), "quantile-ranges")
+    totals = _held(totals.select(*keys, "n", "lo", "hi", F.lit(0).cast("bigint").alias("below"), wanted.alias("ranks")), by)
     state, settled = totals.where("n > 0").drop("n"), []
     while True:
         settled.append(state.where("lo <=> hi"))
         state = state.where("not lo <=> hi")
         if state.isEmpty():
             break
-        state = materialize(_narrow(long, state, names, cells), "quantile-ranges")
+        state = _held(_narrow(long, state, names, cells), by)
     found = settled[0]
     for part in settled[1:]:
         found = found.unionByName(part)
@@ -61,6 +61,13 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     return out.select(*[F.col(f"_{i}").alias(b) for i, b in enumerate(by)], named[F.col("column")].alias("column"), q.alias("q"))
 
 
+def _held(ranges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Ranges that are not made again. Without groups there are at most two for each column and probability, which the driver holds; else they are written."""
+    if by:
+        return materialize(ranges, "quantile-ranges")
+    return ranges.sparkSession.createDataFrame(ranges.collect(), ranges.schema)
+
+
 def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner", residual: Column | None = None) -> DataFrame:
     right = right.select(*[F.col(k).alias(f"r_{k}") for k in names], *[c for c in right.columns if c not in names])
     same = F.lit(True) if residual is None else residual
