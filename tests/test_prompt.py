@@ -132,7 +132,7 @@ def test_generate(spark, data):
 def test_generate_gives_up(spark, data):
     train = read_table(spark, f"{data}/region.parquet")
     with pytest.warns(UserWarning), pytest.raises(RuntimeError):
-        generate(train, lambda batch, limit: ["no rows"] * len(batch), 10, ["r_regionkey"], k_shot=2, prompts_per_batch=1, representative_threshold=None, correlations=False)
+        generate(train, lambda batch, limit: ["no rows"] * len(batch), 10, ["r_regionkey"], k_shot=2, first_prompts=1, representative_threshold=None, correlations=False)
 
 
 def test_sweep(spark, data):
