@@ -184,7 +184,26 @@ def profile_id(spark, d) -> DataFrame:
     return rounded(P.id_profile(table(spark, d, "customer"), ["c_name"]).withColumn("examples", F.array_join("examples", "|")))
 
 
-@query()
+def codes_sql(columns: list[tuple[str, str]]) -> str:
+    """Common table expressions ending in ``codes (column, value, code)``: one category after the other, by recursion."""
+    counts = union_all([f"SELECT '{c}' AS col, {c} AS value, count(*) AS n FROM {t} WHERE {c} <> '' GROUP BY 2" for t, c in columns])
+    return f"""WITH RECURSIVE counts AS ({counts}),
+parts AS (SELECT col, value, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS no, upper(value[1:3]) AS head, regexp_extract_all(value, '\\b\\w') AS words,
+  regexp_replace(value, '[aeiouAEIOU\\s]', '', 'g') AS bare, value[1:1] || regexp_replace(value[2:], '[aeiouAEIOU\\s]', '', 'g') AS kept FROM counts),
+wishes AS (SELECT *, list_filter([CASE WHEN length(value) >= 3 THEN head END, CASE WHEN len(words) >= 2 THEN upper(array_to_string(words[1:3], '')) END,
+  CASE WHEN length(bare) >= 3 THEN upper(bare[1:3]) END, CASE WHEN length(kept) >= 3 THEN upper(kept[1:3]) END], lambda x: x IS NOT NULL) AS codes FROM parts),
+turns AS (SELECT DISTINCT col, 0::BIGINT AS no, NULL::VARCHAR AS value, NULL::VARCHAR AS code, []::VARCHAR[] AS taken FROM counts
+  UNION ALL SELECT col, no, value, code, list_append(taken, code) FROM (
+    SELECT w.col, w.no, w.value, t.taken, coalesce(list_filter(w.codes, lambda x: NOT list_contains(t.taken, x))[1],
+      coalesce(w.codes[1], w.head) || list_filter(range(w.no + 1), lambda i: NOT list_contains(t.taken, coalesce(w.codes[1], w.head) || i))[1]) AS code
+    FROM turns t JOIN wishes w ON w.col = t.col AND w.no = t.no + 1)),
+codes AS (SELECT col AS "column", value, code FROM turns WHERE no > 0)"""
+
+
+_CODED = [("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("events", "event_type"), ("events", "props")]
+
+
+@query(codes_sql(_CODED) + " SELECT * FROM codes")
 def abbreviations(spark, d) -> DataFrame:
     counts = P.value_counts(table(spark, d, "part"), ["p_name", "p_brand", "p_type"])
     counts = counts.unionByName(P.value_counts(table(spark, d, "events"), ["event_type", "props"]))

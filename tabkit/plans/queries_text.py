@@ -10,7 +10,7 @@ from tabkit.operators import prompt as K
 from tabkit.operators.profile import ColumnProfile, DatasetProfile, value_abbreviations, value_counts
 from tabkit.operators.profile import profile as profile_table
 from tabkit.plans.base import query, rounded, table, union_all
-from tabkit.plans.queries_profile import corr_sql
+from tabkit.plans.queries_profile import codes_sql, corr_sql
 
 # ---- encoders ---------------------------------------------------------------
 # Orders with a null, a boolean word and a free text made from existing columns.
@@ -113,7 +113,12 @@ def encode_json(spark, d) -> DataFrame:
     )
 
 
-@query()
+_CODE = "(SELECT any_value(code) FROM codes WHERE \"column\" = '{0}' AND codes.value = part.{0})"
+
+
+@query(codes_sql([("part", "p_name"), ("part", "p_brand"), ("part", "p_type")]) + f""" SELECT p_partkey, concat_ws(', ', coalesce('P ' || p_partkey, 'P M'),
+  'P_ ' || CASE WHEN p_name IS NULL THEN 'M' ELSE coalesce({_CODE.format('p_name')}, p_name[1:3]) END, 'P_0 ' || CASE WHEN p_brand IS NULL THEN 'M' ELSE coalesce({_CODE.format('p_brand')}, p_brand[1:3]) END,
+  'P_1 ' || CASE WHEN p_type IS NULL THEN 'M' ELSE coalesce({_CODE.format('p_type')}, p_type[1:3]) END, coalesce('P_2 ' || p_size, 'P_2 M'), coalesce('P_3 ' || printf('%.3f', p_retailprice), 'P_3 M')) AS text FROM part""")
 def encode_compact(spark, d) -> DataFrame:
     part = table(spark, d, "part")
     types = {"p_partkey": "integer", "p_name": "categorical", "p_brand": "categorical", "p_type": "categorical", "p_size": "integer", "p_retailprice": "float"}
