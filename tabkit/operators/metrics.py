@@ -7,6 +7,7 @@ and ``synthetic`` are the two names in it. Formulas are the usual published ones
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,25 +88,44 @@ def pairwise_correlation_distance(df: DataFrame, columns: Sequence[str], real: s
     return correlation_similarity(df, columns, real, synthetic).agg(F.avg("distance").alias("mean_distance"), F.avg("similarity").alias("mean_similarity"))
 
 
+PAIR_BLOCK = 8  # columns of a block
+
+
 def contingency_similarity(df: DataFrame, columns: Sequence[str], real: str, synthetic: str) -> DataFrame:
-    """1 - half the total difference of the joint shares, per pair of columns."""
-    pairs = list(combinations(columns, 2))
-    texts = {c: text_of(col(c), df.schema[c].dataType) for c in columns}
-    parts = []
-    for group in chunked(pairs, 50):
-        cells = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), texts[a].alias("va"), texts[b].alias("vb")) for a, b in group])
-        parts.append(
-            df.select("dataset", F.inline(cells)).groupBy("col_a", "col_b", "va", "vb").agg(
-                F.count_if(F.col("dataset") == real).alias("a"), F.count_if(F.col("dataset") == synthetic).alias("b")
-            )
+    """1 - half the total difference of the joint shares, per pair of columns.
+
+    Up to two blocks of columns share a scan: their combinations are counted once for both sides, and the
+    counts, not the rows, are then summed per pair. More columns take one scan for every two blocks.
+    """
+    sides = df.where(F.col("dataset").isin(real, synthetic))
+    totals = {r["dataset"]: float(r["n"]) for r in sides.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {side: F.col(side) / F.lit(totals.get(name)).cast("double") for side, name in (("a", real), ("b", synthetic))}
+    blocks = chunked(list(columns), PAIR_BLOCK)
+    out = None
+    for first, second in combinations(blocks, 2) if len(blocks) > 1 else [(blocks[0], [])]:
+        held = [*first, *second]
+        # Pairs inside a block belong to the scan of the block and the next one; the last block's to its first scan.
+        inner = blocks.index(second) == blocks.index(first) + 1 if second else True
+        last = second == blocks[-1] and first == blocks[0]
+        inside = ([first] if inner else []) + ([second] if second and last else [])
+        pairs = [p for block in inside for p in combinations(block, 2)] + [(x, y) for x in first for y in second]
+        if not pairs:
+            continue
+        place = {c: i for i, c in enumerate(held)}
+        values = [F.col(f"v{i}") for i in range(len(held))]
+        counts = sides.groupBy(*[text_of(col(c), df.schema[c].dataType).alias(f"v{place[c]}") for c in held]).agg(
+            F.count_if(F.col("dataset") == real).alias("a"), F.count_if(F.col("dataset") == synthetic).alias("b")
         )
-    sides = parts[0]
-    for p in parts[1:]:
-        sides = sides.unionByName(p)
-    totals = df.groupBy("dataset").agg(F.count(F.lit(1)).alias("t"))
-    t = {r["dataset"]: r["t"] for r in totals.collect()}
-    gap = F.abs(F.col("a") / F.lit(float(t.get(real, 0)) or None) - F.col("b") / F.lit(float(t.get(synthetic, 0)) or None))
-    return sides.groupBy("col_a", "col_b").agg((1 - F.sum(gap) / 2).alias("similarity"))
+        cells = counts.groupingSets([[values[place[x]], values[place[y]]] for x, y in pairs], *values).agg(
+            F.sum("a").alias("a"), F.sum("b").alias("b"), F.grouping_id().alias("pair")
+        )
+        # The id has a bit for each column that is summed over, the first column in the highest.
+        names = {(1 << len(held)) - 1 - sum(1 << (len(held) - 1 - place[c]) for c in pair): pair for pair in pairs}
+        named = F.create_map(*[x for k, (x, y) in names.items() for x in (F.lit(k).cast("bigint"), F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b")))])
+        part = cells.groupBy("pair").agg((1 - F.sum(F.abs(share["a"] - share["b"])) / 2).alias("similarity"))
+        part = part.select(F.element_at(named, F.col("pair").cast("bigint")).alias("p"), "similarity").select("p.*", "similarity")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # ---- N5, N6 -----------------------------------------------------------------
@@ -288,8 +308,8 @@ def column_ranges_of(df: DataFrame, columns: Sequence[str], dataset: str) -> lis
 
 
 # ---- N11, N12 ---------------------------------------------------------------
-# Categories are hashed to this many features, so their number needs no bound.
-HASH_FEATURES = 4096
+PMSE_ROUNDS = 300
+PMSE_TOLERANCE = 1e-9
 
 
 def cap_disclosure(df: DataFrame, key_columns: Sequence[str], sensitive: str, real: str, synthetic: str) -> DataFrame:
@@ -315,10 +335,14 @@ def cap_disclosure(df: DataFrame, key_columns: Sequence[str], sensitive: str, re
 
 
 def pmse(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], real: str, synthetic: str) -> DataFrame:
-    """Mean squared distance of a logistic model's synthetic probability from the synthetic share."""
+    """Mean squared distance of a logistic model's synthetic probability from the synthetic share.
+
+    Every category is a sparse feature of its own. The driver holds them as it holds the model's coefficients, one for
+    each. The model has no penalty and is fitted to its optimum, so with one category the probability is that category's synthetic share.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import FeatureHasher, StandardScaler, VectorAssembler
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     both = df.where(F.col("dataset").isin(real, synthetic))
@@ -327,11 +351,15 @@ def pmse(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], real
         *[F.coalesce(as_double(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(numeric)],
         *[F.coalesce(col(c).cast("string"), F.lit("none")).alias(f"c{i}") for i, c in enumerate(categorical)],
     )
-    hashed = [FeatureHasher(inputCols=[f"c{i}" for i in range(len(categorical))], outputCol="hashed", numFeatures=HASH_FEATURES)] if categorical else []
-    inputs = [f"x{i}" for i in range(len(numeric))] + (["hashed"] if categorical else [])
-    stages = [*hashed, VectorAssembler(inputCols=inputs, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=False)]
+    names, inputs, stages = [f"c{i}" for i in range(len(categorical))], [f"x{i}" for i in range(len(numeric))], []
+    if categorical:
+        # Names outside the fitted ones do not occur; "keep" allows a column of one category.
+        stages.append(StringIndexer(inputCols=names, outputCols=[f"{c}_no" for c in names], handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=[f"{c}_no" for c in names], outputCols=[f"{c}_hot" for c in names], dropLast=True))
+        inputs += [f"{c}_hot" for c in names]
+    stages += [VectorAssembler(inputCols=inputs, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=False)]
     prepared = materialize(Pipeline(stages=stages).fit(work).transform(work).select("label", "features"), "pmse-vectors")
-    scored = LogisticRegression(maxIter=50).fit(prepared).transform(prepared)
+    scored = LogisticRegression(maxIter=PMSE_ROUNDS, tol=PMSE_TOLERANCE).fit(prepared).transform(prepared)
     p = vector_to_array("probability")[1]
     share = prepared.agg(F.avg("label")).first()[0]
     return scored.agg(F.avg((p - F.lit(share)) * (p - F.lit(share))).alias("pmse"), F.lit(share).alias("synthetic_share"), F.count(F.lit(1)).alias("rows"))

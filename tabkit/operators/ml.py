@@ -118,27 +118,50 @@ def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str]) -> Pipe
 
 
 # ---- M8, M9 -----------------------------------------------------------------
-def classifiers(n_classes: int, n_features: int, seed: int = 42) -> dict:
-    """M8: the classifiers compared."""
+# Strength of the penalties, each over the sum of all rows' losses; trees; hidden units.
+LOGISTIC_PENALTY = 1.0
+RIDGE_PENALTY = 1.0
+MARGIN_PENALTY = 1.0
+FOREST_TREES = 100
+HIDDEN_UNITS = 100
+# Depth of trees here, which Spark bounds at 30.
+TREE_DEPTH = 10
+
+
+def classifiers(n_classes: int, n_features: int, n_rows: int, seed: int = 42) -> dict:
+    """M8: the classifiers compared, under the names of what is fitted.
+
+    Spark's linear models divide the loss by the number of rows, so a penalty on
+    the sum of losses is divided by ``n_rows`` as well; the features are scaled
+    already. The margin classifier is linear: there is no kernel one in Spark.
+    """
     family = "binomial" if n_classes == 2 else "multinomial"
-    svm = LinearSVC(maxIter=30)
+    logistic = {"maxIter": 100, "regParam": LOGISTIC_PENALTY / max(n_rows, 1), "standardization": False}
+    margin = LinearSVC(maxIter=100, regParam=MARGIN_PENALTY / max(n_rows, 1), standardization=False)
     return {
-        "SVM": svm if n_classes == 2 else OneVsRest(classifier=svm),
-        "DecisionTree": DecisionTreeClassifier(seed=seed),
-        "RandomForestClassifier": RandomForestClassifier(seed=seed),
-        "LogisticRegression": LogisticRegression(maxIter=50, regParam=1e-3, family=family),
-        "MultinomialLogisticRegression": LogisticRegression(maxIter=50, regParam=1e-3, family="multinomial"),
-        "MLPClassifier": MultilayerPerceptronClassifier(layers=[n_features, 16, n_classes], maxIter=50, seed=seed),
+        "LinearSVC": margin if n_classes == 2 else OneVsRest(classifier=margin),
+        "DecisionTree": DecisionTreeClassifier(seed=seed, maxDepth=TREE_DEPTH),
+        "RandomForestClassifier": RandomForestClassifier(seed=seed, numTrees=FOREST_TREES, maxDepth=TREE_DEPTH),
+        "LogisticRegression": LogisticRegression(family=family, **logistic),
+        "MultinomialLogisticRegression": LogisticRegression(family="multinomial", **logistic),
+        "MLPClassifier": MultilayerPerceptronClassifier(layers=[n_features, HIDDEN_UNITS, n_classes], maxIter=200, seed=seed),
     }
 
 
-def regressors(seed: int = 42) -> dict:
-    """M9: the regressors compared; Bayesian ridge has no counterpart here."""
+def regressors(n_rows: int, label_deviation: float, seed: int = 42) -> dict:
+    """M9: the regressors compared; Bayesian ridge has no counterpart here.
+
+    Ridge minimises the sum of squares plus ``RIDGE_PENALTY`` times the squared
+    coefficients, by normal equations up to 4096 features. Spark divides the sum by
+    the rows and measures the penalty in deviations of the label, so both go into
+    the parameter. A constant label needs none.
+    """
+    ridge = RIDGE_PENALTY * label_deviation / max(n_rows, 1)
     return {
-        "XGBRegressor": GBTRegressor(seed=seed),
-        "Ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0),
+        "GBTRegressor": GBTRegressor(seed=seed, maxDepth=6, stepSize=0.3),
+        "Ridge": LinearRegression(regParam=ridge, elasticNetParam=0.0, standardization=False),
         "LinearRegression": LinearRegression(),
-        "RandomForestRegressor": RandomForestRegressor(seed=seed),
+        "RandomForestRegressor": RandomForestRegressor(seed=seed, numTrees=FOREST_TREES, maxDepth=TREE_DEPTH, featureSubsetStrategy="all"),
     }
 
 
@@ -202,8 +225,9 @@ def prepare(
 
 def fit_and_score(ready: DataFrame, task: str, n_classes: int, n_features: int, models: Sequence[str] | None = None, seed: int = 42) -> list[tuple[str, float]]:
     """M8..M11: every model fitted on the training rows and scored on the test rows."""
-    chosen = classifiers(n_classes, n_features, seed) if task == "classification" else regressors(seed)
     train, test = ready.where("is_train").cache(), ready.where("not is_train").cache()
+    n_rows, deviation = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+    chosen = classifiers(n_classes, n_features, n_rows, seed) if task == "classification" else regressors(n_rows, deviation or 0.0, seed)
     scores = []
     for name, model in chosen.items():
         if models is not None and name not in models:

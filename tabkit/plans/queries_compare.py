@@ -279,3 +279,10 @@ def cap_disclosure(spark, d) -> DataFrame:
 @query()
 def pmse(spark, d) -> DataFrame:
     return N.pmse(halves(spark, d), NUM, CAT, REAL, SYN)
+
+
+@query(f"""WITH h AS ({HALVES_SQL}), c AS (SELECT l_returnflag, count(*) AS n, count(*) FILTER (dataset = 'synthetic') AS s FROM h GROUP BY 1),
+t AS (SELECT sum(n)::DOUBLE AS n, sum(s)::DOUBLE AS s FROM c)
+SELECT round(sum(c.n * (c.s / c.n - t.s / t.n) ^ 2) / any_value(t.n), 7) + 0.0 AS pmse, round(any_value(t.s / t.n), 7) AS synthetic_share, sum(c.n)::BIGINT AS rows FROM c, t""")
+def pmse_category(spark, d) -> DataFrame:
+    return rounded(N.pmse(halves(spark, d), [], ["l_returnflag"], REAL, SYN))

@@ -112,8 +112,28 @@ _LINES = ["line_no", "l_quantity", "l_discount", "l_returnflag", "l_shipdate", "
 
 
 def _keyed_lines(spark, d) -> DataFrame:
+    """Lines whose price depends on quantity and discount, with the given price as noise."""
     no = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return table(spark, d, "lineitem").withColumn("line_no", no).select(*_LINES)
+    price = F.col("l_quantity") * 1000.0 - F.col("l_discount") * 50000.0 + F.col("l_extendedprice") / 20
+    return table(spark, d, "lineitem").withColumns({"line_no": no, "l_extendedprice": price}).select(*_LINES)
+
+
+# Normal equations of two scaled features, with and without the penalty on the sum of squares.
+_LINEAR = f"""WITH p AS ({_PICKED}), s AS (SELECT o_orderkey, no, CASE WHEN total >= 6000 THEN 5000 ELSE least(5000, total - ceil(total * 0.2)) END AS tr, CASE WHEN total >= 6000 THEN 1000 ELSE least(1000, ceil(total * 0.2)) END AS te FROM p),
+r AS (SELECT no <= tr AS is_train, o_custkey::DOUBLE AS a, (o_orderkey % 100)::DOUBLE AS b, 0.5::DOUBLE * o_custkey + 20.0::DOUBLE * (o_orderkey % 100) + o_totalprice / 1000 AS y FROM s JOIN orders USING (o_orderkey) WHERE no <= tr + te),
+d AS (SELECT stddev_samp(a) AS da, stddev_samp(b) AS db FROM r), z AS (SELECT is_train, a / da AS a, b / db AS b, y FROM r, d),
+m AS (SELECT model, k, var_pop(a) + k / count(*) AS aa, var_pop(b) + k / count(*) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb, avg(a) AS ma, avg(b) AS mb, avg(y) AS my
+  FROM z, (VALUES ('LinearRegression', 0.0::DOUBLE), ('Ridge', 1.0::DOUBLE)) AS v(model, k) WHERE is_train GROUP BY model, k),
+w AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM m),
+f AS (SELECT model, 1 - sum((y - my - wa * (a - ma) - wb * (b - mb)) ^ 2) / (var_pop(y) * count(*)) AS score FROM w, z WHERE NOT is_train GROUP BY model)
+SELECT '' AS experiment, 'real' AS dataset, model, round(score, 7) + 0.0 AS score FROM (SELECT * FROM f UNION ALL SELECT 'Average', avg(score) FROM f)"""
+
+
+@query(_LINEAR)
+def linear_models(spark, d) -> DataFrame:
+    target = 0.5 * F.col("o_custkey") + 20.0 * (F.col("o_orderkey") % 100) + F.col("o_totalprice") / 1000
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 100).alias("part"), target.alias("y"))
+    return rounded(M.evaluate_utility(rows, {}, "y", "regression", ["o_orderkey"], id_column="o_orderkey", models=["Ridge", "LinearRegression"]))
 
 
 @query()

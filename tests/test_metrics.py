@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabkit.operators import compare as C
@@ -149,7 +150,7 @@ def test_date_features_from_text(spark):
 def test_models_on_text_and_classes(spark):
     df = spark.range(300).selectExpr("id", "id % 7 AS n", "IF(id % 4 = 0, NULL, CAST(id % 3 AS string)) AS c", "CASE WHEN id % 7 > 4 THEN 'x' WHEN id % 7 > 2 THEN 'y' ELSE 'z' END AS t")
     got = {(r["dataset"], r["model"]): r["score"] for r in M.evaluate_utility(
-        df, {("e", "s_8_shots"): df}, "t", "classification", ["id"], 200, 50, id_column="id", models=["SVM", "DecisionTree", "MLPClassifier"]).collect()}
+        df, {("e", "s_8_shots"): df}, "t", "classification", ["id"], 200, 50, id_column="id", models=["LinearSVC", "DecisionTree", "MLPClassifier"]).collect()}
     assert len(got) == 8 and got["real", "DecisionTree"] == pytest.approx(1.0)
     assert got["real", "Average"] == pytest.approx(np.mean([v for (d, m), v in got.items() if d == "real" and m != "Average"]))
 
@@ -168,3 +169,65 @@ def test_inspection(spark):
     assert I.date_range(spark.sql("SELECT '2021-03-05' AS d UNION ALL SELECT 'x'"), ["d"]).first()["min_date"].startswith("2021-03-05")
     meta = {(r["table"], r["column"]): r["sdtype"] for r in I.describe_metadata(spark, {"t": df}).collect()}
     assert meta == {("t", "x"): "numerical", ("t", "s"): "categorical"}
+
+
+def test_ridge_and_plain_regression_are_exact(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3)) * [1.0, 5.0, 0.3]
+    y = x @ [3.0, -2.0, 1.0] + rng.normal(size=60) * 4 + 10
+    rows = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x, y)], ["label", "features"])
+    models = M.regressors(60, float(np.std(y)))
+    centred, target = x - x.mean(0), y - y.mean()
+    for name, penalty in (("Ridge", M.RIDGE_PENALTY), ("LinearRegression", 0.0)):
+        want = np.linalg.solve(centred.T @ centred + penalty * np.eye(3), centred.T @ target)
+        assert np.allclose(models[name].fit(rows).coefficients.toArray(), want, rtol=1e-8), name
+
+
+def test_logistic_penalty_is_on_the_sum_of_losses(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 2))
+    y = (x @ [1.0, -2.0] + rng.normal(size=80) > 0.3).astype(float)
+    rows = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x, y)], ["label", "features"])
+    fitted = M.classifiers(2, 2, 80)["LogisticRegression"].setTol(1e-12).fit(rows)
+    w, b = fitted.coefficients.toArray(), fitted.intercept
+    residual = 1 / (1 + np.exp(-(x @ w + b))) - y
+    # The gradient of sum(loss) + penalty / 2 * |w|^2 vanishes at the optimum.
+    assert np.allclose(x.T @ residual + M.LOGISTIC_PENALTY * w, 0, atol=1e-4) and abs(residual.sum()) < 1e-4
+
+
+def test_constant_target(spark):
+    rows = spark.createDataFrame([(5.0, Vectors.dense([float(i)])) for i in range(9)], ["label", "features"])
+    assert np.allclose(M.regressors(9, 0.0)["Ridge"].fit(rows).transform(rows).toPandas()["prediction"], 5.0)
+
+
+def test_pmse_of_one_category_is_its_share(spark):
+    cells = [("a", "real", 30), ("a", "syn", 10), ("b", "real", 5), ("b", "syn", 25), (None, "real", 4), (None, "syn", 4), ("other", "left out", 50)]
+    rows = spark.createDataFrame([(k, d) for k, d, n in cells for _ in range(n)], "k string, dataset string")
+    got = N.pmse(rows, [], ["k"], "real", "syn").first()
+    share = 39 / 78
+    want = (40 * (10 / 40 - share) ** 2 + 30 * (25 / 30 - share) ** 2 + 8 * (4 / 8 - share) ** 2) / 78
+    assert got["rows"] == 78 and got["synthetic_share"] == share and abs(got["pmse"] - want) < 1e-7
+    one = rows.where("k = 'a'")
+    assert abs(N.pmse(one, [], ["k"], "real", "syn").first()["pmse"]) < 1e-12
+
+
+@pytest.mark.parametrize("block", [2, 3, 8])
+def test_contingency_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "PAIR_BLOCK", block)
+    rng = np.random.default_rng(2)
+    names = ["a", "b", "pair", "v0", "x y"]
+    rows = [("r" if i % 3 else "s", *[None if rng.random() < 0.1 else str(rng.integers(0, 3)) for _ in names]) for i in range(200)] + [("other", *"00000")] * 50
+    df = spark.createDataFrame(rows, "dataset string, a string, b string, pair string, v0 string, `x y` string")
+    got = {(r["col_a"], r["col_b"]): r["similarity"] for r in N.contingency_similarity(df, names, "r", "s").collect()}
+    assert len(got) == 10
+    total = {d: sum(r[0] == d for r in rows) for d in "rs"}
+    for i, x in enumerate(names):
+        for j, y in list(enumerate(names))[i + 1 :]:
+            cells = {(r[1 + i], r[1 + j]) for r in rows}
+            at = lambda d, c: sum(r[0] == d and (r[1 + i], r[1 + j]) == c for r in rows) / total[d]
+            assert got[x, y] == pytest.approx(1 - sum(abs(at("r", c) - at("s", c)) for c in cells) / 2)
+
+
+def test_contingency_without_synthetic_rows(spark):
+    df = spark.createDataFrame([("r", "1", "2")], "dataset string, a string, b string")
+    assert [r["similarity"] for r in N.contingency_similarity(df, ["a", "b"], "r", "s").collect()] == [None]

@@ -17,7 +17,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = [n for n in QUERIES if n not in ("abbreviations", "encode_compact", "ml_classification", "ml_regression", "utility_scores", "pmse", "dcr", "dcr_wide", "generate_run")]
+LAZY = [n for n in QUERIES if n not in ("ml_classification", "ml_regression", "utility_scores", "linear_models", "pmse", "pmse_category", "dcr", "dcr_wide", "generate_run")]
 
 
 @pytest.mark.parametrize("name", sorted(LAZY))
@@ -65,3 +65,12 @@ def test_domain_limit_is_cut_before_the_shuffle(spark, data):
 
     counts = P.value_counts(read_table(spark, f"{data}/part.parquet"), ["p_name"])
     assert "WindowGroupLimit" in plan(P.ranked(counts, P.INLINE_DOMAIN))
+
+
+def test_pairs_of_columns_share_a_scan(spark, data):
+    from tabkit.operators import metrics as N
+    from tabkit.plans.base import halves
+
+    df = halves(spark, data)
+    text = plan(N.contingency_similarity(df, ["l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_quantity"], "real", "synthetic"))
+    assert text.count("FileScan parquet") == 1 and text.count("Expand [") == 1
