@@ -350,11 +350,15 @@ def pmse(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], real
         (F.col("dataset") == synthetic).cast("double").alias("label"),
         *[F.coalesce(as_double(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(numeric)],
         *[F.coalesce(col(c).cast("string"), F.lit("none")).alias(f"c{i}") for i, c in enumerate(categorical)],
+        F.lit(0.0).alias("nothing"),
     )
-    names, inputs, stages = [f"c{i}" for i in range(len(categorical))], [f"x{i}" for i in range(len(numeric))], []
+    names, inputs, stages = [f"c{i}" for i in range(len(categorical))], [*[f"x{i}" for i in range(len(numeric))], "nothing"], []
     if categorical:
-        # Names outside the fitted ones do not occur; "keep" allows a column of one category.
-        stages.append(StringIndexer(inputCols=names, outputCols=[f"{c}_no" for c in names], handleInvalid="keep"))
+        indexer = StringIndexer(inputCols=names, outputCols=[f"{c}_no" for c in names]).fit(work)
+        work = indexer.transform(work)
+        # A column of one category tells nothing; one category of each other column stands in the intercept, so the optimum is unique.
+        names = [c for c, labels in zip(names, indexer.labelsArray) if len(labels) > 1]
+    if names:
         stages.append(OneHotEncoder(inputCols=[f"{c}_no" for c in names], outputCols=[f"{c}_hot" for c in names], dropLast=True))
         inputs += [f"{c}_hot" for c in names]
     stages += [VectorAssembler(inputCols=inputs, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=False)]
