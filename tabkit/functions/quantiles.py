@@ -28,6 +28,7 @@ TINY = 2.0**-256  # of the larger end: below it, values around zero share a cell
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
     """Linear-interpolated quantiles as ``(by..., column, q array<double>)``, in the order of ``probs``; null for a column without values."""
+    cells = max(cells, 2)  # a range cut into one cell would never get smaller
     keys = [col(f"_{i}") for i in range(len(by))] + [F.col("column")]
     names = [f"_{i}" for i in range(len(by))] + ["column"]
     wide = df.select(*[col(b).alias(f"_{i}") for i, b in enumerate(by)], *[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
@@ -62,10 +63,13 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
 
 
 def _held(ranges: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Ranges that are not made again. Without groups there are at most two for each column and probability, which the driver holds; else they are written."""
+    """Ranges that are not made again. Without groups there are at most two for each column and probability, which the driver holds and every task gets.
+
+    With groups they are written, so that their size is known. Values never meet ranges by a shuffle on the column alone: all rows of a column would be one task's.
+    """
     if by:
         return materialize(ranges, "quantile-ranges")
-    return ranges.sparkSession.createDataFrame(ranges.collect(), ranges.schema)
+    return F.broadcast(ranges.sparkSession.createDataFrame(ranges.collect(), ranges.schema))
 
 
 def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner", residual: Column | None = None) -> DataFrame:
