@@ -115,6 +115,11 @@ def _draw(prefix: Column, k: Column, n: Column) -> Column:
     return F.slice(F.when(4 * k > n, ranked).otherwise(F.array_distinct(F.concat(hashed, reserve))), F.lit(1), k.cast("int"))
 
 
+def _spread(prompts: DataFrame) -> DataFrame:
+    """Prompts dealt evenly to the cluster: a small file of prompts is many draws, which one task would make alone."""
+    return prompts.repartition(int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def draw_shots(
     pool: DataFrame,
     prompts: DataFrame,
@@ -144,9 +149,10 @@ def draw_shots(
         return _draw_stratified(pool, prompts, key, k, seed, strata)
     total = F.lit(pool.count() if size is None else size).cast("bigint")
     prefix = F.concat_ws(":", F.lit(str(seed)), F.col("k_shot").cast("string"), F.col("prompt_id").cast("string"))
-    draws = prompts.select("*", F.posexplode(_draw(prefix, F.col("k_shot"), total)).alias("_pos", "idx"))
+    draws = _spread(prompts).select("*", F.posexplode(_draw(prefix, F.col("k_shot"), total)).alias("_pos", "idx"))
     draws = draws.withColumn("shot_no", F.col("_pos") + 1).drop("_pos")
-    return draws.join(dense_index(pool, key, seed) if indexed is None else indexed, "idx")
+    # Spark takes the draws to be as small as the prompts and would gather them on the driver; both sides are shuffled instead.
+    return draws.hint("merge").join(dense_index(pool, key, seed) if indexed is None else indexed, "idx")
 
 
 def stratum_quotas(pool: DataFrame, strata: Sequence[str], k: int) -> DataFrame:
@@ -170,11 +176,11 @@ def _draw_stratified(pool: DataFrame, prompts: DataFrame, key: Sequence[str], k:
     listed = spark.createDataFrame(quotas.collect(), quotas.schema)
     every = listed.agg(F.array_sort(F.collect_list(F.struct(*[col(s) for s in strata], "size", "quota"))).alias("_strata")).first()[0]
     entries = F.array(*[F.struct(*[F.lit(e[f]).cast(quotas.schema[f].dataType).alias(f) for f in quotas.columns]) for e in every])
-    per = prompts.select("*", F.explode(entries).alias("_s")).select(*[col(c) for c in prompts.columns], "_s.*")
+    per = _spread(prompts).select("*", F.explode(entries).alias("_s")).select(*[col(c) for c in prompts.columns], "_s.*")
     prefix = F.concat_ws(":", F.lit(str(seed)), F.col("prompt_id").cast("string"), *[col(s).cast("string") for s in strata])
     drawn = per.select("*", F.posexplode(_draw(prefix, F.col("quota"), F.col("size"))).alias("_pos", "idx"))
     drawn = drawn.withColumn("shot_no", F.col("_pos") + 1).drop("_pos", "size", "quota")
-    return join_null_safe(drawn, dense_index(pool, key, seed, strata), [*strata, "idx"])
+    return join_null_safe(drawn.hint("merge"), dense_index(pool, key, seed, strata), [*strata, "idx"])
 
 
 # ---- K3, K4 -----------------------------------------------------------------

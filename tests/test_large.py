@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabkit.functions import quantiles as Q
+from tabkit.operators import prompt as K
 
 
 def plan(df):
@@ -17,3 +18,13 @@ def test_values_meet_the_ranges_of_quantiles_without_a_shuffle(spark):
     narrowed = plan(Q._narrow(long, state, ["column"], 16))
     assert "SortMergeJoin" not in narrowed and narrowed.count("BroadcastHashJoin") == 2
     assert {r["column"]: r["q"] for r in Q.quantiles(df, ["x", "y"], [0.0, 1.0], (), 0).collect()} == {"x": [0.0, 36.0], "y": [0.0, 499.5]}
+
+
+def test_draws_are_never_gathered_on_the_driver(spark):
+    pool, prompts = spark.range(500).withColumn("s", F.col("id") % 3), spark.range(50).coalesce(1).withColumnRenamed("id", "prompt_id")
+    for strata in ([], ["s"]):
+        draws = K.draw_shots(pool, prompts, ["id"], 6, strata=strata)
+        top = plan(draws).split("Window [row_number")[0]  # what lies above the numbering of the pool
+        assert "SortMergeJoin" in top and "BroadcastExchange" not in top.split("SortMergeJoin")[0]
+        assert "RoundRobinPartitioning" in plan(draws)  # one file of prompts is not one task's draws
+        assert draws.count() == 300 and draws.groupBy("prompt_id").agg(F.count_distinct("id").alias("n")).where("n <> 6").isEmpty()
