@@ -54,8 +54,8 @@ def generate(
     """Rows made by a model from ``k_shot`` examples per prompt, and the profile they follow.
 
     ``fn(prompts, max_tokens)`` returns one text per prompt. After a first round of at most ``first_prompts`` prompts each round asks for
-    all rows still missing, at the decode rate seen so far, so the number of rounds does not grow with ``n_rows``. Prompts are answered in batches;
-    a round without rows is tried once more with twice the tokens, and five such rounds end the run. ``key`` identifies training rows.
+    all rows still missing, at the decode rate seen so far, so the number of rounds does not grow with ``n_rows``. The prompts of a round are made
+    in one job and answered in batches; a round without rows is tried once more with twice the tokens, and five such rounds end the run. ``key`` identifies training rows.
 
     Every step is noted in the shared checkpoint folder. A run that was cut off and is called again with its ``run_id`` and the
     same settings goes on after the last noted step: no batch whose answers are noted is sent to the model again. The answers of
@@ -75,28 +75,33 @@ def generate(
     def ask(first: int, count: int) -> DataFrame:
         asked = spark.range(first, first + count).withColumnRenamed("id", "prompt_id")
         shots = draw_shots(pool, asked, key, k_shot, seed, indexed=indexed, size=ledger.rows("pool"))
-        return build_prompts(shots, prof, rows_per_prompt, encoder, conditions=conditions, schema=schema, permute=permute, row_key=key, seed=seed)
+        prompts = build_prompts(shots, prof, rows_per_prompt, encoder, conditions=conditions, schema=schema, permute=permute, row_key=key, seed=seed)
+        return prompts.repartitionByRange("prompt_id").sortWithinPartitions("prompt_id")  # a batch reads its own row groups only
 
-    def answer(number: int, first: int, count: int, limit: int) -> tuple[list[DataFrame], int]:
-        """The decoded rows of a round, batch by batch."""
-        parts, got = [], 0
+    def answer(number: int, first: int, count: int, limit: int) -> tuple[DataFrame, int]:
+        """The decoded rows of a round. Its prompts meet the pool once and its answers are decoded together; only the model is asked batch by batch."""
+        prompts, step, texts = ledger.step(f"round-{number}-prompts", lambda: ask(first, count)), f"round-{number}-tokens-{limit}", []
         for k in range(math.ceil(count / prompts_per_batch)):
-            at, step = first + k * prompts_per_batch, f"round-{number}-tokens-{limit}-batch-{k}"
-            size = min(prompts_per_batch, first + count - at)
-            texts = ledger.step(f"{step}-texts", lambda at=at, size=size: complete(ask(at, size), lambda batch: fn(batch, limit), max_concurrency=max_concurrency, keep=False))
-            rows = lambda texts=texts: cap_per_prompt(decode(texts.select(F.lit(number).alias("round"), "prompt_id", "text"), prof, mode), rows_per_prompt)
-            parts.append(ledger.step(f"{step}-rows", rows))
-            got += ledger.rows(f"{step}-rows")
-        return parts, got
+            at = first + k * prompts_per_batch
+            mine = prompts.where(F.col("prompt_id").between(at, min(at + prompts_per_batch, first + count) - 1))
+            if max_concurrency is None:
+                mine = mine.repartition(spark.sparkContext.defaultParallelism)  # a batch lies in one or two files
+            texts.append(f"{step}-batch-{k}-texts")
+            ledger.step(texts[-1], lambda mine=mine: complete(mine, lambda batch: fn(batch, limit), max_concurrency=max_concurrency, keep=False))
+        rows = ledger.step(
+            f"{step}-rows",
+            lambda: cap_per_prompt(decode(ledger.tables(texts).select(F.lit(number).alias("round"), "prompt_id", "text"), prof, mode), rows_per_prompt),
+        )
+        return rows, ledger.rows(f"{step}-rows")
 
     rounds: list[DataFrame] = []
     rows = sent = empty_rounds = number = 0
     while rows < n_rows and empty_rounds < MAX_EMPTY_ROUNDS:
         count = plan_next_round(n_rows, rows, sent, rows_per_prompt, None if rows else first_prompts)
         for limit in (max_tokens, min(2 * max_tokens, MAX_RETRY_TOKENS)):
-            parts, got = answer(number, sent, count, limit)
+            part, got = answer(number, sent, count, limit)
             if got:
-                rounds += parts
+                rounds.append(part)
                 break
         sent += count
         rows += got

@@ -10,14 +10,16 @@ import json
 import os
 import time
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tabkit.session import checkpoint_dir
 
 _NOTE = "step string, path string, rows long, schema string, settings string, noted double"
+_NOTED = [field.split()[0] for field in _NOTE.split(", ")]
 
 
 class Ledger:
@@ -52,17 +54,19 @@ class Ledger:
             path = os.path.join(self.folder, "tables", f"{step}-{uuid.uuid4().hex}")
             made.write.option("compression", "zstd").parquet(path)
             self._note(step, path, made.schema.json())
-        note = self.notes[step]
-        from pyspark.sql.types import StructType
+        return self.tables([step])
 
-        return self.spark.read.schema(StructType.fromJson(json.loads(note["schema"]))).parquet(note["path"])
+    def tables(self, steps: Sequence[str]) -> DataFrame:
+        """Noted steps with the same columns, read as one table."""
+        schema = StructType.fromJson(json.loads(self.notes[steps[0]]["schema"]))
+        return self.spark.read.schema(schema).parquet(*[self.notes[s]["path"] for s in steps])
 
     def rows(self, step: str) -> int:
         """Rows of a noted step."""
         return self.notes[step]["rows"]
 
     def _note(self, step: str, path: str, schema: str) -> None:
-        rows = self.spark.read.parquet(path).count()
-        note = self.spark.createDataFrame([(step, path, rows, schema, self.settings, time.time())], _NOTE)
-        note.coalesce(1).write.mode("append").parquet(os.path.join(self.folder, "notes"))
-        self.notes[step] = note.first()
+        rows = self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(path).count()
+        note = (step, path, rows, schema, self.settings, time.time())
+        self.spark.createDataFrame([note], _NOTE).coalesce(1).write.mode("append").parquet(os.path.join(self.folder, "notes"))
+        self.notes[step] = dict(zip(_NOTED, note, strict=True))

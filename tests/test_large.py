@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from tabkit.functions import quantiles as Q
 from tabkit.operators import prompt as K
+from tabkit.plans.generate import generate
+from tabkit.plans.ledger import Ledger
+from tabkit.plans.queries_generate import echo_model
+from tabkit.sources.tables import read_table
 
 
 def plan(df):
@@ -28,3 +32,14 @@ def test_draws_are_never_gathered_on_the_driver(spark):
         assert "SortMergeJoin" in top and "BroadcastExchange" not in top.split("SortMergeJoin")[0]
         assert "RoundRobinPartitioning" in plan(draws)  # one file of prompts is not one task's draws
         assert draws.count() == 300 and draws.groupBy("prompt_id").agg(F.count_distinct("id").alias("n")).where("n <> 6").isEmpty()
+
+
+def test_a_round_makes_its_prompts_and_rows_in_one_step_each(spark, data, monkeypatch):
+    train = read_table(spark, f"{data}/customer.parquet")
+    noted = []
+    monkeypatch.setattr(Ledger, "_note", lambda self, step, path, schema, keep=Ledger._note: (noted.append(step), keep(self, step, path, schema)))
+    rows, _ = generate(train, echo_model("c_custkey"), 90, ["c_custkey"], k_shot=6, rows_per_prompt=3, prompts_per_batch=10, representative_threshold=None, correlations=False, seed=3, first_prompts=25)
+    kinds = [s.split("-")[-1] for s in noted if s.startswith("round-")]
+    rounds = len({s.split("-")[1] for s in noted if s.startswith("round-")})
+    assert rows.count() == 90 and kinds.count("texts") >= 3 + rounds - 1
+    assert kinds.count("prompts") == rounds and kinds.count("rows") == rounds
