@@ -409,6 +409,13 @@ def decode_stats(completions: DataFrame, decoded: DataFrame, rows_per_prompt: in
     return joined.withColumn("decode_rate", F.coalesce(rate, F.lit(0.0)))
 
 
+def _read_once(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same rows. Conditions on the typed columns stay above the generator, else Spark carries them below the parsing and parses each text
+    again for every use of every column."""
+    keep = [col(c) for c in raw.columns if c not in columns]
+    return raw.select(*keep, F.inline(F.array(F.struct(*[col(c) for c in columns]))))
+
+
 def decode(
     completions: DataFrame,
     profile: DatasetProfile,
@@ -425,7 +432,7 @@ def decode(
         raw = decode_sentence(split_rows(clean, text), profile)
     else:
         raise ValueError(f"unsupported mode {mode!r}; choose 'json' or 'flexible'")
-    typed = apply_types(raw, profile, strict_boolean)
+    typed = apply_types(_read_once(raw, profile.column_order), profile, strict_boolean)
     if repair:
         typed = repair_category(typed, profile)
     return drop_incomplete(typed, profile)

@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from tabkit.functions import quantiles as Q
+from tabkit.operators import decode as D
 from tabkit.operators import prompt as K
 from tabkit.plans.generate import generate
 from tabkit.plans.ledger import Ledger
 from tabkit.plans.queries_generate import echo_model
+from tabkit.plans.queries_text import simple_profile
 from tabkit.sources.tables import read_table
 
 
@@ -43,3 +45,11 @@ def test_a_round_makes_its_prompts_and_rows_in_one_step_each(spark, data, monkey
     rounds = len({s.split("-")[1] for s in noted if s.startswith("round-")})
     assert rows.count() == 90 and kinds.count("texts") >= 3 + rounds - 1
     assert kinds.count("prompts") == rounds and kinds.count("rows") == rounds
+
+
+def test_sentences_are_parsed_once(spark):
+    prof = simple_profile({"a": "integer", "b": "float", "c": "text"})
+    texts = spark.createDataFrame([(0, "a is 1, b is 2.5, c is x"), (1, "a is 1, b is no, c is y"), (2, "a is 3, c is z, b is 4")], "prompt_id long, text string")
+    rows = D.decode(texts, prof, "flexible")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2  # name and value of a clause
+    assert sorted((r["a"], r["b"], r["c"]) for r in rows.collect()) == [(1, 2.5, "x"), (3, 4.0, "z")]
