@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabkit.functions.columns import as_double, chunked, col, join_null_safe
+from tabkit.functions.columns import as_double, chunked, col, join_null_safe, nan_to_null
 from tabkit.functions.ordered import running_sums
 from tabkit.operators.compare import _per_column, bin_of, column_ranges, long_values
 from tabkit.operators.profile import pair_correlations, text_of, value_counts
@@ -197,10 +199,14 @@ def cardinality_shape(real: tuple[DataFrame, str, DataFrame, str], synthetic: tu
 
 
 # ---- N10 --------------------------------------------------------------------
-LEAF_POINTS = 64
+LEAF_POINTS = 256
 FAN = 16  # children of a node
 SPLITS = 16  # cells of a column in the order of the points, with even shares of them
 LISTED = 16  # most values of a category that a node lists; with more, any value may be in it
+BLOCK_ROWS = 2048  # rows that walk down the tree together
+BEAM = 16  # nodes of a level that the first walk follows
+MET = 128  # leaves that a block meets in one task; one with more is dealt to several
+TASK = 32  # meetings of a block and a leaf that a task has on average
 NULL = "\0"
 
 
@@ -210,14 +216,16 @@ def closest_record_distance(
     """Exact distance of each synthetic row to its closest real row, ``(key, dcr)``; null where there is no real row.
 
     Distance is the sum of |difference| / real range over numeric columns plus the number of differing categories. Null is a value
-    of its own: it equals null and differs from any other by 1, in both kinds of columns.
+    of its own: it equals null and differs from any other by 1, in both kinds of columns. NaN counts as null.
 
     Real points are sorted once, by their categories and then along a z-curve over cells with even shares of the points, and numbered. A
     node of the search tree is a run of them: ``leaf_points`` numbers in a leaf, ``fan`` children above, so every split is a quantile of the data and a
-    parent's number is a child's divided. A node knows the box of each number, the values of each category and one of its points.
-    Synthetic rows walk down by equi-joins on the node. A node's bound counts distances to the box and categories without the row's value
-    alike; it is left when the bound passes the distance to the nearest known point. What is left meets the points of its leaves.
+    parent's number is a child's divided. A node knows the box of each number and the values of each category.
+    Synthetic rows are sorted and cut into blocks in the same way, and blocks walk down by equi-joins on the node: only summaries meet there. A first
+    walk follows the ``BEAM`` nearest nodes of each level; the distances to the points of their leaves bound each row's answer. Rows are then cut
+    into blocks again, those of similar bounds together, and a second walk leaves every node that is not nearer than the largest bound of the block.
     """
+    df = nan_to_null(df)
     ranges = column_ranges_of(df, numeric, real)
     dims, kinds = [f"x{i}" for i in range(len(numeric))], [f"c{i}" for i in range(len(categorical))]
     scaled = [((as_double(df, c) - F.lit(lo)) / F.lit(span)).alias(d) for c, d, (lo, span) in zip(numeric, dims, ranges)]
@@ -228,66 +236,198 @@ def closest_record_distance(
     # Rows with equal features have one answer; each is searched once.
     searched = materialize(rows.select(*dims, *kinds).distinct().withColumn("q", F.monotonically_increasing_id()), "dcr-searched")
     leaves, levels = _packed_tree(reals, dims, kinds, leaf_points, fan)
-    pairs = searched.withColumns({"node": F.lit(0).cast("bigint"), "bound": F.lit(float("inf"))})
-    for nodes in reversed(levels):
-        met = pairs.drop("near").join(nodes, F.col("node") == F.col("parent")).select(
-            "q", *dims, *kinds, F.col("id").alias("node"), _least_distance(dims, kinds).alias("near"), F.least("bound", _distance(dims, kinds, "one_")).alias("reach")
-        )
-        known = met.withColumn("bound", F.min("reach").over(Window.partitionBy("q"))).drop("reach")
-        pairs = materialize(known.where(F.col("near") <= F.col("bound")), "dcr-pairs")
-    met = pairs.join(leaves.select(F.col("leaf").alias("node"), *[F.col(c).alias(f"r_{c}") for c in dims + kinds]), "node")
-    best = met.groupBy("q").agg(F.min(_distance(dims, kinds, "r_")).alias("dcr"))
+
+    blocks = _blocks(searched.withColumn("best", F.lit(float("inf"))), dims, kinds)
+    first = _nearest(blocks, _walk(_summaries(blocks, dims, kinds), levels, dims, kinds, BEAM), leaves, dims, kinds)
+    blocks = _blocks(searched.join(first, "q").where("best > 0"), dims, kinds)
+    second = _nearest(blocks, _walk(_summaries(blocks, dims, kinds), levels, dims, kinds), leaves, dims, kinds)
+    best = first.unionByName(second).groupBy("q").agg(F.min("best").alias("dcr"))
     best = searched.join(best, "q", "left").drop("q")
     return join_null_safe(rows, best, [*dims, *kinds]).select(F.col("key").alias(key), "dcr")
 
 
-def _distance(dims: Sequence[str], kinds: Sequence[str], other: str) -> Column:
-    """Of a row from the point in the columns that begin with ``other``."""
-    number = lambda x, y: F.coalesce(F.abs(x - y), (~x.eqNullSafe(y)).cast("double"))
-    gaps = [number(F.col(d), F.col(other + d)) for d in dims] + [(F.col(k) != F.col(other + k)).cast("double") for k in kinds]
-    return sum(gaps, F.lit(0.0))
+def _blocks(rows: DataFrame, dims: list[str], kinds: list[str]) -> DataFrame:
+    """Rows with the number of their block: neighbours along the curve, those whose best so far has the same whole part together."""
+    numbered, _ = _numbered(rows.withColumn("level", F.floor("best")), dims, kinds, ["level"], ["q"])
+    return materialize(numbered.withColumn("block", F.floor((F.col("nth") - 1) / BLOCK_ROWS)).drop("nth", "level"), "dcr-blocks")
+
+
+def _summaries(blocks: DataFrame, dims: list[str], kinds: list[str]) -> DataFrame:
+    found = blocks.groupBy("block").agg(F.max("best").alias("bound"), *_box(dims), *_lists(kinds))
+    return materialize(found.select("block", "bound", *[F.col(c).alias(f"of_{c}") for c in found.columns[2:]]), "dcr-summaries")
+
+
+def _walk(blocks: DataFrame, levels: list[DataFrame], dims: list[str], kinds: list[str], beam: int | None = None) -> DataFrame:
+    """``(block, node, near)``: the leaves that may hold a point nearer than a block's bound, or of these ``beam`` near ones."""
+    pairs = blocks.select("block", F.lit(0).cast("bigint").alias("node"))
+    for nodes in reversed(levels):
+        met = pairs.join(nodes, F.col("node") == F.col("parent")).select("block", "id", *[c for c in nodes.columns if c.startswith(("lo_", "hi_", "null_", "in_"))])
+        met = met.join(blocks, "block").where(_least_distance(dims, kinds) < F.col("bound"))
+        met = met.select("block", F.col("id").alias("node"), _least_distance(dims, kinds).alias("near"), _unlike(dims, kinds).alias("unlike"))
+        if beam:
+            place = F.row_number().over(Window.partitionBy("block").orderBy("near", "unlike", "node"))
+            met = met.withColumn("place", place).where(F.col("place") <= beam)
+        pairs = materialize(met.select("block", "node", "near"), "dcr-pairs")
+    return pairs
 
 
 def _least_distance(dims: Sequence[str], kinds: Sequence[str]) -> Column:
-    """Of a row from any point that may be in a node."""
+    """Of any row that may be in a block from any point that may be in a node."""
     gaps = []
     for d in dims:
-        x, lo, hi = F.col(d), F.col(f"lo_{d}"), F.col(f"hi_{d}")
-        to_box = F.greatest(lo - x, x - hi, F.lit(0.0))
-        to_null = F.when(F.col(f"null_{d}"), 1.0)
-        gaps.append(F.when(x.isNull(), (~F.col(f"null_{d}")).cast("double")).when(lo.isNull(), 1.0).otherwise(F.least(to_box, to_null)))
-    gaps += [F.coalesce((~F.array_contains(f"in_{k}", F.col(k))).cast("double"), F.lit(0.0)) for k in kinds]
+        lo, hi, null = (F.col(f"{x}_{d}") for x in ("lo", "hi", "null"))
+        of_lo, of_hi, of_null = (F.col(f"of_{x}_{d}") for x in ("lo", "hi", "null"))
+        apart = F.greatest(lo - of_hi, of_lo - hi, F.lit(0.0))
+        numbers = F.when(lo.isNull() | of_lo.isNull(), 1.0).otherwise(F.least(apart, F.when(null | of_null, 1.0)))
+        gaps.append(F.when(null & of_null, 0.0).otherwise(numbers))
+    gaps += [F.coalesce((~F.arrays_overlap(f"in_{k}", f"of_in_{k}")).cast("double"), F.lit(0.0)) for k in kinds]
     return sum(gaps, F.lit(0.0))
 
 
-def _packed_tree(reals: DataFrame, dims: list[str], kinds: list[str], leaf_points: int, fan: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The points with the number of their leaf, and the levels of nodes from the leaves up: id, parent, boxes, categories, one point."""
+def _unlike(dims: Sequence[str], kinds: Sequence[str]) -> Column:
+    """How little a block and a node cover the same ground; only an order of preference."""
+    gaps = [F.coalesce(F.abs(F.col(f"{x}_{d}") - F.col(f"of_{x}_{d}")), F.lit(1.0)) for d in dims for x in ("lo", "hi")]
+    gaps += [(~F.array_sort(f"in_{k}").eqNullSafe(F.array_sort(f"of_in_{k}"))).cast("double") for k in kinds]
+    return sum(gaps, F.lit(0.0))
+
+
+def _nearest(blocks: DataFrame, pairs: DataFrame, leaves: DataFrame, dims: list[str], kinds: list[str]) -> DataFrame:
+    """``(q, best)``: the least distance of each row from the points of the leaves that its block meets, or what it had.
+
+    The rows of a block and then its leaves, nearest first, stream through a task in the form of plain rows. A row may be answered by several tasks.
+    """
+    share = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("block")) / MET)
+    pairs = materialize(pairs.withColumn("part", F.pmod(F.xxhash64("node"), share)), "dcr-met")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    points = pairs.join(leaves, F.col("node") == F.col("leaf")).select("block", "part", "near", "node", none("q", "bigint"), none("best", "double"), *dims, *kinds)
+    own = pairs.select("block", "part").distinct().join(blocks, "block")
+    own = own.select("block", "part", F.lit(-1.0).alias("near"), F.lit(-1).cast("bigint").alias("node"), "q", "best", *dims, *kinds)
+    tasks = max(1, -(-pairs.count() // TASK))
+    dealt = own.unionByName(points).repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "near", "node")
+    found = dealt.mapInArrow(_meet(len(dims), len(kinds)), "q bigint, best double")
+    return materialize(found.groupBy("q").agg(F.min("best").alias("best")), "dcr-best")
+
+
+def _meet(n_dims: int, n_kinds: int):
+    """The search of a task: rows sorted by block, part, and nearness; those with a ``q`` ask, the others are points."""
+
+    def run(batches):
+        codes: list[dict] = [{} for _ in range(n_kinds)]  # numbers of the categories that this task has seen
+        asking, now = [], None  # pieces of (q, best, numbers, categories) of the current block and part
+        for batch in batches:
+            heads = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3)]
+            change = np.flatnonzero(np.logical_or.reduce([h[1:] != h[:-1] for h in heads])) + 1
+            numbers = [batch.column(6 + i).to_numpy(zero_copy_only=False) for i in range(n_dims)]  # null is NaN
+            kinds = [_coded(batch.column(6 + n_dims + i), codes[i]) for i in range(n_kinds)]
+            for start, end in zip([0, *change], [*change, batch.num_rows]):
+                part = (heads[0][start], heads[1][start])
+                if part != now:
+                    yield from _answers(asking)
+                    asking, now = [], part
+                x, c = [v[start:end] for v in numbers], [v[start:end] for v in kinds]
+                if heads[2][start] == -1:
+                    asking.append((batch.column(4)[start:end].to_numpy(), batch.column(5)[start:end].to_numpy().copy(), x, c))
+                else:
+                    for _, best, own_x, own_c in asking:
+                        _improve(best, own_x, own_c, x, c)
+        yield from _answers(asking)
+
+    return run
+
+
+def _coded(values: pa.Array, codes: dict) -> np.ndarray:
+    encoded = values.dictionary_encode()
+    numbers = [codes.setdefault(v, len(codes)) for v in encoded.dictionary.to_pylist()]
+    return np.array(numbers, np.int32)[encoded.indices.to_numpy()]
+
+
+def _answers(asking: list):
+    for q, best, _, _ in asking:
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best)], ["q", "best"])
+
+
+def _improve(best: np.ndarray, own_x: list, own_c: list, x: list, c: list) -> None:
+    """``best`` of each row becomes its distance from the nearest of the points, where that is less. Categories are compared first; most pairs end there."""
+    near = np.zeros(len(best))
+    for a, b in zip(own_x, x):
+        known = b[~np.isnan(b)]
+        some_null = len(known) < len(b)
+        gap = np.maximum(np.maximum(known.min() - a, a - known.max()), 0.0) if len(known) else np.ones(len(a))
+        near += np.where(np.isnan(a), 0.0 if some_null else 1.0, np.minimum(gap, 1.0) if some_null else gap)
+    for a, b in zip(own_c, c):
+        held = np.zeros(max(a.max(), b.max()) + 1, bool)
+        held[b] = True
+        near += ~held[a]
+    rows = np.flatnonzero(near < best)
+    if not len(rows):
+        return
+    limit = best[rows]
+    differ = np.zeros((len(rows), len((x + c)[0]) if x or c else 1), np.int16)
+    for a, b in zip(own_c, c):
+        differ += a[rows][:, None] != b
+    close = differ < limit[:, None]
+    if 4 * np.count_nonzero(close) > close.size:  # whole rows are cheaper than single pairs
+        less = differ.astype(float)
+        for a, b in zip(own_x, x):
+            less += _gap(a[rows][:, None], b)
+        best[rows] = np.minimum(limit, less.min(axis=1))
+        return
+    i, j = np.nonzero(close)
+    less = differ[i, j].astype(float)
+    for a, b in zip(own_x, x):
+        less += _gap(a[rows[i]], b[j])
+        keep = less < limit[i]
+        i, j, less = i[keep], j[keep], less[keep]
+    if len(i):
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        best[rows[i[starts]]] = np.minimum.reduceat(less, starts)
+
+
+def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    gap = np.abs(a - b)
+    return np.where(np.isnan(gap), np.isnan(a) != np.isnan(b), gap) if np.isnan(a).any() or np.isnan(b).any() else gap
+
+
+def _box(dims: Sequence[str]) -> list[Column]:
+    return [x for d in dims for x in (F.min(d).alias(f"lo_{d}"), F.max(d).alias(f"hi_{d}"), F.bool_or(F.col(d).isNull()).alias(f"null_{d}"))]
+
+
+def _listed(values: Column) -> Column:
+    return F.when(F.size(values) <= LISTED, values)
+
+
+def _lists(kinds: Sequence[str]) -> list[Column]:
+    return [_listed(F.collect_set(k)).alias(f"in_{k}") for k in kinds]
+
+
+def _numbered(points: DataFrame, dims: list[str], kinds: list[str], before: Sequence[str] = (), after: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """The points with their place ``nth`` in the order of ``before``, the categories, the curve and ``after``, and how many they are."""
     asked = [F.percentile_approx(d, [i / SPLITS for i in range(1, SPLITS)], 10_000).alias(d) for d in dims] + [F.approx_count_distinct(k).alias(k) for k in kinds]
-    about = reals.agg(F.count(F.lit(1)).alias("n"), *asked).first()
+    about = points.agg(F.count(F.lit(1)).alias("n"), *asked).first()
     bits = (SPLITS - 1).bit_length()
     cells = []
     for d in dims:
         above = [(F.col(d) >= F.lit(x)).cast("int") for x in sorted(set(about[d] or []))]
         cells.append(F.coalesce(sum(above, F.lit(0)), F.lit(0)))
     curve = [F.shiftright(c, b).bitwiseAND(1).cast("string") for b in range(bits - 1, -1, -1) for c in cells]
-    order = [F.concat(*[x for k in sorted(kinds, key=lambda k: about[k]) for x in (F.col(k), F.lit("\1"))], F.lit("\2"), *curve).alias("at")]
-    placed = reals.select(*dims, *kinds, *order, F.lit(1).cast("bigint").alias("nth"))
-    placed = running_sums(placed, [], ["at", *dims, *kinds], ["nth"])
-    leaves = placed.withColumn("leaf", F.floor((F.col("nth") - 1) / leaf_points)).drop("at", "nth")
-    leaves = materialize(leaves, "dcr-leaves")
-    first = lambda of: [F.min_by(c, of).alias(f"one_{c}") for c in dims + kinds]
-    box = [x for d in dims for x in (F.min(d).alias(f"lo_{d}"), F.max(d).alias(f"hi_{d}"), F.bool_or(F.col(d).isNull()).alias(f"null_{d}"))]
-    listed = lambda values: F.when(F.size(values) <= LISTED, values)
-    tie = F.struct(*[F.col(c) for c in dims + kinds])
-    nodes = leaves.groupBy("leaf").agg(*box, *[listed(F.collect_set(k)).alias(f"in_{k}") for k in kinds], *first(tie))
+    order = F.concat(*[x for k in sorted(kinds, key=lambda k: about[k]) for x in (F.col(k), F.lit("\1"))], F.lit("\2"), *curve)
+    placed = points.withColumns({"at": order, "nth": F.lit(1).cast("bigint")})
+    return running_sums(placed, [], [*before, "at", *dims, *kinds, *after], ["nth"]).drop("at"), about["n"]
+
+
+def _packed_tree(reals: DataFrame, dims: list[str], kinds: list[str], leaf_points: int, fan: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The points with the number of their leaf, and the levels of nodes from the leaves up: id, parent, boxes, categories."""
+    placed, n = _numbered(reals, dims, kinds)
+    leaves = materialize(placed.withColumn("leaf", F.floor((F.col("nth") - 1) / leaf_points)).drop("nth"), "dcr-leaves")
+    nodes = leaves.groupBy("leaf").agg(*_box(dims), *_lists(kinds))
     nodes = nodes.withColumnRenamed("leaf", "id").withColumn("parent", F.floor(F.col("id") / fan))
-    levels, count = [materialize(nodes, "dcr-nodes")], -(-about["n"] // leaf_points)
+    levels, count = [materialize(nodes, "dcr-nodes")], -(-n // leaf_points)
     while count > fan:
         inner = levels[-1]
         box = [x for d in dims for x in (F.min(f"lo_{d}").alias(f"lo_{d}"), F.max(f"hi_{d}").alias(f"hi_{d}"), F.bool_or(f"null_{d}").alias(f"null_{d}"))]
         # At most `fan` lists of at most LISTED values meet; one that is too long stands for any value.
-        union = [F.when(F.bool_and(F.col(f"in_{k}").isNotNull()), listed(F.array_distinct(F.flatten(F.collect_list(f"in_{k}"))))).alias(f"in_{k}") for k in kinds]
-        nodes = inner.groupBy("parent").agg(*box, *union, *[F.min_by(f"one_{c}", "id").alias(f"one_{c}") for c in dims + kinds])
+        union = [F.when(F.bool_and(F.col(f"in_{k}").isNotNull()), _listed(F.array_distinct(F.flatten(F.collect_list(f"in_{k}"))))).alias(f"in_{k}") for k in kinds]
+        nodes = inner.groupBy("parent").agg(*box, *union)
         nodes = nodes.withColumnRenamed("parent", "id").withColumn("parent", F.floor(F.col("id") / fan))
         levels.append(materialize(nodes, "dcr-nodes"))
         count = -(-count // fan)

@@ -68,6 +68,49 @@ def test_closest_distance_search_leaves_most_of_the_tree(spark):
     assert got == {1.0}
 
 
+def test_closest_distance_with_many_columns_moves_blocks_not_pairs(spark, monkeypatch):
+    """Numbers and categories without structure leave no node out: rows still meet points in blocks, so little is written for all these pairs."""
+    from tabkit import session
+
+    rng = np.random.default_rng(8)
+    rows = [(i, "real" if i % 2 else "synthetic", *map(float, rng.uniform(0, 1, 4)), *map(str, rng.integers(0, 5, 4))) for i in range(1200)]
+    names = [f"n{i}" for i in range(4)], [f"k{i}" for i in range(4)]
+    df = spark.createDataFrame(rows, ["id", "dataset", *names[0], *names[1]])
+    pairs = []
+
+    def counted(step, name="step"):
+        out = session.materialize(step, name)
+        if name in ("dcr-pairs", "dcr-met"):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "materialize", counted)
+    got = {r["id"]: r["dcr"] for r in N.closest_record_distance(df, "id", *names, "real", "synthetic").collect()}
+    real = [r for r in rows if r[1] == "real"]
+    x, k = np.array([r[2:6] for r in real]), np.array([r[6:] for r in real])
+    span = x.max(0) - x.min(0)
+    for r in rows:
+        if r[1] == "synthetic":
+            assert got[r[0]] == pytest.approx((np.abs(x - r[2:6]) / span).sum(1).__add__((k != np.array(r[6:])).sum(1)).min(), abs=1e-9)
+    assert max(pairs) < 100  # 600 rows and 3 leaves: by rows, 1800
+
+
+def test_closest_distance_in_several_blocks_and_parts(spark, monkeypatch):
+    """Blocks of few rows, leaves dealt to several tasks, a beam of one node: the result is that of all pairs."""
+    for name, small in (("BLOCK_ROWS", 16), ("MET", 2), ("TASK", 3), ("BEAM", 1), ("LISTED", 3)):
+        monkeypatch.setattr(N, name, small)
+    rng = np.random.default_rng(11)
+    rows = [(i, "real" if i % 2 else "synthetic", None if i % 11 == 0 else float(rng.uniform()), float("nan") if i % 7 == 0 else float(rng.normal()), None if i % 5 == 0 else str(rng.integers(0, 6))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, dataset string, x double, y double, c string")
+    clean = [(*r[:3], None if r[3] != r[3] else r[3], r[4]) for r in rows]
+    real = [r for r in clean if r[1] == "real"]
+    span = {i: max(v) - min(v) for i in (2, 3) if (v := [r[i] for r in real if r[i] is not None])}
+    gap = lambda s, r, i: float(s[i] != r[i]) if i == 4 or s[i] is None or r[i] is None else abs(s[i] - r[i]) / span[i]
+    want = {s[0]: min(sum(gap(s, r, i) for i in (2, 3, 4)) for r in real) for s in clean if s[1] == "synthetic"}
+    got = {r["id"]: r["dcr"] for r in N.closest_record_distance(df, "id", ["x", "y"], ["c"], "real", "synthetic", 8, 4).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+
+
 def test_ks_on_ties(spark):
     df = spark.createDataFrame([("r", 1.0)] * 3 + [("r", 2.0)] + [("s", 2.0)] * 2 + [("s", 3.0)] * 2, "dataset string, x double")
     assert N.ks_statistic(df, ["x"], "r", "s").first()["ks"] == pytest.approx(0.75)
