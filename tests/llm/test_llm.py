@@ -450,7 +450,7 @@ def test_queries_against_sql(spark, data):
 
     con = connect(data)
     checked = [n for n, q in Q.QUERIES.items() if q.sql and compare(q.run(spark, data), con, q.sql) is None]
-    assert checked == [n for n, q in Q.QUERIES.items() if q.sql] and len(checked) == 4
+    assert checked == [n for n, q in Q.QUERIES.items() if q.sql] and len(checked) == 6
 
 
 def test_pipeline(spark, data):
