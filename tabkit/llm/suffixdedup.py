@@ -11,6 +11,9 @@ Looked for: bytes covered by a string of ``length`` bytes that also starts anywh
    are laid out with their bucket word at a multiple of V, so that suffixes that can tie have the same way to the cover.
 4. A bucket with more than ``hot`` distinct pieces is not gathered: its suffixes are counted by hash, with partial sums.
 
+Repeats of several lengths are found in one pass: buckets are those of the shortest, pieces reach as far as the longest, and only suffixes
+that repeat by one length are compared by the next.
+
 Memory is that of a block, whatever the size of the corpus. Bytes between pieces compare by 64-bit hashes of up to 64 bytes.
 
 Null is the empty text. Texts shorter than ``length`` are kept whole. Matches never cross texts; rows with equal key and text are told
@@ -39,8 +42,7 @@ BLOCK = 1 << 20
 LEAST = 96  # the shortest length the difference covers allow
 SPANS_BROADCAST = 32 << 20  # bytes of a staged table that may be broadcast
 # Perfect difference covers; every residue is a difference of two members.
-COVERS = {31: (0, 1, 3, 8, 12, 18), 7: (0, 1, 3)}
-
+COVERS = {31: (0, 1, 3, 8, 12, 18), 21: (0, 1, 4, 14, 16), 7: (0, 1, 3)}
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -73,15 +75,15 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(text, start in text, suffixes, place of the bucket word in the piece, bucket, piece hash) of all pieces."""
+def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int, reach: int):
+    """(text, start in text, suffixes, bytes, place of the bucket word in the piece, bucket, piece hash) of all pieces: ``reach`` bytes of each suffix, as far as the text goes."""
     found = []
     a = 0
     n = len(data)
     while a < n:
         b = min(a + SEGMENT, n)
         part = data[a:b]
-        stop = b - a - length + 1 if b < n else b - a  # the last suffixes of a segment are the next one's
+        stop = b - a - reach + 1 if b < n else b - a  # the last suffixes of a segment are the next one's
         sums = _sums(part)
         key = _hash(sums, np.arange(max(0, len(part) - WORD + 1)), WORD)
         low = (key & ~np.uint64(SEGMENT - 1)) | np.arange(len(key), dtype=np.uint64)
@@ -97,18 +99,19 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int):
             first = np.flatnonzero(new)
             count = np.diff(np.concatenate([first, [len(start)]]))
             s = start[first]
+            end = np.minimum(s + count + reach - 1, offsets[text[first] + 1] - a)
             whole = part.tobytes()
-            piece = np.fromiter((xxhash.xxh3_64_intdigest(whole[x : x + size]) for x, size in zip(s.tolist(), (count + length - 1).tolist(), strict=True)), np.uint64, len(s))
-            found.append((text[first], s + a - offsets[text[first]], count, at[first] - s, key[at[first]], piece))
+            piece = np.fromiter((xxhash.xxh3_64_intdigest(whole[x:y]) for x, y in zip(s.tolist(), end.tolist(), strict=True)), np.uint64, len(s))
+            found.append((text[first], s + a - offsets[text[first]], count, end - s, at[first] - s, key[at[first]], piece))
         if b == n:
             break
-        a = b - length + 1
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        a = b - reach + 1
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
 
 
-def repeated(pieces: list[bytes], counts: np.ndarray, at: np.ndarray, bucket: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, suffix) of all suffixes whose first ``length`` bytes occur in another piece of the same bucket."""
-    period = max(v for v in COVERS if 8 * v + 1 + v + 32 <= length)
+def repeated(pieces: list[bytes], counts: np.ndarray, at: np.ndarray, bucket: np.ndarray, lengths: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, ascending: (piece, suffix) of all suffixes whose first bytes, so many, occur in another piece of the same bucket."""
+    period = max(v for v in COVERS if 8 * v + 1 + v + 32 <= lengths[0])
     cover = np.array(COVERS[period])
     base, end = np.zeros(len(pieces), np.int64), 0
     for k, piece in enumerate(pieces):
@@ -122,6 +125,7 @@ def repeated(pieces: list[bytes], counts: np.ndarray, at: np.ndarray, bucket: np
     place = (np.arange(cycles)[:, None] * period + cover).reshape(-1)
     words = _words(data, ">")
     keys = [words[np.minimum(place + 8 * k, len(words) - 1)] for k in range(-(-(period + 1) // 8))]
+    keys[-1] = keys[-1] >> np.uint64(8 * (-(period + 1) % 8))  # no byte beyond
     rank = _ranks(keys)
     for k in range(3):
         ahead = len(cover) << k
@@ -136,19 +140,29 @@ def repeated(pieces: list[bytes], counts: np.ndarray, at: np.ndarray, bucket: np
     number[cover] = np.arange(len(cover))
     here = start + ahead
     row = here // period * len(cover) + number[here % period]
-    last = (length - span - period + 1) // period
     sums = _sums(data)
-    head = chain(bucket[piece], (start % period).astype(np.uint64), _hash(sums, start, 32), _hash(sums, start + length - 64, 64))
-    ranks = [rank[row + len(cover) * step] for step in sorted({*range(0, last, 7), last})]
-    order = np.lexsort([*ranks[::-1], head])
-    equal = head[order][1:] == head[order][:-1]
-    for r in ranks:
-        equal &= r[order][1:] == r[order][:-1]
-    again = np.zeros(len(order), bool)
-    again[1:] |= equal
-    again[:-1] |= equal
-    hit = np.sort(order[again])
-    return piece[hit], nth[hit]
+    size = np.array([len(x) for x in pieces], np.int64)
+    chosen, same = np.arange(len(start)), chain(bucket[piece], (start % period).astype(np.uint64), _hash(sums, start, 32))
+    done, found = -7, []
+    for length in lengths:
+        fits = nth[chosen] + length <= size[piece[chosen]]
+        chosen, same = chosen[fits], same[fits]
+        last = (length - span - period + 1) // period
+        head = chain(same, _hash(sums, start[chosen] + length - 64, 64))
+        ranks = [rank[row[chosen] + len(cover) * step] for step in sorted({*range(done + 7, last, 7), last})]
+        order = np.lexsort([*ranks[::-1], head])
+        equal = head[order][1:] == head[order][:-1]
+        for r in ranks:
+            equal &= r[order][1:] == r[order][:-1]
+        again = np.zeros(len(order), bool)
+        again[1:] |= equal
+        again[:-1] |= equal
+        same = np.zeros(len(order), np.uint64)
+        same[order[1:]] = np.cumsum(~equal)
+        hit = np.sort(order[again])
+        chosen, same, done = chosen[hit], same[hit], last
+        found.append((piece[chosen], nth[chosen]))
+    return found
 
 
 def _ranks(keys: list[np.ndarray]) -> np.ndarray:
@@ -179,10 +193,11 @@ def _schema(docs: DataFrame, rest: str) -> T.StructType:
     return T.StructType([FIELD("doc", docs.schema["doc"].dataType), *T.StructType.fromDDL("text_hash long, " + rest).fields])
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(doc, text_hash, start, suffixes): runs of suffixes whose first ``length`` bytes start elsewhere too. Runs may overlap."""
+def spans(docs: DataFrame, key: str, text: str, lengths: list[int], hot: int = HOT) -> DataFrame:
+    """(doc, text_hash, length, start, suffixes): for each length, ascending, runs of suffixes whose first bytes, so many, start elsewhere too. Runs may overlap."""
     source = _source(docs, key, text)
     width = shuffle_width(docs, 2)
+    least, reach = lengths[0], lengths[-1]
 
     def cut(batches):
         from tabkit.llm.text import raw, slices
@@ -190,19 +205,22 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         for batch in batches:
             for part in slices(batch, "body"):
                 data, offsets = raw(part.column(2).cast(pa.large_binary()))
-                doc, start, count, at, bucket, piece = cut_pieces(data, offsets, length)
+                doc, start, count, size, at, bucket, piece = cut_pieces(data, offsets, least, reach)
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(start), pa.array(count.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(bucket.view(np.int64)), pa.array(piece.view(np.int64))],
-                    ["doc", "text_hash", "start", "suffixes", "at", "bucket", "piece"],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(start), *(pa.array(x.astype(np.int32)) for x in (count, size, at)), pa.array(bucket.view(np.int64)), pa.array(piece.view(np.int64))],
+                    ["doc", "text_hash", "start", "suffixes", "size", "at", "bucket", "piece"],
                 )
 
-    pieces = stage(source.where(F.octet_length("body") >= length).mapInArrow(cut, _schema(source, "start long, suffixes int, at int, bucket long, piece long")), "pieces")
-    distinct = pieces.groupBy("bucket", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "text_hash", "start", "suffixes", "at")).alias("one"))
+    pieces = stage(source.where(F.octet_length("body") >= least).mapInArrow(cut, _schema(source, "start long, suffixes int, size int, at int, bucket long, piece long")), "pieces")
+    distinct = pieces.groupBy("bucket", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "text_hash", "start", "suffixes", "size", "at")).alias("one"))
     distinct = stage(_open(distinct), "distinct")
-    whole = pieces.join(distinct.where("copies > 1").select("bucket", "piece"), ["bucket", "piece"], "left_semi").select("doc", "text_hash", "start", F.col("suffixes").cast("long").alias("suffixes"))
+    # Of a repeated piece, the suffixes with enough bytes.
+    runs = F.explode(F.array(*[F.struct(F.lit(n).alias("length"), F.least("suffixes", F.col("size") - n + 1).cast("long").alias("n")) for n in lengths]))
+    whole = pieces.join(distinct.where("copies > 1").select("bucket", "piece"), ["bucket", "piece"], "left_semi").select("doc", "text_hash", "start", runs.alias("run"))
+    whole = whole.where("run.n > 0").select("doc", "text_hash", "run.length", "start", F.col("run.n").alias("suffixes"))
     rivals = distinct.where("rivals > 1").select("bucket", "copies", "rivals", "one.*")
-    wanted = rivals.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("bucket", "copies", "rivals", "start", "suffixes", "at")).alias("wanted"))
+    wanted = rivals.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("bucket", "copies", "rivals", "start", "suffixes", "size", "at")).alias("wanted"))
     fetched = _meet(source, stage(wanted, "wanted"))
 
     def fetch(batches):
@@ -210,7 +228,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             for k, row in enumerate(batch.to_pylist()):
                 w = row["wanted"]
                 columns = [[row["text_hash"]] * len(w)] + [[x[c] for x in w] for c in ("start", "suffixes", "at", "bucket", "copies", "rivals")]
-                columns.append([row["body"][x["start"] : x["start"] + x["suffixes"] + length - 1] for x in w])
+                columns.append([row["body"][x["start"] : x["start"] + x["size"]] for x in w])
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 doc = batch.column(0).take(pa.array([k] * len(w), pa.int64()))
                 yield pa.RecordBatch.from_arrays([doc, *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], schema.names)
@@ -219,8 +237,8 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     fetched = fetched.select("doc", "text_hash", "body", "wanted").mapInArrow(fetch, schema)
     if rivals.where(F.col("rivals") > hot).limit(1).count():
         fetched = stage(fetched, "fetched")  # read twice
-        return whole.union(_sorted(fetched.where(F.col("rivals") <= hot), length, width)).union(_counted(fetched.where(F.col("rivals") > hot), length))
-    return whole.union(_sorted(fetched, length, width))
+        return whole.union(_sorted(fetched.where(F.col("rivals") <= hot), lengths, width)).union(_counted(fetched.where(F.col("rivals") > hot), lengths))
+    return whole.union(_sorted(fetched, lengths, width))
 
 
 def _open(distinct: DataFrame) -> DataFrame:
@@ -236,7 +254,7 @@ def _meet(source: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
     return source.join(F.broadcast(other) if size_of(other) <= SPANS_BROADCAST else other, same, how).drop("__doc", "__hash")
 
 
-def _sorted(fetched: DataFrame, length: int, width: int) -> DataFrame:
+def _sorted(fetched: DataFrame, lengths: list[int], width: int) -> DataFrame:
     kind = to_arrow_type(fetched.schema["doc"].dataType)
 
     def run(batches):
@@ -245,90 +263,117 @@ def _sorted(fetched: DataFrame, length: int, width: int) -> DataFrame:
         def sort(rows):
             counts, at = (np.array([r[c] for r in rows], np.int64) for c in ("suffixes", "at"))
             bucket = np.array([r["bucket"] for r in rows], np.int64).view(np.uint64)
-            piece, first, count = _runs(*repeated([r["body"] for r in rows], counts, at, bucket, length))
-            mine = np.array([rows[p]["copies"] == 1 for p in piece], bool)  # the others repeat as a whole
-            piece, first, count = piece[mine], first[mine], count[mine]
-            chosen = [rows[p] for p in piece]
-            start = np.array([r["start"] for r in chosen], np.int64) + first
-            columns = [pa.array([r["doc"] for r in chosen], kind), pa.array([r["text_hash"] for r in chosen], pa.int64()), pa.array(start), pa.array(count.astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "start", "suffixes"])
+            whole = np.array([r["copies"] > 1 for r in rows], bool)  # found as such
+            made = []
+            for length, (piece, nth) in zip(lengths, repeated([r["body"] for r in rows], counts, at, bucket, lengths), strict=True):
+                mine = ~whole[piece]
+                piece, first, count = _runs(piece[mine], nth[mine])
+                chosen = [rows[p] for p in piece]
+                start = np.array([r["start"] for r in chosen], np.int64) + first
+                columns = [pa.array([r["doc"] for r in chosen], kind), pa.array([r["text_hash"] for r in chosen], pa.int64()), pa.array([length] * len(chosen), pa.int32()), pa.array(start), pa.array(count.astype(np.int64))]
+                made.append(pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "length", "start", "suffixes"]))
+            return made
 
         for batch in batches:
             for row in batch.to_pylist():
                 if held and (row["bucket"], row["doc"], row["text_hash"], row["start"]) == tuple(held[-1][c] for c in ("bucket", "doc", "text_hash", "start")):
                     continue  # from a repeated row
                 if size > BLOCK and row["bucket"] != held[-1]["bucket"]:
-                    yield sort(held)
+                    yield from sort(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row["body"])
         if held:
-            yield sort(held)
+            yield from sort(held)
         held = []
         release()
 
-    return fetched.repartition(width, "bucket").sortWithinPartitions("bucket", "doc", "text_hash", "start").mapInArrow(run, _schema(fetched, "start long, suffixes long"))
+    return fetched.repartition(width, "bucket").sortWithinPartitions("bucket", "doc", "text_hash", "start").mapInArrow(run, _schema(fetched, "length int, start long, suffixes long"))
 
 
-def _counted(fetched: DataFrame, length: int) -> DataFrame:
+def _counted(fetched: DataFrame, lengths: list[int]) -> DataFrame:
     kind = to_arrow_type(fetched.schema["doc"].dataType)
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                n = row["suffixes"]
                 sums = _sums(np.frombuffer(row["body"], np.uint8))
-                start = np.arange(n)
-                halves = [_hash(sums, start, length // 2), _hash(sums, start + length // 2, length - length // 2)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["doc"]] * n, kind), pa.array([row["text_hash"]] * n, pa.int64()), pa.array(row["start"] + start), *(pa.array(h.view(np.int64)) for h in halves), pa.array([row["copies"]] * n, pa.int64())], ["doc", "text_hash", "start", "h1", "h2", "copies"])
-
-    rows = fetched.dropDuplicates(["bucket", "doc", "text_hash", "start"]).select("doc", "text_hash", "start", "suffixes", "copies", "body").mapInArrow(run, _schema(fetched, "start long, h1 long, h2 long, copies long"))
-    again = rows.groupBy("h1", "h2").agg(F.sum("copies").alias("k")).where("k > 1").select("h1", "h2")
-    return rows.where("copies = 1").join(again, ["h1", "h2"], "left_semi").select("doc", "text_hash", "start", F.lit(1).cast("long").alias("suffixes"))
-
-
-REMOVED = [FIELD("n_bytes", LONG), FIELD("removed", T.ArrayType(T.StructType([FIELD("start", LONG), FIELD("end", LONG)]))), FIELD("kept", BINARY)]
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, form: str = "bytes", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with n_bytes, removed (maximal runs, byte offsets) and kept (what is left, by ``form``: ``bytes``, ``digest`` (SHA-256 in lower hex) or ``text``, without what a cut leaves of a character)."""
-    if length < LEAST:
-        raise ValueError(f"strings of fewer than {LEAST} bytes are not looked for")
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in REMOVED}]
+                for length in lengths:
+                    n = max(0, min(row["suffixes"], len(row["body"]) - length + 1))
+                    start = np.arange(n)
+                    halves = [_hash(sums, start, length // 2), _hash(sums, start + length // 2, length - length // 2)]
+                    columns = [pa.array([row["doc"]] * n, kind), pa.array([row["text_hash"]] * n, pa.int64()), pa.array([length] * n, pa.int32()), pa.array(row["start"] + start)]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(h.view(np.int64)) for h in halves), pa.array([row["copies"]] * n, pa.int64())], ["doc", "text_hash", "length", "start", "h1", "h2", "copies"])
+
+    rows = fetched.dropDuplicates(["bucket", "doc", "text_hash", "start"]).select("doc", "text_hash", "start", "suffixes", "copies", "body").mapInArrow(run, _schema(fetched, "length int, start long, h1 long, h2 long, copies long"))
+    same = ["length", "h1", "h2"]
+    again = rows.groupBy(same).agg(F.sum("copies").alias("k")).where("k > 1").select(same)
+    return rows.where("copies = 1").join(again, same, "left_semi").select("doc", "text_hash", "length", "start", F.lit(1).cast("long").alias("suffixes"))
+
+
+RUNS = T.ArrayType(T.StructType([FIELD("start", LONG), FIELD("end", LONG)]))
+REMOVED = [FIELD("n_bytes", LONG), FIELD("removed", RUNS), FIELD("kept", BINARY)]
+REPEATED = FIELD("repeated", RUNS)
+
+
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, form: str = "bytes", keep: list[str] | None = None, mark: int | None = None
+) -> DataFrame:
+    """``docs`` with n_bytes, removed (maximal runs, byte offsets) and kept (what is left, by ``form``: ``bytes``, ``digest`` (SHA-256 in lower hex) or ``text``, without what a cut leaves of a character).
+
+    With ``mark``, a length of at most ``length``, also repeated: the runs covered by strings of ``mark`` bytes that start elsewhere too, whether removed or not.
+    """
+    if not LEAST <= (length if mark is None else mark) <= length:
+        raise ValueError(f"strings of fewer than {LEAST} bytes are not looked for, and none longer than {length} is marked")
+    fields = [*REMOVED, *([] if mark is None else [REPEATED])]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in fields}]
     carried = F.struct(*[name(c) for c in keep], F.lit(True).alias("__some"))
-    cut = _cut(docs, carried, key, text, length, hot, form)
-    return cut.select(*[F.col("carried")[c].alias(c) for c in keep], *[f.name for f in REMOVED])
-
-
-def _cut(docs: DataFrame, carried: Column, key: str, text: str, length: int, hot: int, form: str) -> DataFrame:
-    """carried, n_bytes, removed, kept; user's columns travel inside ``carried``, so that their names cannot clash."""
-    found = spans(docs, key, text, length, hot)
-    found = stage(found.distinct().groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "suffixes"))).alias("spans")), "spans")
+    cut = _cut(docs, carried, key, text, length, hot, form, mark)
+    return cut.select(*[F.col("carried")[c].alias(c) for c in keep], *[f.name for f in fields])
+
+
+def _merged(spans: list[dict], length: int) -> list[dict]:
+    """Maximal runs of bytes covered by strings of ``length`` bytes, from the spans of that length."""
+    runs = []
+    for s in spans:
+        if s["length"] != length:
+            continue
+        a, b = s["start"], s["start"] + s["suffixes"] - 1 + length
+        if runs and a <= runs[-1]["end"]:
+            runs[-1]["end"] = max(runs[-1]["end"], b)
+        else:
+            runs.append({"start": a, "end": b})
+    return runs
+
+
+def _cut(docs: DataFrame, carried: Column, key: str, text: str, length: int, hot: int, form: str, mark: int | None = None) -> DataFrame:
+    """carried, n_bytes, removed, kept and, with ``mark``, repeated; user's columns travel inside ``carried``, so that their names cannot clash."""
+    found = spans(docs, key, text, sorted({length, mark or length}), hot)
+    found = stage(found.distinct().groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "suffixes", "length"))).alias("spans")), "spans")
     body = F.coalesce(name(text).cast("string"), F.lit(""))
     source = docs.select(carried.alias("carried"), name(key).alias("doc"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
     met = _meet(source, found, "left").select("carried", "body", "spans")
-    fields = [FIELD("n_bytes", LONG), REMOVED[1], FIELD("kept", BINARY if form == "bytes" else STRING)]
+    fields = [FIELD("n_bytes", LONG), REMOVED[1], FIELD("kept", BINARY if form == "bytes" else STRING), *([] if mark is None else [REPEATED])]
     schema = T.StructType([met.schema["carried"], *fields])
     n_keep = 1
 
     def run(batches):
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            sizes, removed, kept = [], [], []
+            sizes, removed, kept, repeats = [], [], [], []
             for k in range(batch.num_rows):
                 data = batch.column(n_keep)[k].as_py()
-                runs = []
-                for s in batch.column(n_keep + 1)[k].as_py() or []:
-                    a, b = s["start"], s["start"] + s["suffixes"] - 1 + length
-                    if runs and a <= runs[-1]["end"]:
-                        runs[-1]["end"] = max(runs[-1]["end"], b)
-                    else:
-                        runs.append({"start": a, "end": b})
+                known = batch.column(n_keep + 1)[k].as_py() or []
+                runs = _merged(known, length)
                 edges = [0, *(x for r in runs for x in (r["start"], r["end"])), len(data)]
                 left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else data
                 sizes.append(len(data))
                 removed.append(runs)
                 kept.append(hashlib.sha256(left).hexdigest() if form == "digest" else left.decode("utf-8", "ignore") if form == "text" else left)
-            made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary() if form == "bytes" else pa.string())]
+                if mark is not None:
+                    repeats.append(_merged(known, mark))
+            made = [pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary() if form == "bytes" else pa.string())]
+            made += [] if mark is None else [pa.array(repeats, kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *made], schema.names)
 
     return met.mapInArrow(run, schema)
