@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tabkit.llm.common import BINARY, FIELD, LONG, STRING, name, release, shuffle_width, size_of, stage
-from tabkit.llm.text import SEGMENT, _power_tables, _table, chain, groups, mix
+from tabkit.llm.common import BINARY, FIELD, LONG, STRING, lists, name, release, shuffle_width, size_of, stage
+from tabkit.llm.text import SEGMENT, _power_tables, _table, chain, groups, mix, raw, slices
 
 LENGTH = 400
 WORD = 32  # shorter ones are common to texts that share nothing else
@@ -200,8 +200,6 @@ def spans(docs: DataFrame, key: str, text: str, lengths: list[int], hot: int = H
     least, reach = lengths[0], lengths[-1]
 
     def cut(batches):
-        from tabkit.llm.text import raw, slices
-
         for batch in batches:
             for part in slices(batch, "body"):
                 data, offsets = raw(part.column(2).cast(pa.large_binary()))
@@ -237,7 +235,7 @@ def spans(docs: DataFrame, key: str, text: str, lengths: list[int], hot: int = H
     fetched = fetched.select("doc", "text_hash", "body", "wanted").mapInArrow(fetch, schema)
     if rivals.where(F.col("rivals") > hot).limit(1).count():
         fetched = stage(fetched, "fetched")  # read twice
-        return whole.union(_sorted(fetched.where(F.col("rivals") <= hot), lengths, width)).union(_counted(fetched.where(F.col("rivals") > hot), lengths))
+        return whole.union(_sorted(fetched.where(F.col("rivals") <= hot), lengths, width)).union(_counted(fetched.where(F.col("rivals") > hot), lengths, width))
     return whole.union(_sorted(fetched, lengths, width))
 
 
@@ -291,21 +289,26 @@ def _sorted(fetched: DataFrame, lengths: list[int], width: int) -> DataFrame:
     return fetched.repartition(width, "bucket").sortWithinPartitions("bucket", "doc", "text_hash", "start").mapInArrow(run, _schema(fetched, "length int, start long, suffixes long"))
 
 
-def _counted(fetched: DataFrame, lengths: list[int]) -> DataFrame:
-    kind = to_arrow_type(fetched.schema["doc"].dataType)
-
+def _counted(fetched: DataFrame, lengths: list[int], width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                sums = _sums(np.frombuffer(row["body"], np.uint8))
+            for part in slices(batch, "body"):
+                data, offsets = raw(part.column("body").cast(pa.large_binary()))
+                sums = _sums(data)
+                first, suffixes = (np.asarray(part.column(c)) for c in ("start", "suffixes"))
                 for length in lengths:
-                    n = max(0, min(row["suffixes"], len(row["body"]) - length + 1))
-                    start = np.arange(n)
-                    halves = [_hash(sums, start, length // 2), _hash(sums, start + length // 2, length - length // 2)]
-                    columns = [pa.array([row["doc"]] * n, kind), pa.array([row["text_hash"]] * n, pa.int64()), pa.array([length] * n, pa.int32()), pa.array(row["start"] + start)]
-                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(h.view(np.int64)) for h in halves), pa.array([row["copies"]] * n, pa.int64())], ["doc", "text_hash", "length", "start", "h1", "h2", "copies"])
-
-    rows = fetched.dropDuplicates(["bucket", "doc", "text_hash", "start"]).select("doc", "text_hash", "start", "suffixes", "copies", "body").mapInArrow(run, _schema(fetched, "length int, start long, h1 long, h2 long, copies long"))
+                    counts = np.clip(np.diff(offsets) - length + 1, 0, suffixes)
+                    piece = np.repeat(np.arange(len(counts)), counts)
+                    nth = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    place = offsets[piece] + nth
+                    halves = [_hash(sums, place, length // 2), _hash(sums, place + length // 2, length - length // 2)]
+                    take = pa.array(piece)
+                    columns = [part.column("doc").take(take), part.column("text_hash").take(take), pa.array(np.full(len(piece), length, np.int32)), pa.array(first[piece] + nth)]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(h.view(np.int64)) for h in halves), part.column("copies").take(take)], ["doc", "text_hash", "length", "start", "h1", "h2", "copies"])
+
+    place = ["bucket", "doc", "text_hash", "start"]
+    rows = fetched.repartition(width, *place).dropDuplicates(place).select("doc", "text_hash", "start", "suffixes", "copies", "body").mapInArrow(run, _schema(fetched, "length int, start long, h1 long, h2 long, copies long"))
+    rows = stage(rows, "counted")  # read twice
     same = ["length", "h1", "h2"]
     again = rows.groupBy(same).agg(F.sum("copies").alias("k")).where("k > 1").select(same)
     return rows.where("copies = 1").join(again, same, "left_semi").select("doc", "text_hash", "length", "start", F.lit(1).cast("long").alias("suffixes"))
@@ -332,27 +335,32 @@ def remove_repeats(
     return cut.select(*[F.col("carried")[c].alias(c) for c in keep], *[f.name for f in fields])
 
 
-def _merged(spans: list[dict], length: int) -> list[dict]:
-    """Maximal runs of bytes covered by strings of ``length`` bytes, from the spans of that length."""
-    runs = []
-    for s in spans:
-        if s["length"] != length:
-            continue
-        a, b = s["start"], s["start"] + s["suffixes"] - 1 + length
-        if runs and a <= runs[-1]["end"]:
-            runs[-1]["end"] = max(runs[-1]["end"], b)
-        else:
-            runs.append({"start": a, "end": b})
-    return runs
+def _merge(batches):
+    """Maximal runs of covered bytes of each text and length, from its spans by length and start."""
+    for batch in batches:
+        spans = batch.column(2)
+        length, start, suffixes = (np.asarray(c).astype(np.int64) for c in spans.flatten().flatten())
+        row = np.repeat(np.arange(len(spans)), np.asarray(spans.value_lengths()))
+        other = np.zeros(len(row), bool)
+        other[1:] = (row[1:] != row[:-1]) | (length[1:] != length[:-1])
+        shift = np.cumsum(other) << 34  # beyond any text
+        end = np.maximum.accumulate(start + suffixes - 1 + length + shift)
+        new = np.ones(len(row), bool)
+        new[1:] = start[1:] + shift[1:] > end[:-1]
+        first = np.flatnonzero(new)
+        end = end[np.append(first[1:], len(row))[: len(first)] - 1] - shift[first]
+        runs = pa.StructArray.from_arrays([pa.array(length[first].astype(np.int32)), pa.array(start[first]), pa.array(end)], ["length", "start", "end"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(np.bincount(row[first], minlength=len(spans)), runs)], ["doc", "text_hash", "runs"])
 
 
 def _cut(docs: DataFrame, carried: Column, key: str, text: str, length: int, hot: int, form: str, mark: int | None = None) -> DataFrame:
     """carried, n_bytes, removed, kept and, with ``mark``, repeated; user's columns travel inside ``carried``, so that their names cannot clash."""
     found = spans(docs, key, text, sorted({length, mark or length}), hot)
-    found = stage(found.distinct().groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "suffixes", "length"))).alias("spans")), "spans")
+    found = found.distinct().groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("length", "start", "suffixes"))).alias("spans"))
+    found = stage(found.mapInArrow(_merge, _schema(found, "runs array<struct<length: int, start: long, end: long>>")), "runs")
     body = F.coalesce(name(text).cast("string"), F.lit(""))
     source = docs.select(carried.alias("carried"), name(key).alias("doc"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
-    met = _meet(source, found, "left").select("carried", "body", "spans")
+    met = _meet(source, found, "left").select("carried", "body", "runs")
     fields = [FIELD("n_bytes", LONG), REMOVED[1], FIELD("kept", BINARY if form == "bytes" else STRING), *([] if mark is None else [REPEATED])]
     schema = T.StructType([met.schema["carried"], *fields])
     n_keep = 1
@@ -364,14 +372,14 @@ def _cut(docs: DataFrame, carried: Column, key: str, text: str, length: int, hot
             for k in range(batch.num_rows):
                 data = batch.column(n_keep)[k].as_py()
                 known = batch.column(n_keep + 1)[k].as_py() or []
-                runs = _merged(known, length)
+                runs = [{"start": r["start"], "end": r["end"]} for r in known if r["length"] == length]
                 edges = [0, *(x for r in runs for x in (r["start"], r["end"])), len(data)]
                 left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else data
                 sizes.append(len(data))
                 removed.append(runs)
                 kept.append(hashlib.sha256(left).hexdigest() if form == "digest" else left.decode("utf-8", "ignore") if form == "text" else left)
                 if mark is not None:
-                    repeats.append(_merged(known, mark))
+                    repeats.append([{"start": r["start"], "end": r["end"]} for r in known if r["length"] == mark])
             made = [pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary() if form == "bytes" else pa.string())]
             made += [] if mark is None else [pa.array(repeats, kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *made], schema.names)
