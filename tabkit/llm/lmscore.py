@@ -10,7 +10,7 @@ history as the most of its own, so the probabilities that follow a history sum u
 P(w | h) = (min(c(h w), c(h)) + M P(w)) / (c(h) + M). A wrong membership (about 2 in 100 unseen pairs) can add to that sum, but no
 probability passes 1. The history of a text's first token is the end.
 
-The filter is broadcast while it has at most ``filter_bytes``; beyond that the distinct n-grams of each piece of texts are sent to
+The filter is broadcast while it has at most ``filter_bytes``; beyond that the distinct n-grams of each block of texts are sent to
 the segments and their levels sent back, with equal results. Exact counts for the base score: words with counts above a limit chosen so that at most
 ``head_words`` lie above are broadcast, the counts of all others are joined.
 
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabkit.llm.common import BINARY, DOUBLE, FIELD, INT, LONG, annotate, lists, name, scan, shuffle_width, stage
-from tabkit.llm.text import WHITE, chain, dealt, groups, mix, split
+from tabkit.llm.common import BINARY, DOUBLE, FIELD, INT, LONG, annotate, lists, name, release, scan, shuffle_width, stage
+from tabkit.llm.text import WHITE, chain, dealt, groups, mix, raw, split
 
 BASE = 1.5
 BITS = 8
@@ -37,6 +37,7 @@ PROBES = 5
 M = 50.0
 FILTER_BYTES = 192 << 20
 HEAD_WORDS = 1 << 20
+BLOCK_BYTES = 8 << 20  # of text, whose n-grams ask together
 FLUSH = 3 << 20  # distinct n-grams held by a counting task
 END = np.uint64(0x454E445F454E445F)  # stands for the end token; no word hashes to it but by chance
 _LEVELS = 128
@@ -57,6 +58,15 @@ def pairs(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return history, chain(history, flat)
 
 
+def pack(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte: the high bytes are zero and shrink where Spark compresses."""
+    return np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def level_of(count: np.ndarray) -> np.ndarray:
     limits = np.ceil(BASE ** np.arange(_LEVELS - 1))  # least count of each level, whole
     return np.searchsorted(limits, count, "right").clip(1, _LEVELS - 1)
@@ -114,7 +124,7 @@ class Filter:
 
 
 def count(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(ord, p, hashes, counts) as packed arrays, ``p`` the hash range; every n-gram of a range may occur in several rows."""
+    """(ord, p, hashes, counts): arrays, the hashes packed, ``p`` the hash range; every n-gram of a range may occur in several rows."""
 
     def make():
         held: dict[int, list] = {1: [], 2: []}
@@ -127,7 +137,7 @@ def count(docs: DataFrame, text: str, width: int) -> DataFrame:
             bounds = dealt(h, width)
             some = np.flatnonzero(np.diff(bounds))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([order] * len(some), pa.int32()), pa.array(some, pa.int32())] + [pa.array([x[bounds[p] : bounds[p + 1]].tobytes() for p in some], pa.binary()) for x in (h, c.astype(np.uint32))],
+                [pa.array([order] * len(some), pa.int32()), pa.array(some, pa.int32())] + [pa.array([form(x[bounds[p] : bounds[p + 1]]) for p in some], pa.binary()) for form, x in ((pack, h), (bytes, c.astype(np.uint32)))],
                 ["ord", "p", "hashes", "counts"],
             )
 
@@ -180,7 +190,7 @@ def build(counted: DataFrame, width: int) -> DataFrame:
                     if parts:
                         yield done()
                     key, parts = (row["ord"], row["p"]), []
-                parts.append((np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], np.uint32)))
+                parts.append((unpack(row["hashes"]), np.frombuffer(row["counts"], np.uint32)))
                 if sum(len(x[0]) for x in parts) > FLUSH:
                     parts = [_merge(parts)]
         if parts:
@@ -308,61 +318,88 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
 
 def _routed(docs: DataFrame, model: Model, text: str, keep: list[str], head) -> DataFrame:
-    """For filters beyond the broadcast bound: pieces of texts send their distinct n-grams to the segments and get the levels."""
+    """For filters beyond the broadcast bound: blocks of texts send their distinct n-grams to the segments and get the levels.
+
+    A block travels as compressed texts, which are split again where its tokens are needed; a segment answers all blocks at once.
+    """
     width, means, total = model.width, model.means, model.total
+    carried = T.StructType([docs.schema[c] for c in keep])
 
     def make():
         from pyspark import TaskContext
 
-        made = [TaskContext.get().partitionId() << 32]
+        made, held = [TaskContext.get().partitionId() << 32], []
 
-        def take(column, part):
-            flat, first = tokens(column)
+        def emit():
             sink = io.BytesIO()
-            kept = part.select(part.schema.names[:-1])
-            with pa.ipc.new_stream(sink, kept.schema) as writer:
-                writer.write_batch(kept)
-            yield pa.RecordBatch.from_arrays([pa.array([made[0]]), *(pa.array([x], pa.binary()) for x in (flat.tobytes(), first.tobytes(), sink.getvalue()))], ["block", "flat", "first", "kept"])
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as writer:
+                for part in held:
+                    writer.write_batch(part)
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([made[0]]), pa.array([sink.getvalue()], pa.binary())], ["block", "body"])
             made[0] += 1
 
-        return take, lambda: ()
+        def take(column, part):
+            held.append(pa.RecordBatch.from_arrays([*part.columns[:-1], column], [str(i) for i in range(part.num_columns)]))
+            if sum(len(raw(p.column(p.num_columns - 1))[0]) for p in held) >= BLOCK_BYTES:
+                yield from emit()
+
+        def finish():
+            if held:
+                yield from emit()
 
-    blocks = stage(scan(docs, text, "block long, flat binary, first binary, kept binary", make, keep), "lmblocks")
+        return take, finish
+
+    blocks = stage(scan(docs, text, "block long, body binary", make, keep), "lmblocks")
+
+    def read(body):
+        """The kept columns of a block, its tokens and their offsets."""
+        parts = [b for b in pa.ipc.open_stream(body) if b.num_rows]
+        split_up = [tokens(b.column(b.num_columns - 1)) for b in parts]
+        first, at = [np.zeros(1, np.int64)], 0
+        for flat, f in split_up:
+            first.append(f[1:] + at)
+            at += len(flat)
+        return pa.Table.from_batches(parts).select(range(len(keep))), np.concatenate([flat for flat, _ in split_up]), np.concatenate(first)
 
     def distinct(flat, first, order):
         return np.unique(np.concatenate([flat, [END]]) if order == 1 else pairs(flat, first)[1])
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                flat, first = np.frombuffer(row["flat"], np.uint64), np.frombuffer(row["first"], np.int64)
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, flat, first = read(body.as_buffer())
                 for order in (1, 2):
                     h = distinct(flat, first, order)
                     bounds = dealt(h, width)
                     some = np.flatnonzero(np.diff(bounds))
-                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(some), pa.int64()), pa.array([order] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([h[bounds[p] : bounds[p + 1]].tobytes() for p in some], pa.binary())], ["block", "ord", "p", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array([order] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([pack(h[bounds[p] : bounds[p + 1]]) for p in some], pa.binary())], ["block", "ord", "p", "hashes"])
+        release()
 
-    asked = blocks.select("block", "flat", "first").mapInArrow(ask, "block long, ord int, p int, hashes binary")
+    asked = blocks.mapInArrow(ask, "block long, ord int, p int, hashes binary")
 
     def answer(asked: pa.Table, segments: pa.Table) -> pa.Table:
         known = Filter(width, means)
         for row in segments.to_pylist():  # one segment
             known.body = np.empty(len(row["segment"]), np.uint8)
             known.put(row["ord"], row["p"], 0, row["segment"])
-        got = [known.levels(r["ord"], np.frombuffer(r["hashes"], np.uint64)).astype(np.uint8).tobytes() for r in asked.select(["ord", "hashes"]).to_pylist()]
-        return asked.select(["block", "ord", "p"]).append_column("levels", pa.array(got, pa.binary()))
+        if not asked.num_rows:
+            return asked.select(["block", "ord", "p"]).append_column("levels", pa.array([], pa.binary()))
+        parts = [unpack(h.as_buffer()) for h in asked.column("hashes")]
+        every, at = np.unique(np.concatenate(parts), return_inverse=True)
+        levels = known.levels(asked.column("ord")[0].as_py(), every).astype(np.uint8)[at.reshape(-1)]
+        ends = np.cumsum([len(x) for x in parts])
+        return asked.select(["block", "ord", "p"]).append_column("levels", pa.array([levels[b - len(x) : b].tobytes() for x, b in zip(parts, ends, strict=True)], pa.binary()))
 
     answered = asked.groupBy("ord", "p").cogroup(model.segments.select("ord", "p", "segment").groupBy("ord", "p")).applyInArrow(answer, "block long, ord int, p int, levels binary")
-    schema = T.StructType([docs.schema[c] for c in keep] + _MADE)
+    schema = T.StructType(carried.fields + _MADE)
 
     def finish(blocks: pa.Table, levels: pa.Table) -> pa.Table:
-        row = blocks.to_pylist()[0]
-        flat, first = np.frombuffer(row["flat"], np.uint64), np.frombuffer(row["first"], np.int64)
+        kept, flat, first = read(blocks.column("body")[0].as_buffer())
         by_order = {1: [], 2: []}
         for r in levels.sort_by([("ord", "ascending"), ("p", "ascending")]).to_pylist():
             by_order[r["ord"]].append(np.frombuffer(r["levels"], np.uint8))
         scores = text_scores(flat, first, lambda order, h: np.concatenate(by_order[order]).astype(np.int64), total)
-        kept = pa.ipc.open_stream(row["kept"]).read_all()
         return pa.table([*kept.columns, *_made(flat, first, scores, head.value)], names=schema.names)
 
     return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(finish, schema)
