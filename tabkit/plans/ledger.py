@@ -1,17 +1,20 @@
 """Steps of a long run, noted in the shared checkpoint folder, so that a run that was cut off goes on where it stood.
 
 A step is a table. It is written first and noted after, so a note stands for a whole table; what a lost run wrote without a
-note is never read. Notes are appended as small Parquet files: one row per step, which is all the driver sees.
+note is never read. Notes are small Parquet files of one row per step, which is all the driver sees; steps may be made at once by several threads.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -47,12 +50,13 @@ class Ledger:
     def has(self, step: str) -> bool:
         return step in self.notes
 
-    def step(self, step: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """The table of a step: read again if it was noted, else made, written and noted."""
+    def step(self, step: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+        """The table of a step: read again if it was noted, else made, written and noted. Rows with one value of the last column ``by`` get a folder."""
         if step not in self.notes:
             made = make()
             path = os.path.join(self.folder, "tables", f"{step}-{uuid.uuid4().hex}")
-            made.write.option("compression", "zstd").parquet(path)
+            writer = made.write.option("compression", "zstd")
+            (writer.partitionBy(by) if by else writer).parquet(path)
             self._note(step, path, made.schema.json())
         return self.tables([step])
 
@@ -68,5 +72,21 @@ class Ledger:
     def _note(self, step: str, path: str, schema: str) -> None:
         rows = self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(path).count()
         note = (step, path, rows, schema, self.settings, time.time())
-        self.spark.createDataFrame([note], _NOTE).coalesce(1).write.mode("append").parquet(os.path.join(self.folder, "notes"))
+        sink = io.BytesIO()
+        pq.write_table(pa.table([pa.array([v]) for v in note], names=_NOTED), sink)
+        self._add(sink.getvalue())
         self.notes[step] = dict(zip(_NOTED, note, strict=True))
+
+    def _add(self, note: bytes) -> None:
+        """One more file among the notes. It gets its name when it is whole, and notes written at once do not meet."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(os.path.join(self.folder, "notes"))
+        files = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        files.mkdirs(folder)
+        name = uuid.uuid4().hex
+        begun, whole = (jvm.org.apache.hadoop.fs.Path(folder, f"{x}{name}.parquet") for x in ("_", "note-"))
+        out = files.create(begun)
+        out.write(bytearray(note))
+        out.close()
+        if not files.rename(begun, whole):
+            raise OSError(f"the note {whole} cannot be named")
