@@ -18,7 +18,7 @@ from tabkit.functions.columns import as_double, chunked, col, join_null_safe, na
 from tabkit.functions.ordered import running_sums
 from tabkit.operators.compare import _per_column, bin_of, column_ranges, long_values
 from tabkit.operators.profile import pair_correlations, text_of, value_counts
-from tabkit.session import materialize
+from tabkit.session import discard, materialize
 
 
 def _count_of(dataset: str, n: str | Column = "n") -> Column:
@@ -206,6 +206,7 @@ LISTED = 16  # most values of a category that a node lists; with more, any value
 BLOCK_ROWS = 2048  # rows that walk down the tree together
 BEAM = 16  # nodes of a level that the first walk follows
 MET = 128  # leaves that a block meets in one task; one with more is dealt to several
+TOGETHER = 16  # neighbouring blocks, at most, that meet their leaves in one task, where each leaf is sent once
 TASK = 32  # meetings of a block and a leaf that a task has on average
 NULL = "\0"
 
@@ -238,9 +239,12 @@ def closest_record_distance(
     leaves, levels = _packed_tree(reals, dims, kinds, leaf_points, fan)
 
     blocks = _blocks(searched.withColumn("best", F.lit(float("inf"))), dims, kinds)
+    discard(reals)  # steps are deleted as soon as nothing reads them
     first = _nearest(blocks, _walk(_summaries(blocks, dims, kinds), levels, dims, kinds, BEAM), leaves, dims, kinds)
+    discard(blocks)
     blocks = _blocks(searched.join(first, "q").where("best > 0"), dims, kinds)
     second = _nearest(blocks, _walk(_summaries(blocks, dims, kinds), levels, dims, kinds), leaves, dims, kinds)
+    discard(blocks, leaves, *levels)
     best = first.unionByName(second).groupBy("q").agg(F.min("best").alias("dcr"))
     best = searched.join(best, "q", "left").drop("q")
     return join_null_safe(rows, best, [*dims, *kinds]).select(F.col("key").alias(key), "dcr")
@@ -249,7 +253,9 @@ def closest_record_distance(
 def _blocks(rows: DataFrame, dims: list[str], kinds: list[str]) -> DataFrame:
     """Rows with the number of their block: neighbours along the curve, those whose best so far has the same whole part together."""
     numbered, _ = _numbered(rows.withColumn("level", F.floor("best")), dims, kinds, ["level"], ["q"])
-    return materialize(numbered.withColumn("block", F.floor((F.col("nth") - 1) / BLOCK_ROWS)).drop("nth", "level"), "dcr-blocks")
+    blocks = materialize(numbered.withColumn("block", F.floor((F.col("nth") - 1) / BLOCK_ROWS)).drop("nth", "level"), "dcr-blocks")
+    discard(numbered)
+    return blocks
 
 
 def _summaries(blocks: DataFrame, dims: list[str], kinds: list[str]) -> DataFrame:
@@ -267,7 +273,9 @@ def _walk(blocks: DataFrame, levels: list[DataFrame], dims: list[str], kinds: li
         if beam:
             place = F.row_number().over(Window.partitionBy("block").orderBy("near", "unlike", "node"))
             met = met.withColumn("place", place).where(F.col("place") <= beam)
-        pairs = materialize(met.select("block", "node", "near"), "dcr-pairs")
+        above, pairs = pairs, materialize(met.select("block", "node", "near"), "dcr-pairs")
+        if nodes is not levels[-1]:
+            discard(above)  # of the topmost level, it is the blocks
     return pairs
 
 
@@ -296,8 +304,14 @@ def _nearest(blocks: DataFrame, pairs: DataFrame, leaves: DataFrame, dims: list[
 
     The rows of a block and then its leaves, nearest first, stream through a task in the form of plain rows. A row may be answered by several tasks.
     """
-    share = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("block")) / MET)
-    pairs = materialize(pairs.withColumn("part", F.pmod(F.xxhash64("node"), share)), "dcr-met")
+    last = blocks.agg(F.max("block")).first()[0]
+    together = max(1, min(TOGETHER, ((last or 0) + 1) // int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    joined = F.floor(F.col("block") / together).alias("block")  # neighbours meet much the same leaves
+    pairs = pairs.groupBy(joined, "node").agg(F.min("near").alias("near"))
+    blocks = blocks.withColumn("block", joined)
+    share = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("block")) / (MET * together))
+    walked, pairs = pairs, materialize(pairs.withColumn("part", F.pmod(F.xxhash64("node"), share)), "dcr-met")
+    discard(walked)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     points = pairs.join(leaves, F.col("node") == F.col("leaf")).select("block", "part", "near", "node", none("q", "bigint"), none("best", "double"), *dims, *kinds)
     own = pairs.select("block", "part").distinct().join(blocks, "block")
@@ -305,7 +319,9 @@ def _nearest(blocks: DataFrame, pairs: DataFrame, leaves: DataFrame, dims: list[
     tasks = max(1, -(-pairs.count() // TASK))
     dealt = own.unionByName(points).repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "near", "node")
     found = dealt.mapInArrow(_meet(len(dims), len(kinds)), "q bigint, best double")
-    return materialize(found.groupBy("q").agg(F.min("best").alias("best")), "dcr-best")
+    best = materialize(found.groupBy("q").agg(F.min("best").alias("best")), "dcr-best")
+    discard(pairs)
+    return best
 
 
 def _meet(n_dims: int, n_kinds: int):
@@ -419,6 +435,7 @@ def _packed_tree(reals: DataFrame, dims: list[str], kinds: list[str], leaf_point
     """The points with the number of their leaf, and the levels of nodes from the leaves up: id, parent, boxes, categories."""
     placed, n = _numbered(reals, dims, kinds)
     leaves = materialize(placed.withColumn("leaf", F.floor((F.col("nth") - 1) / leaf_points)).drop("nth"), "dcr-leaves")
+    discard(placed)
     nodes = leaves.groupBy("leaf").agg(*_box(dims), *_lists(kinds))
     nodes = nodes.withColumnRenamed("leaf", "id").withColumn("parent", F.floor(F.col("id") / fan))
     levels, count = [materialize(nodes, "dcr-nodes")], -(-n // leaf_points)

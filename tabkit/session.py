@@ -54,3 +54,15 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), "tabkit", f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the step folders that ``tables`` read; nothing may read them afterwards. Other files are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark._jvm.org.apache.hadoop.fs.Path
+        steps = jvm(os.path.join(checkpoint_dir(spark), "tabkit"))
+        files = steps.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            if files.makeQualified(jvm(folder)).getParent().equals(files.makeQualified(steps)):
+                files.delete(jvm(folder), True)
